@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from catalog import collection, series
+from catalog import collection, series, signals
 
-PARTS = (collection, series)
+PARTS = (collection, series, signals)
 
 
 def queries() -> dict:

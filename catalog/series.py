@@ -150,20 +150,20 @@ def d11_recorded_by_day(spark, sf):
     return coverage(spark, sf).where("sessions > 0").select("day", "subject_id", "recorded_minutes", "sessions")
 
 
-HQ = """SELECT floor(ts / 3600) * 3600 AS bucket, {k} CASE WHEN isfinite(avg(sqi){f}) THEN round_even(avg(sqi){f}, 3) END AS sqi,
-  CASE WHEN isfinite(avg(hr_ppg)) THEN round_even(avg(hr_ppg), 1) END AS hr, count(*) AS minutes,
-  CASE WHEN isfinite(avg(acc_motion)) THEN round_even(avg(acc_motion), 2) END AS motion
+HQ = """SELECT floor(ts / 3600) * 3600 AS bucket, {k} CASE WHEN isfinite(avg(sqi){f}) THEN round(avg(sqi){f}, 9) END AS sqi,
+  CASE WHEN isfinite(avg(hr_ppg)) THEN round(avg(hr_ppg), 9) END AS hr, count(*) AS minutes,
+  CASE WHEN isfinite(avg(acc_motion)) THEN round(avg(acc_motion), 9) END AS motion
   FROM minutes WHERE ts >= 1706659200.0 - 30 * 86400 GROUP BY ALL"""
 
 
 @query(sql("minutes", " " + HQ.format(k="", f="")))
 def d12_hourly_quality(spark, sf):
-    return trends.hourly_quality(view(spark, sf, "minutes"), NOW)
+    return trends.hourly_quality(view(spark, sf, "minutes"), NOW, digits=(9, 9, 9))
 
 
 @query(sql("minutes", " " + HQ.format(k="subject_id,", f=" FILTER (WHERE NOT isnan(sqi))")))
 def d12_hourly_quality_by_subject(spark, sf):
-    return trends.hourly_quality(view(spark, sf, "minutes"), NOW, keys=("subject_id",), skip_nan=True)
+    return trends.hourly_quality(view(spark, sf, "minutes"), NOW, keys=("subject_id",), skip_nan=True, digits=(9, 9, 9))
 
 
 DAY = f""", dpt AS (SELECT *, strftime({LOCAL_TS}, '%Y-%m-%d') AS day,
@@ -235,7 +235,7 @@ def f8_recent_per_subject(spark, sf):
 
 @query(sql("minutes", f" SELECT bucket, sqi, sqi >= 0.8 AS usable FROM ({HQ.format(k='', f='')}) WHERE sqi IS NOT NULL"))
 def d12_quality_flags(spark, sf):
-    hourly = trends.hourly_quality(view(spark, sf, "minutes"), NOW)
+    hourly = trends.hourly_quality(view(spark, sf, "minutes"), NOW, digits=(9, 9, 9))
     return trends.quality_flags(hourly).select("bucket", "sqi", "usable")
 
 

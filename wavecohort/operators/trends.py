@@ -71,8 +71,8 @@ def calendar(coverage: DataFrame, first_day: str, last_day: str) -> DataFrame:
     """Every day of the window for every subject; days without data are zero."""
     days = F.sequence(F.lit(first_day).cast("date"), F.lit(last_day).cast("date"), F.expr("interval 1 day"))
     grid = coverage.select("subject_id").distinct().select(
-        "subject_id", F.explode(days).cast("string").alias("day")
-    )
+        "subject_id", F.explode(days).alias("day")
+    ).withColumn("day", F.col("day").cast("string"))
     return grid.join(coverage, ["day", "subject_id"], "left").select(
         "day",
         "subject_id",
@@ -92,16 +92,16 @@ def coverage_totals(coverage: DataFrame) -> DataFrame:
     ).select("day", "minutes", "cuff", "scale_max")
 
 
-def hourly_quality(minutes: DataFrame, now: float, days: int | None = 30, keys: tuple[str, ...] = (), skip_nan: bool = False) -> DataFrame:
+def hourly_quality(minutes: DataFrame, now: float, days: int | None = 30, keys: tuple[str, ...] = (), skip_nan: bool = False, digits: tuple[int, int, int] = (3, 1, 2)) -> DataFrame:
     """Mean quality, heart rate and motion per hour; a NaN minute blanks its hour unless skipped."""
     kept = minutes.where(clock.since_days(F.col("ts"), now, days))
     number = lambda c: F.when(~F.isnan(c), F.col(c)) if skip_nan else F.col(c)
     hour = (F.floor(F.col("ts") / 3600.0) * 3600).cast("double").alias("bucket")
     return kept.groupBy(hour, *keys).agg(
-        finite(F.avg(number("sqi")), 3).alias("sqi"),
-        finite(F.avg(number("hr_ppg")), 1).alias("hr"),
+        finite(F.avg(number("sqi")), digits[0]).alias("sqi"),
+        finite(F.avg(number("hr_ppg")), digits[1]).alias("hr"),
         F.count("*").alias("minutes"),
-        finite(F.avg(number("acc_motion")), 2).alias("motion"),
+        finite(F.avg(number("acc_motion")), digits[2]).alias("motion"),
     )
 
 
