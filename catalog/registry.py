@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from catalog import collection, series, signals
+from catalog import collection, series, signals, storing
 
-PARTS = (collection, series, signals)
+PARTS = (collection, series, signals, storing)
 
 
 def queries() -> dict:
