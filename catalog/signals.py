@@ -86,7 +86,7 @@ ENV = """SELECT {k}, i // w AS bucket, round(max(t_s) FILTER (WHERE i - (i // w)
 
 
 def ppg_index(spark, sf):
-    return s.sample_index(s.optical_channels(view(spark, sf, "ppg")), KEY)
+    return s.sample_index(s.optical_channels(view(spark, sf, "ppg")), KEY, s.CHANNELS)
 
 
 def filtered(spark, sf):

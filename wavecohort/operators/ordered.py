@@ -112,8 +112,8 @@ def previous(df: DataFrame, keys: Sequence[str], values: dict[str, Column], chun
     return df.withColumns(added).drop(*[f"_c_{n}" for n in values])
 
 
-def row_index(df: DataFrame, keys: Sequence[str], index: str = "i", total: str = "n") -> DataFrame:
-    """Zero-based row number within the key and the key's row count, from chunk counts alone."""
+def row_index(df: DataFrame, keys: Sequence[str], index: str = "i", total: str = "n", chunk: str = CHUNK, pos: str = POS) -> DataFrame:
+    """Zero-based row number within the key and the key's row count."""
     df = with_carry(
         df,
         keys,
@@ -121,8 +121,9 @@ def row_index(df: DataFrame, keys: Sequence[str], index: str = "i", total: str =
             Carry("_before", F.count("*"), "sum"),
             Carry(total, F.count("*"), "sum", "all"),
         ],
+        chunk,
     )
-    at = F.coalesce("_before", F.lit(0)) + F.row_number().over(chunk_window(keys)) - 1
+    at = F.coalesce("_before", F.lit(0)) + F.row_number().over(chunk_window(keys, chunk, pos)) - 1
     return df.withColumn(index, at).drop("_before")
 
 
@@ -142,40 +143,35 @@ def halo(df: DataFrame, index: str, size: Column, before: Column, after: Column,
 def rank_select(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column], width: float) -> DataFrame:
     """Exact order statistics per key: the value at each zero-based rank.
 
-    ``ranks`` are expressions over the row count ``n``. Works on counts only: first per
-    band of ``width``, then per distinct value inside the bands that hold a wanted rank,
-    so copies and long bands are combined before any shuffle.
+    ``ranks`` are expressions over the row count ``n``. Rows are first combined to counts
+    per distinct value. Ranks are then located on counts per band of ``width``, and inside
+    the bands that hold a wanted rank, so that no task sees all values of a key.
     """
-    narrow = df.where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).alias("_v"), F.floor(F.col(value) / F.lit(width)).alias("_band")
+    counts = durable(
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys, F.floor(F.col(value) / F.lit(width)).alias("_band"), F.col(value).alias("_v"))
+        .agg(F.count("*").alias("_c")),
+        "counts",
     )
-    bands = narrow.groupBy(*keys, "_band").agg(F.count("*").alias("_c"))
     by_key = Window.partitionBy(*keys)
-    placed = bands.select(
+    placed = counts.groupBy(*keys, "_band").agg(F.sum("_c").alias("_c")).select(
         *keys,
         "_band",
         (F.sum("_c").over(by_key.orderBy("_band")) - F.col("_c")).alias("_lo"),
         "_c",
         F.sum("_c").over(by_key).alias("n"),
     )
-    wanted = placed.select(
-        *keys, "_band", "_lo", "_c", F.explode(F.map_from_arrays(
-            F.array(*[F.lit(r) for r in ranks]),
-            F.array(*[e.cast("bigint") for e in ranks.values()]),
-        )).alias("_name", "_rank"),
-    ).where((F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_lo") + F.col("_c")))
-    inside = (
-        narrow.join(wanted.select(*keys, "_band").distinct(), [*keys, "_band"], "left_semi")
-        .groupBy(*keys, "_band", "_v")
-        .agg(F.count("*").alias("_c"))
-    )
-    in_band = Window.partitionBy(*keys, "_band").orderBy("_v")
-    steps = inside.select(*keys, "_band", "_v", F.sum("_c").over(in_band).alias("_upto"), "_c")
-    hit = (F.col("_rank") - F.col("_lo") >= F.col("_upto") - F.col("_c")) & (
-        F.col("_rank") - F.col("_lo") < F.col("_upto")
+    named = F.array(*[F.struct(F.lit(r).alias("name"), e.cast("bigint").alias("rank")) for r, e in ranks.items()])
+    here = lambda r: (r["rank"] >= F.col("_lo")) & (r["rank"] < F.col("_lo") + F.col("_c"))
+    wanted = placed.select(*keys, "_band", "_lo", F.filter(named, here).alias("_want")).where(F.size("_want") > 0)
+    inside = counts.join(wanted, [*keys, "_band"])
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_band").orderBy("_v")) + F.col("_lo")
+    steps = inside.withColumn("_upto", upto)
+    hit = lambda r: (r["rank"] < F.col("_upto")) & (r["rank"] >= F.col("_upto") - F.col("_c"))
+    picked = steps.select(*keys, "_v", F.explode(F.filter("_want", hit)).alias("_w"))
+    return picked.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_w.name") == r, F.col("_v"))).alias(r) for r in ranks]
     )
-    picked = steps.join(wanted.drop("_c"), [*keys, "_band"]).where(hit)
-    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == r, F.col("_v"))).alias(r) for r in ranks])
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, salts: int = 256) -> DataFrame:

@@ -17,12 +17,12 @@ from wavecohort.operators.ordered import (
     CHUNK,
     POS,
     Carry,
+    chunk_window,
     halo,
     ordered_chunks,
     previous,
     rank_select,
     row_index,
-    running,
     with_carry,
 )
 from wavecohort.session import durable
@@ -38,47 +38,70 @@ BPM_LOW, BPM_HIGH = 30.0, 220.0
 CHANNELS = ("ppg0", "ppg1", "ppg2")
 
 #: Samples per piece. Pieces are at least four halos long, whatever the sample rate.
-PIECE = 65536
+PIECE = 1 << 18
 #: Longest run of candidate peaks folded in one row; longer runs are resolved by joins.
 FOLD_LIMIT = 1024
 
 
-def sample_index(samples: DataFrame, keys: Sequence[str], ts: str = "timestamp_ns") -> DataFrame:
+def sample_index(samples: DataFrame, keys: Sequence[str], columns: Sequence[str] = (), ts: str = "timestamp_ns") -> DataFrame:
     """Samples in time order with ``i`` (row number), ``n``, relative time ``t_s`` and ``fs``.
 
     ``fs`` is one over the median positive step between neighbours, 1.0 where there is none.
+    The first and last values of ``columns`` come along as ``_first`` and ``_last``.
+    Everything that concerns a whole recording is computed on one row per range and joined
+    to the samples of that range.
     """
     keys = list(keys)
     placed = ordered_chunks(samples, keys, [ts], "samples")
-    steps = previous(placed.select(*keys, ts, CHUNK, POS), keys, {"_prev": F.col(ts)}).select(
-        *keys, (F.col(ts) - F.col("_prev")).alias("step")
+    row = F.struct(*(columns or [ts]))
+    per_chunk = placed.groupBy(*keys, CHUNK).agg(
+        F.count("*").alias("_c"),
+        F.min(POS).alias("_p0"),
+        F.min(ts).alias("_a"),
+        F.max(ts).alias("_b"),
+        F.min_by(row, POS).alias("_f"),
+        F.max_by(row, POS).alias("_l"),
     )
-    rates = sample_rate(steps, keys)
-    # The rate joins the few chunk rows, not the samples.
-    start = with_carry(
-        row_index(placed, keys), keys, [Carry("_t0", F.min(ts), "min", "all")]
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    facts = durable(
+        per_chunk.select(
+            *keys,
+            CHUNK,
+            (F.coalesce(F.sum("_c").over(earlier), F.lit(0)) - F.col("_p0")).alias("_shift"),
+            F.max("_b").over(earlier).alias("_earlier"),
+            F.sum("_c").over(whole).alias("n"),
+            F.min("_a").over(whole).alias("_t0"),
+            F.min_by("_f", CHUNK).over(whole).alias("_first"),
+            F.max_by("_l", CHUNK).over(whole).alias("_last"),
+        ),
+        "ranges",
     )
-    chunk_rates = placed.select(*keys, CHUNK).distinct().join(rates, keys, "left").select(
-        *keys, CHUNK, F.coalesce("fs", F.lit(1.0)).alias("fs")
+    before = F.lag(ts).over(Window.partitionBy(*keys, CHUNK).orderBy(POS))
+    steps = (
+        placed.select(*keys, ts, CHUNK, POS)
+        .join(facts.select(*keys, CHUNK, "_earlier"), [*keys, CHUNK])
+        .select(*keys, (F.col(ts) - F.coalesce(before, F.col("_earlier"))).alias("step"))
     )
+    rated = facts.join(sample_rate(steps, keys), keys, "left").withColumn("fs", F.coalesce("fs", F.lit(1.0)))
     return (
-        start.join(chunk_rates, [*keys, CHUNK])
+        placed.join(rated.drop("_earlier"), [*keys, CHUNK])
+        .withColumn("i", F.col(POS) + F.col("_shift"))
         .withColumn("t_s", (F.col(ts) - F.col("_t0")) / 1e9)
-        .drop("_t0", POS)
+        .drop("_t0", "_shift", POS, CHUNK)
     )
 
 
 def sample_rate(steps: DataFrame, keys: Sequence[str], step: str = "step") -> DataFrame:
-    """Rate from the exact median of the positive steps, by counts per step length."""
-    forward = steps.where(F.col(step) > 0)
+    """Rate from the exact median of the positive steps; keys without such a step are left out."""
     middle = rank_select(
-        forward, keys, step, {"_lo": F.expr("(n - 1) div 2"), "_hi": F.expr("n div 2")}, 1_000_000
-    )
-    every = steps.select(*keys).distinct()
-    median = (F.col("_lo") + F.col("_hi")) / 2.0
-    return every.join(middle, list(keys), "left").select(
-        *keys, F.coalesce(F.try_divide(F.lit(1e9), median), F.lit(1.0)).alias("fs")
+        steps.where(F.col(step) > 0),
+        keys,
+        step,
+        {"_lo": F.expr("(n - 1) div 2"), "_hi": F.expr("n div 2")},
+        1_000_000,
     )
+    return middle.select(*keys, F.try_divide(F.lit(1e9), (F.col("_lo") + F.col("_hi")) / 2.0).alias("fs"))
 
 
 def odd_width(fs: Column, seconds: float, least: int) -> Column:
@@ -103,19 +126,6 @@ def motion_magnitude(samples: DataFrame) -> DataFrame:
     return samples.withColumn("magnitude", F.sqrt(square("x") + square("y") + square("z"))).drop("x", "y", "z")
 
 
-def _edges(indexed: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """First and last row's values of each key, on every row, via the chunk rows."""
-    row = F.struct(*columns)
-    return with_carry(
-        indexed,
-        keys,
-        [
-            Carry("_first", F.min(F.struct(F.when(F.col("i") == 0, F.lit(0)).otherwise(1).alias("o"), F.when(F.col("i") == 0, row).alias("v"))), "min", "all"),
-            Carry("_last", F.min(F.struct(F.when(F.col("i") == F.col("n") - 1, F.lit(0)).otherwise(1).alias("o"), F.when(F.col("i") == F.col("n") - 1, row).alias("v"))), "min", "all"),
-        ],
-    )
-
-
 def moving_averages(indexed: DataFrame, keys: Sequence[str], columns: Sequence[str], widths: dict[str, Column]) -> DataFrame:
     """Centred moving averages with edge padding, one per column and width.
 
@@ -126,7 +136,7 @@ def moving_averages(indexed: DataFrame, keys: Sequence[str], columns: Sequence[s
     """
     keys = list(keys)
     half = {w: F.floor(e / 2).cast("bigint") for w, e in widths.items()}
-    df = _edges(indexed, keys, columns).withColumns({f"_h_{w}": h for w, h in half.items()})
+    df = indexed.withColumns({f"_h_{w}": h for w, h in half.items()})
     reach = F.greatest(F.lit(0), *[F.col(f"_h_{w}") for w in widths])
     size = F.greatest(F.lit(PIECE).cast("bigint"), reach * 4)
     cut = halo(df, "i", size, before=reach + 1, after=reach + 1)
@@ -142,12 +152,12 @@ def moving_averages(indexed: DataFrame, keys: Sequence[str], columns: Sequence[s
         right = F.greatest(F.lit(0), F.col("i") + h - F.col("n") + 1)
         for c in columns:
             inside = F.sum(c).over(upper) - F.coalesce(F.sum(c).over(lower), F.lit(0))
-            padded = inside + F.col(f"_first.v.{c}") * left + F.col(f"_last.v.{c}") * right
+            padded = inside + F.col(f"_first.{c}") * left + F.col(f"_last.{c}") * right
             added[f"{c}_{w}"] = F.when(h == 0, F.col(c).cast("double")).otherwise(padded / (2 * h + 1))
     return (
         cut.withColumns(added)
         .where("core")
-        .drop("core", "piece", CHUNK, "_first", "_last", *[f"_{p}_{w}" for p in ("h", "k") for w in widths])
+        .drop("core", "piece", "_first", "_last", *[f"_{p}_{w}" for p in ("h", "k") for w in widths])
     )
 
 
@@ -236,30 +246,45 @@ def merge_peaks(candidates: DataFrame, keys: Sequence[str], fold_limit: int = FO
     cut = cut.withColumn("_k", F.col("i") / (F.col("d") - 0.5))
     near = Window.partitionBy(*keys, "piece").orderBy("_k").rangeBetween(-1, 0)
     tallest = F.max(F.struct(F.col("y"), (-F.col("i")).alias("ni"))).over(near)
-    marked = cut.withColumn("_start", tallest["ni"] == -F.col("i")).where("core").drop("_k", "core", "piece")
-    placed = ordered_chunks(marked, keys, ["i"], "candidates")
-    walked = running(placed, keys, {"stretch": F.when(F.col("_start"), 1).otherwise(0).cast("bigint")})
-    walked = durable(walked.drop(CHUNK, POS, "_start"), "stretches")
-    sizes = walked.groupBy(*keys, "stretch").agg(F.count("*").alias("_len"), F.min("i").alias("_begin"))
-    # The next stretch begins at a known peak; it decides the fate of this one's last peak.
-    begins = ordered_chunks(sizes.withColumn("_order", -F.col("_begin")), keys, ["_order"], "begins")
-    sizes = durable(
-        previous(begins, keys, {"_next": F.col("_begin")}).drop(CHUNK, POS, "_order"), "stretch-sizes"
+    start = F.when(tallest["ni"] == -F.col("i"), F.col("i"))
+    marked = cut.withColumn("_start", start).where("core").drop("_k", "core")
+    # A stretch is named by its first candidate; the next stretch begins at a known peak,
+    # which decides the fate of this one's last peak.
+    line = with_carry(
+        marked,
+        keys,
+        [Carry("_past", F.max("_start"), "max", "before"), Carry("_ahead", F.min("_start"), "min", "after")],
+        "piece",
     )
-    short = walked.join(sizes.where(F.col("_len") <= fold_limit), [*keys, "stretch"])
-    peaks = _folded(short, keys)
-    longest = sizes.agg(F.max("_len")).first()[0] or 0  # one number, to choose the plan
+    forward = chunk_window(keys, "piece", "i").rowsBetween(Window.unboundedPreceding, 0)
+    backward = Window.partitionBy(*keys, "piece").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
+    line = line.withColumns(
+        {
+            "stretch": F.coalesce(F.max("_start").over(forward), "_past"),
+            "_next": F.coalesce(F.min("_start").over(backward), "_ahead"),
+        }
+    ).drop("_past", "_ahead", "_start")
+    within = chunk_window([*keys, "stretch"], "piece", "i")
+    stretches = line.withColumn("_nth", F.row_number().over(within))
+    folded = durable(_folded(stretches, keys, fold_limit), "stretches")
+    longest = folded.agg(F.max("_len")).first()[0] or 0  # one number, to choose the plan
+    peaks = folded.where(F.col("_len") <= fold_limit).select(*keys, "fs", F.explode("peaks").alias("p"))
+    peaks = peaks.select(*keys, "p.i", "p.t_s", "p.y", "fs")
     if longest > fold_limit:
-        long_ = walked.join(sizes.where(F.col("_len") > fold_limit), [*keys, "stretch"])
-        peaks = peaks.unionByName(_jumped(long_, keys, longest))
+        long_ = folded.where(F.col("_len") > fold_limit).select(*keys, "stretch")
+        peaks = peaks.unionByName(_jumped(line.join(long_, [*keys, "stretch"], "left_semi"), keys, longest))
     return peaks
 
 
-def _folded(stretches: DataFrame, keys: list[str]) -> DataFrame:
+def _folded(stretches: DataFrame, keys: list[str], fold_limit: int) -> DataFrame:
+    """Length and surviving peaks of each stretch; only its first ``fold_limit`` rows are gathered."""
     grouped = stretches.groupBy(*keys, "stretch").agg(
-        F.array_sort(F.collect_list(F.struct("i", "y", "t_s"))).alias("c"),
+        F.array_sort(
+            F.collect_list(F.when(F.col("_nth") <= fold_limit, F.struct("i", "y", "t_s")))
+        ).alias("c"),
+        F.count("*").alias("_len"),
         F.first("d").alias("d"),
-        F.first("_next").alias("_next"),
+        F.min("_next").alias("_next"),
         F.first("fs").alias("fs"),
     )
     first = F.col("c")[0]
@@ -275,10 +300,10 @@ def _folded(stretches: DataFrame, keys: list[str]) -> DataFrame:
             F.when(apart, F.concat(state["done"], F.array(state["cur"]))).otherwise(state["done"]).alias("done"),
         )
 
-    state = grouped.select(*keys, "d", "fs", "_next", F.aggregate(rest, start, step).alias("s"))
+    state = grouped.withColumn("s", F.aggregate(rest, start, step))
     stands = F.col("_next").isNull() | (F.col("_next") - F.col("s.cur.i") >= F.col("d"))
     done = F.when(stands, F.concat(F.col("s.done"), F.array(F.col("s.cur")))).otherwise(F.col("s.done"))
-    return state.select(*keys, "fs", F.explode(done).alias("p")).select(*keys, "p.i", "p.t_s", "p.y", "fs")
+    return state.select(*keys, "stretch", "_len", "fs", done.alias("peaks"))
 
 
 def _jumped(stretches: DataFrame, keys: list[str], longest: int) -> DataFrame:
@@ -287,7 +312,8 @@ def _jumped(stretches: DataFrame, keys: list[str], longest: int) -> DataFrame:
     Following those jumps from the stretch's first candidate visits exactly the walk's
     current peaks. Doubling the jumps reaches any length in a logarithm of rounds.
     """
-    cut = halo(stretches, "i", F.greatest(F.lit(PIECE).cast("bigint"), F.col("d") * 8), before=F.lit(0), after=2 * F.col("d"))
+    size = F.greatest(F.lit(PIECE).cast("bigint"), F.col("d") * 8)
+    cut = halo(stretches.drop("piece"), "i", size, before=F.lit(0), after=2 * F.col("d"))
     cut = cut.withColumn("_k", F.col("i") / (F.col("d") + 0.0))
     ahead = Window.partitionBy(*keys, "stretch", "piece").orderBy("_k").rangeBetween(0, 2)
     later = F.filter(
@@ -295,8 +321,8 @@ def _jumped(stretches: DataFrame, keys: list[str], longest: int) -> DataFrame:
         lambda c: (c["i"] > F.col("i")) & ((c["y"] > F.col("y")) | (c["i"] - F.col("i") >= F.col("d"))),
     )
     jumps = cut.withColumn("_to", F.get(later, F.lit(0))["i"]).where("core")
-    jumps = durable(jumps.select(*keys, "stretch", "i", "y", "t_s", "fs", "d", "_begin", "_next", "_to"), "jumps")
-    seen = jumps.where(F.col("i") == F.col("_begin")).select(*keys, "i")
+    jumps = durable(jumps.select(*keys, "stretch", "i", "y", "t_s", "fs", "d", "_next", "_to"), "jumps")
+    seen = jumps.where(F.col("i") == F.col("stretch")).select(*keys, "i")
     table = jumps.where(F.col("_to").isNotNull()).select(*keys, F.col("i").alias("a"), F.col("_to").alias("b"))
     for _ in range(max(1, int(longest - 1).bit_length())):
         reached = seen.join(table, [*(seen[k] == table[k] for k in keys), seen["i"] == table["a"]]).select(
@@ -313,11 +339,11 @@ def _jumped(stretches: DataFrame, keys: list[str], longest: int) -> DataFrame:
 def beat_intervals(peaks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every peak with the rate from the step to the peak before it; ``valid`` where plausible."""
     keys = list(keys)
-    placed = ordered_chunks(peaks, keys, ["i"], "peaks")
-    stepped = previous(placed, keys, {"_prev": F.col("t_s")})
+    placed = peaks.withColumn("piece", F.floor(F.col("i") / F.lit(PIECE)))
+    stepped = previous(placed, keys, {"_prev": F.col("t_s")}, "piece", "i")
     bpm = F.try_divide(F.lit(60.0), F.col("t_s") - F.col("_prev"))
     valid = F.coalesce((bpm > BPM_LOW) & (bpm < BPM_HIGH), F.lit(False))
-    return stepped.select(*keys, "i", "t_s", bpm.alias("bpm"), valid.alias("valid"), CHUNK, POS)
+    return stepped.select(*keys, "i", "t_s", bpm.alias("bpm"), valid.alias("valid"), "piece")
 
 
 def beat_summary(beats: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -330,23 +356,22 @@ def beat_summary(beats: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def thin_evenly(df: DataFrame, keys: Sequence[str], cap: int = MAX_POINTS) -> DataFrame:
-    """At most ``cap`` rows of each key, evenly spaced and always with the first and the last.
+def thin_evenly(beats: DataFrame, keys: Sequence[str], cap: int = MAX_POINTS) -> DataFrame:
+    """At most ``cap`` beats of each key, evenly spaced and always with the first and the last.
 
-    Takes rows in chunk order; a row is kept when some step of the even grid falls on it,
-    which its own number decides.
+    A beat is kept when some step of the even grid falls on it, which its own number decides.
     """
-    numbered = row_index(df, keys, "_r", "_m")
+    numbered = row_index(beats, keys, "_r", "_m", "piece", "i")
     if cap < 2:
-        return numbered.where(F.col("_r") < cap).drop("_r", "_m", CHUNK, POS)
-    step = F.ceil(F.col("_r") * F.lit(cap - 1) / (F.col("_m") - 1))
+        return numbered.where(F.col("_r") < cap).drop("_r", "_m")
+    step = F.ceil(F.col("_r") * F.lit(cap - 1) / F.greatest(F.col("_m") - 1, F.lit(1)))
     on_grid = F.floor(step * (F.col("_m") - 1) / F.lit(cap - 1)) == F.col("_r")
-    return numbered.where((F.col("_m") <= cap) | on_grid).drop("_r", "_m", CHUNK, POS)
+    return numbered.where((F.col("_m") <= cap) | on_grid).drop("_r", "_m")
 
 
 def motion_envelope(motion: DataFrame, keys: Sequence[str], cap: int = MAX_POINTS) -> DataFrame:
     """Smoothed motion magnitude as an envelope; ``keys`` carry the sensor, so both take one pass."""
-    indexed = sample_index(motion_magnitude(motion), keys)
+    indexed = sample_index(motion_magnitude(motion), keys, ["magnitude"])
     smooth = moving_averages(
         indexed, keys, ["magnitude"], {"smooth": odd_width(F.col("fs"), MOTION_SMOOTH_S, 1)}
     )

@@ -39,8 +39,8 @@ def waveforms(
     found = asked.join(known, "session_id")
     wanted = lambda df: df.join(found.select("session_id"), "session_id", "left_semi")
 
-    indexed = s.sample_index(s.optical_channels(wanted(ppg)), KEY)
-    signal = durable(s.chosen_signal(durable(s.pulse_band(indexed, KEY), "band"), KEY), "signal")
+    indexed = s.sample_index(s.optical_channels(wanted(ppg)), KEY, s.CHANNELS)
+    signal = s.chosen_signal(durable(s.pulse_band(indexed, KEY), "band"), KEY)
     pulse = s.envelope(signal, KEY, "y", cap, extra=["fs", "channel"]).withColumn("order", F.col("bucket"))
     digits = {"t_s": 3, "lo": 3, "hi": 3}
     pulse = pulse.withColumns({c: finite(F.col(c), d) for c, d in digits.items()})
