@@ -102,13 +102,12 @@ def running(df: DataFrame, keys: Sequence[str], sums: dict[str, Column], chunk:
 
 
 def previous(df: DataFrame, keys: Sequence[str], values: dict[str, Column], chunk: str = CHUNK, pos: str = POS) -> DataFrame:
-    """The preceding row's value within the key, across chunk borders."""
-    boxed = {n: F.struct(c.alias("v")) for n, c in values.items()}
+    """The preceding row's value within the key, across chunk borders; values must not be null."""
     df = with_carry(
-        df, keys, [Carry(f"_c_{n}", F.max_by(b, F.col(pos)), "last") for n, b in boxed.items()], chunk
+        df, keys, [Carry(f"_c_{n}", F.max_by(c, F.col(pos)), "last") for n, c in values.items()], chunk
     )
     w = chunk_window(keys, chunk, pos)
-    added = {n: F.coalesce(F.lag(b).over(w), F.col(f"_c_{n}"))["v"] for n, b in boxed.items()}
+    added = {n: F.coalesce(F.lag(c).over(w), F.col(f"_c_{n}")) for n, c in values.items()}
     return df.withColumns(added).drop(*[f"_c_{n}" for n in values])
 
 

@@ -39,28 +39,28 @@ CHANNELS = ("ppg0", "ppg1", "ppg2")
 
 #: Samples per piece. Pieces are at least four halos long, whatever the sample rate.
 PIECE = 1 << 18
-#: Longest run of candidate peaks folded in one row; longer runs are resolved by joins.
-FOLD_LIMIT = 1024
+#: Samples a run of candidate peaks may span to be folded in one row; longer runs are
+#: resolved by joins.
+FOLD_SPAN = 4096
 
 
 def sample_index(samples: DataFrame, keys: Sequence[str], columns: Sequence[str] = (), ts: str = "timestamp_ns") -> DataFrame:
     """Samples in time order with ``i`` (row number), ``n``, relative time ``t_s`` and ``fs``.
 
     ``fs`` is one over the median positive step between neighbours, 1.0 where there is none.
-    The first and last values of ``columns`` come along as ``_first`` and ``_last``.
+    The first and last values of ``columns`` come along as ``_first_*`` and ``_last_*``.
     Everything that concerns a whole recording is computed on one row per range and joined
     to the samples of that range.
     """
     keys = list(keys)
     placed = ordered_chunks(samples, keys, [ts], "samples")
-    row = F.struct(*(columns or [ts]))
     per_chunk = placed.groupBy(*keys, CHUNK).agg(
         F.count("*").alias("_c"),
         F.min(POS).alias("_p0"),
         F.min(ts).alias("_a"),
         F.max(ts).alias("_b"),
-        F.min_by(row, POS).alias("_f"),
-        F.max_by(row, POS).alias("_l"),
+        *[F.min_by(c, POS).alias(f"_f_{c}") for c in columns],
+        *[F.max_by(c, POS).alias(f"_l_{c}") for c in columns],
     )
     whole = Window.partitionBy(*keys)
     earlier = whole.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
@@ -72,8 +72,8 @@ def sample_index(samples: DataFrame, keys: Sequence[str], columns: Sequence[str]
             F.max("_b").over(earlier).alias("_earlier"),
             F.sum("_c").over(whole).alias("n"),
             F.min("_a").over(whole).alias("_t0"),
-            F.min_by("_f", CHUNK).over(whole).alias("_first"),
-            F.max_by("_l", CHUNK).over(whole).alias("_last"),
+            *[F.min_by(f"_f_{c}", CHUNK).over(whole).alias(f"_first_{c}") for c in columns],
+            *[F.max_by(f"_l_{c}", CHUNK).over(whole).alias(f"_last_{c}") for c in columns],
         ),
         "ranges",
     )
@@ -152,12 +152,13 @@ def moving_averages(indexed: DataFrame, keys: Sequence[str], columns: Sequence[s
         right = F.greatest(F.lit(0), F.col("i") + h - F.col("n") + 1)
         for c in columns:
             inside = F.sum(c).over(upper) - F.coalesce(F.sum(c).over(lower), F.lit(0))
-            padded = inside + F.col(f"_first.{c}") * left + F.col(f"_last.{c}") * right
+            padded = inside + F.col(f"_first_{c}") * left + F.col(f"_last_{c}") * right
             added[f"{c}_{w}"] = F.when(h == 0, F.col(c).cast("double")).otherwise(padded / (2 * h + 1))
     return (
         cut.withColumns(added)
         .where("core")
-        .drop("core", "piece", "_first", "_last", *[f"_{p}_{w}" for p in ("h", "k") for w in widths])
+        .drop("core", "piece", *[f"_{p}_{c}" for p in ("first", "last") for c in columns])
+        .drop(*[f"_{p}_{w}" for p in ("h", "k") for w in widths])
     )
 
 
@@ -231,14 +232,14 @@ def min_distance(fs: Column) -> Column:
     return F.greatest(F.lit(1).cast("bigint"), (fs * REFRACTORY_S).cast("bigint"))
 
 
-def merge_peaks(candidates: DataFrame, keys: Sequence[str], fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def merge_peaks(candidates: DataFrame, keys: Sequence[str], fold_span: int = FOLD_SPAN) -> DataFrame:
     """Peaks at least a refractory distance apart, the taller of two close ones winning.
 
     The rule walks from left to right and holds one current peak. A candidate that is
     taller than all others within the distance before it becomes the current peak whatever
     came earlier, so the walk splits there into independent stretches. A stretch is folded
-    in one row; a stretch of more than ``fold_limit`` candidates (only a steady decline or
-    a plateau of copies makes one) is walked by doubling jumps between candidates instead.
+    in one row; a stretch of more than ``fold_span`` samples (only a steady decline or a
+    plateau of copies makes one) is walked by doubling jumps between candidates instead.
     """
     keys = list(keys)
     df = candidates.withColumn("d", min_distance(F.col("fs")))
@@ -247,7 +248,7 @@ def merge_peaks(candidates: DataFrame, keys: Sequence[str], fold_limit: int = FO
     near = Window.partitionBy(*keys, "piece").orderBy("_k").rangeBetween(-1, 0)
     tallest = F.max(F.struct(F.col("y"), (-F.col("i")).alias("ni"))).over(near)
     start = F.when(tallest["ni"] == -F.col("i"), F.col("i"))
-    marked = cut.withColumn("_start", start).where("core").drop("_k", "core")
+    marked = durable(cut.withColumn("_start", start).where("core").drop("_k", "core"), "candidates")
     # A stretch is named by its first candidate; the next stretch begins at a known peak,
     # which decides the fate of this one's last peak.
     line = with_carry(
@@ -264,25 +265,25 @@ def merge_peaks(candidates: DataFrame, keys: Sequence[str], fold_limit: int = FO
             "_next": F.coalesce(F.min("_start").over(backward), "_ahead"),
         }
     ).drop("_past", "_ahead", "_start")
-    within = chunk_window([*keys, "stretch"], "piece", "i")
-    stretches = line.withColumn("_nth", F.row_number().over(within))
-    folded = durable(_folded(stretches, keys, fold_limit), "stretches")
-    longest = folded.agg(F.max("_len")).first()[0] or 0  # one number, to choose the plan
-    peaks = folded.where(F.col("_len") <= fold_limit).select(*keys, "fs", F.explode("peaks").alias("p"))
+    folded = durable(_folded(line, keys, fold_span), "stretches")
+    long_ = F.col("_span") > fold_span
+    longest = folded.where(long_).agg(F.max("_len")).first()[0]  # one number, to choose the plan
+    peaks = folded.where(~long_).select(*keys, "fs", F.explode("peaks").alias("p"))
     peaks = peaks.select(*keys, "p.i", "p.t_s", "p.y", "fs")
-    if longest > fold_limit:
-        long_ = folded.where(F.col("_len") > fold_limit).select(*keys, "stretch")
-        peaks = peaks.unionByName(_jumped(line.join(long_, [*keys, "stretch"], "left_semi"), keys, longest))
+    if longest is not None:
+        rest = line.join(folded.where(long_).select(*keys, "stretch"), [*keys, "stretch"], "left_semi")
+        peaks = peaks.unionByName(_jumped(rest, keys, longest))
     return peaks
 
 
-def _folded(stretches: DataFrame, keys: list[str], fold_limit: int) -> DataFrame:
-    """Length and surviving peaks of each stretch; only its first ``fold_limit`` rows are gathered."""
+def _folded(stretches: DataFrame, keys: list[str], fold_span: int) -> DataFrame:
+    """Extent and surviving peaks of each stretch; no more than ``fold_span`` samples are gathered."""
     grouped = stretches.groupBy(*keys, "stretch").agg(
         F.array_sort(
-            F.collect_list(F.when(F.col("_nth") <= fold_limit, F.struct("i", "y", "t_s")))
+            F.collect_list(F.when(F.col("i") - F.col("stretch") <= fold_span, F.struct("i", "y", "t_s")))
         ).alias("c"),
         F.count("*").alias("_len"),
+        (F.max("i") - F.first("stretch")).alias("_span"),
         F.first("d").alias("d"),
         F.min("_next").alias("_next"),
         F.first("fs").alias("fs"),
@@ -303,7 +304,7 @@ def _folded(stretches: DataFrame, keys: list[str], fold_limit: int) -> DataFrame
     state = grouped.withColumn("s", F.aggregate(rest, start, step))
     stands = F.col("_next").isNull() | (F.col("_next") - F.col("s.cur.i") >= F.col("d"))
     done = F.when(stands, F.concat(F.col("s.done"), F.array(F.col("s.cur")))).otherwise(F.col("s.done"))
-    return state.select(*keys, "stretch", "_len", "fs", done.alias("peaks"))
+    return state.select(*keys, "stretch", "_len", "_span", "fs", done.alias("peaks"))
 
 
 def _jumped(stretches: DataFrame, keys: list[str], longest: int) -> DataFrame:
