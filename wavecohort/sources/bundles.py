@@ -38,11 +38,9 @@ def file_name_of(path: Column) -> Column:
 
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
-    """One row per bundle manifest below ``root``."""
-    raw = spark.read.schema(_with_corrupt(MANIFEST_DDL)).option("multiLine", True).option(
-        "columnNameOfCorruptRecord", CORRUPT
-    ).json(f"{root}/*/manifest.json")
-    return raw.withColumn("bundle", bundle_of(F.input_file_name()))
+    """One row per bundle manifest below ``root``; one that does not parse is kept in ``_corrupt``."""
+    whole = spark.read.text(f"{root}/*/manifest.json", wholetext=True)
+    return parse_manifests(whole.select(bundle_of(F.input_file_name()).alias("bundle"), "value"), "value")
 
 
 def parse_manifests(lines: DataFrame, text: str) -> DataFrame:
@@ -58,9 +56,9 @@ def _parsed(lines: DataFrame, text: str, ddl: str) -> DataFrame:
 
 
 def read_segments(spark: SparkSession, root: str) -> DataFrame:
-    schema = _with_corrupt("event string, segment_id bigint, ts double")
-    raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).json(f"{root}/*/segments.jsonl")
-    return raw.withColumn("bundle", bundle_of(F.input_file_name()))
+    lines = spark.read.text(f"{root}/*/segments.jsonl").where(F.trim("value") != "")
+    named = lines.select(bundle_of(F.input_file_name()).alias("bundle"), "value")
+    return parse_lines(named, "value", "event string, segment_id bigint, ts double")
 
 
 def read_notes(spark: SparkSession, root: str, kind: str = "jsonl") -> DataFrame:
@@ -138,19 +136,21 @@ def check_files(files: DataFrame, declared: DataFrame | None = None, max_bytes:
     """Verdict per staged file: its hash and whether name, size and declared hash are in order.
 
     ``files`` has upload, name and content, ``declared`` has upload, name and sha256;
-    a file nobody declared a hash for is accepted as ``undeclared``.
+    a file nobody declared a hash for is accepted as ``undeclared``. A declared file that
+    is not there is ``missing``; file scans skip empty files, so those show up here too.
     """
     size = F.col("bytes") if "bytes" in files.columns else F.octet_length("content")
     facts = files.withColumn("bytes", size).withColumn("sha256", F.sha2(F.col("content").cast("binary"), 256)).drop("content")
     if declared is not None:
-        facts = facts.join(declared.withColumnRenamed("sha256", "declared"), ["upload", "name"], "left")
+        facts = facts.join(declared.withColumnRenamed("sha256", "declared"), ["upload", "name"], "full_outer")
     return facts.withColumn("verdict", file_verdict(max_bytes))
 
 
 def file_verdict(max_bytes: int = MAX_FILE_BYTES) -> Column:
     return (
         F.when(~allowed_name(F.col("name")), "illegal_name")
-        .when(F.coalesce("bytes", F.lit(0)) == 0, "empty")
+        .when(F.col("bytes").isNull(), "missing")
+        .when(F.col("bytes") == 0, "empty")
         .when(~allowed_size(F.col("bytes"), max_bytes), "too_large")
         .when(F.col("declared").isNull(), "undeclared")
         .when(F.col("declared") == F.col("sha256"), "ok")
