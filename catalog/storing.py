@@ -89,7 +89,7 @@ def _landed(spark, sf) -> tuple[str, DataFrame]:
 
 @query(sql("ppg", " SELECT session_id AS recording, count(*) AS samples, min(timestamp_ns) AS first_ns, sum(ppg0)::BIGINT AS ppg0_sum FROM ppg GROUP BY 1"))
 def a3_landed_samples(spark, sf):
-    prepare(spark)
+    prepare(spark, sf)
     root, _ = _landed(spark, sf)
     landed = spark.read.parquet(f"{root}/ppg")
     ids = landed.withColumn("session_id", F.regexp_extract("bundle", r"(\d+)$", 1).cast("bigint")).drop("bundle")
@@ -234,7 +234,7 @@ SENT = """ sent AS (SELECT CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumb
 
 
 def _target_and_batch(spark, sf):
-    prepare(spark)
+    prepare(spark, sf)
     sent = _sent(spark, sf)
     cols = ["reading_id", "sys", "clock_offset_s", "slot"]
     empty = sent.select(*cols).limit(0)
@@ -266,7 +266,7 @@ def d19_ingest_receipt(spark, sf):
   SELECT id AS phone_session_uuid, min(phone) AS uploader_phone_id, CAST(min(o_orderkey) AS DOUBLE) AS opened_at, 'open' AS status
   FROM req WHERE id NOT IN (SELECT id FROM known) GROUP BY 1""")
 def h2_open_uploads(spark, sf):
-    prepare(spark)
+    prepare(spark, sf)
     o = table(spark, sf, "orders").select(
         F.concat(F.lit("o"), F.col("o_custkey").cast("string")).alias("phone_session_uuid"),
         F.concat(F.lit("ph"), (F.col("o_custkey") % 7).cast("string")).alias("uploader_phone_id"),
@@ -281,7 +281,7 @@ def h2_open_uploads(spark, sf):
 @query("""SELECT o_custkey, epoch(max(o_orderdate)) AS changed_at, arg_max(o_orderstatus, (epoch(o_orderdate), o_orderstatus, o_orderkey)) AS status,
    arg_max(o_orderkey, (epoch(o_orderdate), o_orderstatus, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1""")
 def h3_latest_status(spark, sf):
-    prepare(spark)
+    prepare(spark, sf)
     o = table(spark, sf, "orders").select(
         "o_custkey",
         (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1e6).alias("changed_at"),
@@ -321,7 +321,7 @@ def p2_series_points(spark, sf):
 
 
 WAVE = f"""{PIDX}{BAND}{PEAK}, ev2 AS ({ENV.format(k='session_id', v='y', extra='', cap=500, src='sig')}),
- wp AS (SELECT session_id, count(*) AS points, round(sum(lo), 1) AS lo_sum, round(sum(hi), 1) AS hi_sum FROM ev2 GROUP BY 1),
+ wp AS (SELECT session_id, count(*) AS points, round(sum(lo), 3) AS lo_sum, round(sum(hi), 3) AS hi_sum FROM ev2 GROUP BY 1),
  wb AS (SELECT session_id, count(*) AS n_beats, round(avg(bpm) FILTER (WHERE bpm > 30 AND bpm < 220), 1) AS mean_bpm,
    least(500, count(*) FILTER (WHERE bpm > 30 AND bpm < 220)) AS beats_kept FROM bt GROUP BY 1 HAVING count(*) >= 2),
  asked AS (SELECT DISTINCT session_id FROM ppg UNION ALL SELECT -1)"""
@@ -335,7 +335,7 @@ def p3_waveforms(spark, sf):
     asked = ids.unionByName(ids.select(F.lit(-1).alias("session_id")).distinct())
     known = ids.select(F.col("session_id").alias("id"), F.lit(0.0).alias("start_time"), F.lit("dev").alias("device_name"))
     out = waveforms(asked, known, ppg, motion, cap=500)
-    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 1)
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 3)
     return out.select(
         "session_id", "found", F.when(F.col("ppg").isNotNull(), F.size("ppg.t_s")).cast("bigint").alias("points"),
         total("ppg.lo").alias("lo_sum"), total("ppg.hi").alias("hi_sum"), "hr.n_beats", "hr.mean_bpm",
@@ -350,7 +350,7 @@ ORACLE["e14_waveform_blocks"] = ORACLE["p3_waveforms"]
 
 @query(f"WITH {SENT}, new AS (SELECT DISTINCT reading_id FROM bat) SELECT (SELECT count(*) FROM bat) AS received, (SELECT count(*) FROM new) AS inserted, (SELECT count(*) FROM new) AS total")
 def p4_ingest_readings(spark, sf):
-    prepare(spark)
+    prepare(spark, sf)
     sent = _sent(spark, sf).where("NOT stored")
     rows = sent.select(
         *[F.col(f.name) if f.name in sent.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema_of("cuff_readings").fields],
@@ -388,10 +388,9 @@ def _to_table(spark, stream: DataFrame) -> DataFrame:
 def k1_upsert_stream(spark, sf):
     cols = schema_of("cuff_readings").names
     stream = _stream(spark, sf, "readings", lambda r: r.unionByName(r).select(*cols))
-    root = folder(spark, "readings-table")
-    _finish(streams.upsert_readings(stream, root, folder(spark, "state"), F.col("uploaded_at")))
-    empty = spark.createDataFrame([], schema_of("cuff_readings"))
-    return snapshots.current(spark, root, empty).select("reading_id", "taken_at", "sys", "clock_offset_s")
+    root = folder(spark, "readings-log")
+    _finish(streams.upsert_readings(stream, root, folder(spark, "state")))
+    return ingest.merged_readings(spark, root, F.col("uploaded_at")).select("reading_id", "taken_at", "sys", "clock_offset_s")
 
 
 CLOSED = "WHERE bucket + 3600 <= (SELECT floor(max(ts) * 1000) / 1000 FROM minutes) - 7200"
@@ -429,11 +428,9 @@ def k4_freshness_stream(spark, sf):
 def k5_pairing_stream(spark, sf):
     stream = _stream(spark, sf, "readings", lambda _: placed(spark, sf).select("reading_id", "subject_id", "t"))
     spans = durable(attributed(spark, sf).select("subject_id", "start_time", "end_time", "id"), "spans")
-    roots = (folder(spark, "pairs"), folder(spark, "waiting"))
-    _finish(streams.pair_readings(stream, lambda s: s.read.schema(spans.schema).parquet(*spans.inputFiles()), roots, folder(spark, "state")))
-    done = snapshots.versions(spark, roots[0])[-1]
-    pairs = spark.read.parquet(f"{roots[0]}/version={done:08d}")
-    return pairs.select("reading_id", "session_id", F.round("gap", 6).alias("gap"))
+    root = folder(spark, "pairing")
+    _finish(streams.pair_readings(stream, lambda s: s.read.schema(spans.schema).parquet(*spans.inputFiles()), root, folder(spark, "state")))
+    return streams.paired(spark, root).select("reading_id", "session_id", F.round("gap", 6).alias("gap"))
 
 
 @query(sql("files", FIL.format(limit=200 * 1024 * 1024) + " SELECT upload, name, seq, verdict, verdict IN ('ok', 'undeclared') AS accepted FROM vd"))

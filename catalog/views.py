@@ -178,7 +178,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """One view as a DataFrame."""
-    prepare(spark)
+    prepare(spark, sf)
     text = f"WITH {ctes((name,), 'spark')} SELECT * FROM {name}"
     needed = [t for t in TABLES if f"FROM {t}" in text or f"JOIN {t} " in text]
     for t in needed:

@@ -66,16 +66,6 @@ def test_top_per_group_is_exact(spark):
         assert sorted(r.id for r in got if r.k == key) == sorted(n for _, n in mine)
 
 
-def test_attach_spreads_and_keeps_rows(spark):
-    rng = random.Random(5)
-    rows = [(k, n) for n, k in enumerate(subjects(500, rng))]
-    df = spark.createDataFrame(rows, "k string, id long")
-    facts = df.groupBy("k").count()
-    out = o.attach(df, facts, ["k"]).collect()
-    sizes = {k: sum(1 for x, _ in rows if x == k) for k, _ in rows}
-    assert len(out) == 500 and all(r["count"] == sizes[r.k] for r in out)
-
-
 def test_halo_pieces_hold_their_neighbours(spark):
     df = spark.range(50).withColumnRenamed("id", "i")
     rows = o.halo(df, "i", F.lit(10), before=F.lit(3), after=F.lit(2)).collect()

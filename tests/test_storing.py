@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from wavecohort.operators import merge
 from wavecohort.plans import ingest
 from wavecohort.plans.waveforms import waveforms
 from wavecohort.schemas import FILL_ONCE, schema_of
-from wavecohort.session import shared_dir
+from wavecohort.session import drop_intermediates, durable, shared_dir, shuffle_partitions_for
 from wavecohort.sources import bundles, snapshots
 from wavecohort.streaming import streams
 
@@ -175,22 +176,29 @@ def test_streamed_upsert_fills_late_and_replays_change_nothing(spark, tmp_path):
     source.mkdir()
     cols = schema_of("cuff_readings")
 
-    def arrive(name, rows):
-        batch(spark, tmp_path, name, rows).coalesce(1).write.mode("append").parquet(str(source))
+    def arrive(name, rows, now):
+        batch(spark, tmp_path, name, rows, now).coalesce(1).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema(cols).parquet(str(source))
-        streams.upsert_readings(stream, root, state, F.lit(0)).awaitTermination()
+        streams.upsert_readings(stream, root, state).awaitTermination()
+        return {r.reading_id: r for r in ingest.merged_readings(spark, root, F.lit(0)).collect()}
 
-    arrive("x", [wire("a"), wire("b")])
-    arrive("y", [wire("a", clock_offset_s=-2.0), wire("c")])
-    arrive("z", [wire("a", clock_offset_s=-7.0)])
-    got = stored(spark, root)
+    arrive("x", [wire("a"), wire("b")], 1.0)
+    arrive("y", [wire("a", clock_offset_s=-2.0), wire("c")], 2.0)
+    ingest.compact_readings(spark, root, F.lit(0))
+    got = arrive("z", [wire("a", clock_offset_s=-7.0)], 3.0)
     assert set(got) == {"a", "b", "c"} and got["a"].clock_offset_s == -2.0
+    assert (got["a"].uploaded_at, got["a"].last_seen_at, got["b"].last_seen_at) == (1.0, 3.0, 1.0)
+    # A replayed batch replaces itself.
+    ingest.log_readings(batch(spark, tmp_path, "again", [wire("a", clock_offset_s=-7.0)], 3.0), root, 2)
+    assert ingest.merged_readings(spark, root, F.lit(0)).count() == 3
+    ingest.compact_readings(spark, root, F.lit(0))
+    ingest.compact_readings(spark, root, F.lit(0))
+    assert snapshots.versions(spark, f"{root}/table") == [2, 3]
 
 
 def test_streamed_pairing_waits_for_the_recording(spark, tmp_path):
-    source, state = tmp_path / "in", str(tmp_path / "state")
+    source, root, state = tmp_path / "in", str(tmp_path / "pairing"), str(tmp_path / "state")
     source.mkdir()
-    roots = (str(tmp_path / "pairs"), str(tmp_path / "waiting"))
     known = []
 
     def arrive(rows):
@@ -198,11 +206,21 @@ def test_streamed_pairing_waits_for_the_recording(spark, tmp_path):
         df.coalesce(1).write.mode("append").parquet(str(source))
         spans = lambda s: s.createDataFrame(known, "subject_id string, start_time double, end_time double, id long")
         stream = spark.readStream.schema(df.schema).parquet(str(source))
-        streams.pair_readings(stream, spans, roots, state).awaitTermination()
+        streams.pair_readings(stream, spans, root, state).awaitTermination()
+        return {r.reading_id for r in streams.paired(spark, root).collect()}
 
-    read = lambda root: {r.reading_id for r in snapshots.current(spark, root, spark.createDataFrame([], "reading_id string, subject_id string, t double, session_id long, gap double" if root == roots[0] else "reading_id string, subject_id string, t double")).collect()}
-    arrive([("a", "p", 50.0)])
-    assert read(roots[0]) == set() and read(roots[1]) == {"a"}
+    assert arrive([("a", "p", 50.0)]) == set()
     known.append(("p", 0.0, 100.0, 1))
-    arrive([("b", "p", 9000.0)])
-    assert read(roots[0]) == {"a"} and read(roots[1]) == {"b"}
+    assert arrive([("b", "p", 9000.0)]) == {"a"}
+    assert arrive([("a", "p", 50.0), ("c", "p", 60.0)]) == {"a", "c"}
+
+
+def test_sizes_and_cleanup(spark):
+    assert shuffle_partitions_for(0, 8) == 8
+    assert shuffle_partitions_for(100 * 10**12, 200) == 100_000
+    assert shuffle_partitions_for(10**12, 200) == 3726
+    kept = durable(spark.range(3), "three")
+    path = kept.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
+    assert os.path.isdir(path)
+    drop_intermediates(spark)
+    assert not os.path.isdir(path)

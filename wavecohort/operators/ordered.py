@@ -174,21 +174,19 @@ def rank_select(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str,
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, salts: int = 256) -> DataFrame:
-    """The first ``k`` rows of every key; the key is first cut per salt so that it never fills one task."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)))
+    """The first ``k`` rows of every key.
+
+    Rows are cut three times: to ``k`` per key inside each scan task, before any shuffle,
+    then to ``k`` per key and salt, then to ``k`` per key. The salt is the task's number, so
+    the first cut sees all of a key's rows of that task.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     partial = Window.partitionBy(*keys, "_salt").orderBy(*order)
     final = Window.partitionBy(*keys).orderBy(*order)
     cut = salted.withColumn("_rn", F.row_number().over(partial)).where(F.col("_rn") <= k)
     return cut.withColumn("_rn", F.row_number().over(final)).where(F.col("_rn") <= k).drop("_salt", "_rn")
 
 
-def attach(df: DataFrame, small: DataFrame, on: Sequence[str], salts: int = 16, how: str = "left") -> DataFrame:
-    """Join per-key facts back to rows, with the key's rows spread over ``salts`` tasks."""
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return df.withColumn("_salt", spread).join(copies, [*on, "_salt"], how).drop("_salt")
-
-
 def gap_runs(df: DataFrame, keys: Sequence[str], ts: str, gap: float, run: str = "run") -> DataFrame:
     """Number the runs of each key: a new run starts where the step exceeds ``gap``."""
     placed = ordered_chunks(df, keys, [ts], "runs")

@@ -6,12 +6,12 @@ the optical signal.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from wavecohort.functions import clock
 from wavecohort.functions.values import below, finite, usable
 from wavecohort.operators.intervals import PAIR_HR_WINDOW_S, PAIR_WINDOW_S, band_average, containing_interval
-from wavecohort.operators.ordered import attach, gap_runs, rank_select, top_per_group
+from wavecohort.operators.ordered import gap_runs, rank_select, top_per_group
 
 # Caps, gaps and limits of the series.
 MAX_POINTS = 5000
@@ -127,10 +127,14 @@ def daily_summary(points: DataFrame, tz: str) -> DataFrame:
 
 
 def adaptive_points(points: DataFrame, tz: str, detail_limit: int = DETAIL_LIMIT) -> DataFrame:
-    """Single readings for subjects with few points, daily medians for the others."""
-    sizes = points.groupBy("subject_id").agg((F.count("*") > detail_limit).alias("aggregated"))
-    routed = attach(points, sizes, ["subject_id"], how="inner")
-    single = routed.where(~F.col("aggregated")).select(
+    """Single readings for subjects with few points, daily medians for the others.
+
+    No per-subject count is joined back to the readings: one reading above the limit is
+    enough to tell a subject that has too many, and the days know their own totals.
+    """
+    key = Window.partitionBy("subject_id")
+    few = top_per_group(points, ["subject_id"], [F.asc("ts"), F.asc("reading_id")], detail_limit + 1)
+    single = few.withColumn("_n", F.count("*").over(key)).where(F.col("_n") <= detail_limit).select(
         "subject_id",
         "ts",
         *[F.col(c).cast("double").alias(c) for c in ("sys", "dia", "pulse")],
@@ -138,10 +142,10 @@ def adaptive_points(points: DataFrame, tz: str, detail_limit: int = DETAIL_LIMIT
         F.col("sys").alias("sys_hi"),
         F.lit(1).cast("bigint").alias("n"),
         below(F.col("sys"), LOW_SYSTOLIC).alias("any_low"),
-        "aggregated",
+        F.lit(False).alias("aggregated"),
     )
-    daily = daily_summary(routed.where("aggregated"), tz).withColumn("aggregated", F.lit(True)).drop("day")
-    return single.unionByName(daily)
+    days = daily_summary(points, tz).withColumn("_n", F.sum("n").over(key)).where(F.col("_n") > detail_limit)
+    return single.unionByName(days.withColumn("aggregated", F.lit(True)).drop("day", "_n"))
 
 
 def hour_of_day(points: DataFrame, tz: str) -> DataFrame:

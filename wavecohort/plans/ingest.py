@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wavecohort.operators.merge import drop_repeats, first_writer_merge, latest_status, open_uploads, receipt
-from wavecohort.schemas import STATS_DDL, schema_of
+from wavecohort.operators.merge import drop_repeats, first_writer_merge, latest_status, receipt
+from wavecohort.schemas import DDL, STATS_DDL, schema_of
 from wavecohort.session import durable
 from wavecohort.sources import bundles
-from wavecohort.sources.snapshots import current, publish
+from wavecohort.sources.snapshots import current, publish, versions
 
 
 def ingest_readings(spark: SparkSession, root: str, batch: DataFrame, seq: Column) -> DataFrame:
@@ -19,6 +19,39 @@ def ingest_readings(spark: SparkSession, root: str, batch: DataFrame, seq: Colum
     return counts
 
 
+def log_readings(batch: DataFrame, root: str, number: int) -> None:
+    """Append a batch to the readings log; the same number written again replaces itself."""
+    batch.write.mode("overwrite").parquet(f"{root}/log/batch={number}")
+
+
+def merged_readings(spark: SparkSession, root: str, seq: Column) -> DataFrame:
+    """The readings table: the last compacted version, then the log in batch order.
+
+    ``seq`` orders rows within a batch. ``last_seen_at`` is when a reading was last sent,
+    beside ``uploaded_at``, which stays at its first arrival.
+    """
+    schema = schema_of("cuff_readings")
+    base = current(spark, f"{root}/table", spark.createDataFrame([], schema))
+    log = spark.read.schema(f"{DDL['cuff_readings']}, batch bigint").parquet(f"{root}/log")
+    sent = log.where(F.col("batch") > compacted_until(spark, root))
+    merged = first_writer_merge(base, sent, ["reading_id"], F.struct("batch", seq.alias("seq")))
+    seen = log.groupBy("reading_id").agg(F.max("uploaded_at").alias("last_seen_at"))
+    return merged.join(seen, "reading_id", "left")
+
+
+def compacted_until(spark: SparkSession, root: str) -> int:
+    """Highest batch number already contained in the compacted table."""
+    done = versions(spark, f"{root}/table")
+    return done[-1] - 1 if done else -1
+
+
+def compact_readings(spark: SparkSession, root: str, seq: Column) -> None:
+    """Write the merged table as a version that is numbered by the last batch it contains."""
+    newest = spark.read.schema("batch bigint").parquet(f"{root}/log").agg(F.max("batch")).first()[0]
+    if newest is not None and newest > compacted_until(spark, root):
+        publish(merged_readings(spark, root, seq).drop("last_seen_at"), f"{root}/table", newest + 1)
+
+
 def sessions_from_manifests(manifests: DataFrame) -> DataFrame:
     """Recordings described by the manifests; the id is a hash of the upload's own id."""
     return manifests.select(
@@ -103,12 +136,3 @@ def completed_uploads(uploads: DataFrame, finished: DataFrame) -> DataFrame:
         F.when(good, F.col("_n_convert_stats_json")).otherwise(F.col("convert_stats_json")).alias("convert_stats_json"),
     )
 
-
-__all__ = [
-    "completed_uploads",
-    "conversion_stats",
-    "convert_bundles",
-    "ingest_readings",
-    "open_uploads",
-    "sessions_from_manifests",
-]

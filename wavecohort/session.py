@@ -17,16 +17,46 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     "spark.sql.parquet.filterPushdown": "true",
+    # A task run again after a lost executor must give the rows it gave before; where the
+    # order of its input made it differ, all its consumers run again.
+    "spark.sql.shuffle.orderIndependentChecksum.enabled": "true",
+    "spark.sql.shuffle.orderIndependentChecksum.enableFullRetryOnMismatch": "true",
 }
 
+#: Stored (compressed) bytes that one shuffle partition should stand for.
+PARTITION_BYTES = 256 * 1024 * 1024
+MAX_PARTITIONS = 100_000
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session."""
+_written: dict[str, list[str]] = {}
+
+
+def shuffle_partitions_for(input_bytes: int, at_least: int) -> int:
+    """Shuffle partitions for an input size; adaptive execution merges what turns out small."""
+    return min(MAX_PARTITIONS, max(at_least, -(-input_bytes // PARTITION_BYTES)))
+
+
+def prepare(spark: SparkSession, *inputs: str) -> SparkSession:
+    """Apply the runtime settings; with ``inputs`` also size shuffles by what these paths hold."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    if inputs:
+        now = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        wanted = shuffle_partitions_for(sum(_size(spark, path) for path in inputs), now)
+        if wanted > now:
+            spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
     return spark
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _size(spark: SparkSession, path: str) -> int:
+    fs, at = _hadoop(spark, path)
+    return fs.getContentSummary(at).getLength() if fs.exists(at) else 0
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables, visible to every executor.
 
@@ -56,4 +86,12 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete the tables this application wrote with ``durable``, once its results are stored."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        fs, at = _hadoop(spark, path)
+        fs.delete(at, True)

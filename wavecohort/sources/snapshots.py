@@ -24,9 +24,10 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(found)
 
 
-def publish(df: DataFrame, root: str) -> int:
-    """Write ``df`` as the next version; readers see it once its success marker is there."""
-    number = (versions(df.sparkSession, root) or [0])[-1] + 1
+def publish(df: DataFrame, root: str, number: int | None = None) -> int:
+    """Write ``df`` as the next (or a numbered) version; readers see it once its success marker is there."""
+    if number is None:
+        number = (versions(df.sparkSession, root) or [0])[-1] + 1
     df.write.mode("overwrite").parquet(f"{root}/version={number:08d}")
     return number
 

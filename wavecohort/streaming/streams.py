@@ -8,16 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wavecohort.functions import clock
 from wavecohort.functions.values import finite
 from wavecohort.operators.intervals import PAIR_WINDOW_S, nearest_interval
-from wavecohort.plans.ingest import ingest_readings
-from wavecohort.session import prepare
+from wavecohort.plans.ingest import log_readings
+from wavecohort.session import durable, prepare
 from wavecohort.sources.bundles import check_files
-from wavecohort.sources.snapshots import current, publish
+from wavecohort.sources.snapshots import publish
 
 
 def _each_batch(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
@@ -34,13 +34,13 @@ def _each_batch(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, i
     )
 
 
-def upsert_readings(stream: DataFrame, table_root: str, checkpoint: str, seq: Column) -> StreamingQuery:
-    """Continuous first-writer merge with late back-fill of blank provenance columns."""
+def upsert_readings(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Continuous first-writer merge with late back-fill of blank provenance columns.
 
-    def work(batch: DataFrame, _: int) -> None:
-        ingest_readings(batch.sparkSession, table_root, batch, seq)
-
-    return _each_batch(stream, checkpoint, work)
+    A micro-batch is only appended to the log below ``root``, so its cost does not grow
+    with the table; ``merged_readings`` applies the merge when the table is read.
+    """
+    return _each_batch(stream, checkpoint, lambda batch, batch_id: log_readings(batch, root, batch_id))
 
 
 def hourly_quality(stream: DataFrame, late: str = "2 hours", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -83,36 +83,52 @@ def freshness(stream: DataFrame, table_root: str, checkpoint: str, now: float, s
     return _each_batch(latest, checkpoint, work, "complete")
 
 
+PAIR_DDL = "reading_id string, subject_id string, t double, session_id bigint, gap double"
+WAIT_DDL = "reading_id string, subject_id string, t double"
+
+
 def pair_readings(
-    stream: DataFrame, intervals: Callable[[SparkSession], DataFrame], roots: tuple[str, str], checkpoint: str,
+    stream: DataFrame,
+    intervals: Callable[[SparkSession], DataFrame],
+    root: str,
+    checkpoint: str,
     tolerance: float = PAIR_WINDOW_S,
 ) -> StreamingQuery:
     """Match arriving readings to recordings; unmatched ones wait for the recording to arrive.
 
-    ``stream`` has reading_id, subject_id and t. ``roots`` are the tables of pairs and of
-    waiting readings; both are republished per batch, keyed by reading.
+    ``stream`` has reading_id, subject_id and t. Each batch works on its own rows and on
+    those still waiting after the batch before, and writes to folders of its own number, so
+    a replay overwrites itself and pairs found earlier are not rewritten.
     """
-    pairs_root, waiting_root = roots
 
-    def work(batch: DataFrame, _: int) -> None:
+    def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.select("reading_id", "subject_id", "t")
-        paired = rows.withColumns({"session_id": F.lit(0).cast("bigint"), "gap": F.lit(0.0)}).limit(0)
-        done = current(spark, pairs_root, paired)
-        waiting = current(spark, waiting_root, rows.limit(0))
-        todo = waiting.unionByName(rows).dropDuplicates(["reading_id"]).join(
-            done.select("reading_id"), "reading_id", "left_anti"
-        )
-        near = nearest_interval(
-            todo, intervals(spark), "subject_id", "t", "start_time", "end_time", "id", "gap", "session_id"
+        if batch_id > 0:
+            rows = rows.unionByName(spark.read.schema(WAIT_DDL).parquet(f"{root}/waiting/batch={batch_id - 1}"))
+        todo = durable(rows.groupBy("reading_id").agg(F.min_by(F.struct("subject_id", "t"), "t").alias("r")).select("reading_id", "r.*"), "todo")
+        near = durable(
+            nearest_interval(
+                todo, intervals(spark), "subject_id", "t", "start_time", "end_time", "id", "gap", "session_id"
+            ),
+            "near",
         )
         hit = F.coalesce(F.col("gap") <= tolerance, F.lit(False))
-        publish(done.unionByName(near.where(hit)), pairs_root)
-        publish(near.where(~hit).select("reading_id", "subject_id", "t"), waiting_root)
+        near.where(hit).write.mode("overwrite").parquet(f"{root}/pairs/batch={batch_id}")
+        near.where(~hit).select("reading_id", "subject_id", "t").write.mode("overwrite").parquet(
+            f"{root}/waiting/batch={batch_id}"
+        )
 
     return _each_batch(stream, checkpoint, work)
 
 
+def paired(spark: SparkSession, root: str) -> DataFrame:
+    """All pairs found so far; a reading sent again in a later batch keeps its first pair."""
+    found = spark.read.schema(f"{PAIR_DDL}, batch bigint").parquet(f"{root}/pairs")
+    first = F.min_by(F.struct("subject_id", "t", "session_id", "gap"), "batch")
+    return found.groupBy("reading_id").agg(first.alias("p")).select("reading_id", "p.*")
+
+
 def arriving_files(stream: DataFrame, good_root: str, quarantine_root: str, checkpoint: str, declared: DataFrame | None = None) -> StreamingQuery:
     """Check arriving files; accepted ones and the others go to separate tables."""
 
