@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from catalog.views import NOW, TZ, sql, store, view
 from wavecohort.functions import clock, values
@@ -577,8 +577,6 @@ def f6_ranked_warnings(spark, sf):
         c.upload_backlog(view(spark, sf, "uploads"), NOW),
         c.usable_minutes(view(spark, sf, "minutes")),
     )
-    from pyspark.sql import Window
-
     # Warnings are a few per subject; numbering them shows the order, which a result set alone would lose.
     order = Window.orderBy("rank", F.asc_nulls_last("subject_id"), "rule")
     return rules.ranked(found).withColumn("place", F.row_number().over(order))

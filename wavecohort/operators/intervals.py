@@ -31,7 +31,7 @@ def nearest_interval(
 
     Zero inside an interval, otherwise the distance to the nearer edge; null where the
     subject has none. Among equally close intervals the one ending last is named, then
-    the one with the smallest id. Intervals without a start are dropped, an open end
+    the one with the smallest id (a number). Intervals without a start are dropped, an open end
     means length zero. Points with no time get no match.
     """
     cols = points.columns

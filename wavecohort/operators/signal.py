@@ -38,7 +38,7 @@ BPM_LOW, BPM_HIGH = 30.0, 220.0
 CHANNELS = ("ppg0", "ppg1", "ppg2")
 
 #: Samples per piece. Pieces are at least four halos long, whatever the sample rate.
-PIECE = 1 << 18
+PIECE = 1 << 16
 #: Samples a run of candidate peaks may span to be folded in one row; longer runs are
 #: resolved by joins.
 FOLD_SPAN = 4096
@@ -137,7 +137,7 @@ def moving_averages(indexed: DataFrame, keys: Sequence[str], columns: Sequence[s
     keys = list(keys)
     half = {w: F.floor(e / 2).cast("bigint") for w, e in widths.items()}
     df = indexed.withColumns({f"_h_{w}": h for w, h in half.items()})
-    reach = F.greatest(F.lit(0), *[F.col(f"_h_{w}") for w in widths])
+    reach = F.least(F.col("n"), F.greatest(F.lit(0), *[F.col(f"_h_{w}") for w in widths]))
     size = F.greatest(F.lit(PIECE).cast("bigint"), reach * 4)
     cut = halo(df, "i", size, before=reach + 1, after=reach + 1)
     for w in widths:
@@ -169,8 +169,7 @@ def pulse_band(indexed: DataFrame, keys: Sequence[str], columns: Sequence[str] =
         "noise": odd_width(F.col("fs"), NOISE_S, 1),
     }
     averaged = moving_averages(indexed, keys, columns, widths)
-    kept = [c for c in averaged.columns if c not in columns and not c.endswith(("_base", "_noise"))]
-    return averaged.select(*kept, *[(F.col(f"{c}_noise") - F.col(f"{c}_base")).alias(c) for c in columns])
+    return averaged.select(*keys, "i", "n", "fs", "t_s", *[(F.col(f"{c}_noise") - F.col(f"{c}_base")).alias(c) for c in columns])
 
 
 def best_channel(filtered: DataFrame, keys: Sequence[str], columns: Sequence[str] = CHANNELS) -> DataFrame:

@@ -15,8 +15,12 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot join key even where that costs one more shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     "spark.sql.parquet.filterPushdown": "true",
+    # A piece of a recording with its halo stays in plain memory while a window reads it.
+    "spark.sql.windowExec.buffer.in.memory.threshold": "70000",
     # A task run again after a lost executor must give the rows it gave before; where the
     # order of its input made it differ, all its consumers run again.
     "spark.sql.shuffle.orderIndependentChecksum.enabled": "true",
