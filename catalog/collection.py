@@ -237,16 +237,18 @@ def b15_reading_flags(spark, sf):
     return c.reading_view(view(spark, sf, "readings"))
 
 
-@query(sql("readings minutes", """ SELECT (SELECT count(*) FROM readings WHERE sys < 90) AS low,
-  (SELECT count(*) FROM minutes WHERE sqi >= 0.8 AND NOT isnan(sqi)) AS usable,
-  (SELECT count(*) FROM minutes WHERE sqi > 0.8) AS with_nan"""))
+@query(sql("readings minutes", """ SELECT 'low' AS flag, count(*) AS n FROM readings WHERE sys < 90
+  UNION ALL SELECT 'usable', count(*) FROM minutes WHERE sqi >= 0.8 AND NOT isnan(sqi)
+  UNION ALL SELECT 'usable_with_nan', count(*) FROM minutes WHERE sqi > 0.8"""))
 def b16_threshold_flags(spark, sf):
-    low = view(spark, sf, "readings").agg(F.count_if(values.below(F.col("sys"), 90)).alias("low"))
-    good = view(spark, sf, "minutes").agg(
-        F.count_if(values.usable(F.col("sqi"), inclusive=True)).alias("usable"),
-        F.count_if(values.usable(F.col("sqi"), nan_is_good=True)).alias("with_nan"),
-    )
-    return low.withColumn("one", F.lit(1)).join(good.withColumn("one", F.lit(1)), "one").drop("one")
+    minutes, sqi = view(spark, sf, "minutes"), F.col("sqi")
+    flags = {
+        "low": view(spark, sf, "readings").where(values.below(F.col("sys"), 90)),
+        "usable": minutes.where(values.usable(sqi, inclusive=True)),
+        "usable_with_nan": minutes.where(values.usable(sqi, nan_is_good=True)),
+    }
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("flag"), "n") for name, df in flags.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 @query(sql("sessions", " SELECT id, substr(session_uuid, 1, 8) AS uuid FROM sessions"))

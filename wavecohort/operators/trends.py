@@ -85,11 +85,9 @@ def coverage_totals(coverage: DataFrame) -> DataFrame:
     per_day = coverage.groupBy("day").agg(
         F.sum("recorded_minutes").alias("minutes"), F.sum("cuff_count").alias("cuff")
     )
-    # One row per calendar day, so a single frame over all of them is small by nature.
-    scale = per_day.agg(F.greatest(F.lit(10.0), F.max("minutes")).alias("scale_max"))
-    return per_day.withColumn("_one", F.lit(1)).join(
-        F.broadcast(scale.withColumn("_one", F.lit(1))), "_one"
-    ).select("day", "minutes", "cuff", "scale_max")
+    # One row per calendar day is left here, so one frame over all of them stays small.
+    largest = F.max("minutes").over(Window.partitionBy(F.lit(0)))
+    return per_day.withColumn("scale_max", F.greatest(F.lit(10.0), largest))
 
 
 def hourly_quality(minutes: DataFrame, now: float, days: int | None = 30, keys: tuple[str, ...] = (), skip_nan: bool = False, digits: tuple[int, int, int] = (3, 1, 2)) -> DataFrame:
