@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wavecohort.llm import anchors, relative
+from wavecohort.llm import anchors, kneser, langid, packing, relative, tokens
 from wavecohort.llm.shipping import ship
 from wavecohort.session import prepare
 
@@ -13,6 +13,21 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return ship(prepare(spark)).read.parquet(f"{sf}/{name}.parquet")
 
 
+def _tokenizer() -> str:
+    """The public tokenizer's file, where it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").withColumn("held_out", langid.held_out("doc_id", 10))
+    found = kneser.score(docs, kneser.train(docs.where("not held_out")))
+    return found.withColumn("held_out", langid.held_out("doc_id", 10)).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = relative.deduplicated(_table(spark, sf, "documents"))
     out = relative.words_digest(out, "text", "kept_sha256")
@@ -24,5 +39,20 @@ def op6_simhash_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op5_substring_dedup, op6_simhash_anchors)}
+def op8_language_families(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").withColumn("held_out", langid.held_out("doc_id", 5))
+    model = langid.train(docs.where("not held_out"))
+    found = langid.identify(docs.select("doc_id", "held_out", "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op9_best_two_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed(_table(spark, sf, "documents"), _tokenizer())
+
+
+def op10_training_order(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.materialise(_table(spark, sf, "documents"), _tokenizer()).drop("file")
+
+
+QUERIES = {f.__name__: f for f in (op4_kneser_ney, op5_substring_dedup, op6_simhash_anchors, op8_language_families, op9_best_two_fit, op10_training_order)}
 ORACLE: dict[str, str] = {}
