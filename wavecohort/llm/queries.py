@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wavecohort.llm import anchors, kneser, langid, packing, relative, tokens
+from wavecohort.llm import anchors, collide, fingerprints, kneser, langid, packing, relative, tokens
 from wavecohort.llm.shipping import ship
 from wavecohort.session import prepare
 
@@ -20,6 +20,14 @@ def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_threshold_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(_table(spark, sf, "documents"))
+
+
+def op3_collision_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return collide.near_vectors(_table(spark, sf, "embeddings"))
+
+
 def op4_kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").withColumn("held_out", langid.held_out("doc_id", 10))
     found = kneser.score(docs, kneser.train(docs.where("not held_out")))
@@ -54,5 +62,5 @@ def op10_training_order(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.materialise(_table(spark, sf, "documents"), _tokenizer()).drop("file")
 
 
-QUERIES = {f.__name__: f for f in (op4_kneser_ney, op5_substring_dedup, op6_simhash_anchors, op8_language_families, op9_best_two_fit, op10_training_order)}
+QUERIES = {f.__name__: f for f in (op1_threshold_sketch, op3_collision_counts, op4_kneser_ney, op5_substring_dedup, op6_simhash_anchors, op8_language_families, op9_best_two_fit, op10_training_order)}
 ORACLE: dict[str, str] = {}
