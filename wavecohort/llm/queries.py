@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wavecohort.llm import anchors, collide, fingerprints, kneser, langid, packing, relative, tokens
+from wavecohort.llm import anchors, collide, fingerprints, kneser, langid, lines, packing, relative, tokens
 from wavecohort.llm.shipping import ship
 from wavecohort.session import prepare
 
@@ -24,6 +24,11 @@ def op1_threshold_sketch(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_table(spark, sf, "documents"))
 
 
+def op2_fuzzy_lines(spark: SparkSession, sf: str) -> DataFrame:
+    out = lines.deduplicated(_table(spark, sf, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_collision_counts(spark: SparkSession, sf: str) -> DataFrame:
     return collide.near_vectors(_table(spark, sf, "embeddings"))
 
@@ -62,5 +67,5 @@ def op10_training_order(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.materialise(_table(spark, sf, "documents"), _tokenizer()).drop("file")
 
 
-QUERIES = {f.__name__: f for f in (op1_threshold_sketch, op3_collision_counts, op4_kneser_ney, op5_substring_dedup, op6_simhash_anchors, op8_language_families, op9_best_two_fit, op10_training_order)}
+QUERIES = {f.__name__: f for f in (op1_threshold_sketch, op2_fuzzy_lines, op3_collision_counts, op4_kneser_ney, op5_substring_dedup, op6_simhash_anchors, op8_language_families, op9_best_two_fit, op10_training_order)}
 ORACLE: dict[str, str] = {}
