@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wavecohort.llm import anchors, collide, fingerprints, kneser, langid, lines, packing, relative, tokens
+from wavecohort.llm import anchors, collide, fingerprints, kneser, langid, lines, packing, pieces, relative, tokens
 from wavecohort.llm.shipping import ship
 from wavecohort.session import prepare
 
@@ -13,11 +13,11 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return ship(prepare(spark)).read.parquet(f"{sf}/{name}.parquet")
 
 
-def _tokenizer() -> str:
-    """The public tokenizer's file, where it is installed."""
+def tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    """A public tokenizer's file, where it is installed."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_threshold_sketch(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,6 +52,18 @@ def op6_simhash_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    model = tokenizer("piece_bpe_32k.model")
+    ids = pieces.encoded(_table(spark, sf, "documents").select("doc_id", "text"), model)
+    back = pieces.decoded(ids, model)
+    return back.select(
+        "doc_id",
+        F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_ids"),
+        F.xxhash64("piece_ids").alias("ids_digest"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("same_text"),
+    )
+
+
 def op8_language_families(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").withColumn("held_out", langid.held_out("doc_id", 5))
     model = langid.train(docs.where("not held_out"))
@@ -60,12 +72,12 @@ def op8_language_families(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_best_two_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.packed(_table(spark, sf, "documents"), _tokenizer())
+    return packing.packed(_table(spark, sf, "documents"), tokenizer())
 
 
 def op10_training_order(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.materialise(_table(spark, sf, "documents"), _tokenizer()).drop("file")
+    return tokens.materialise(_table(spark, sf, "documents"), tokenizer()).drop("file")
 
 
-QUERIES = {f.__name__: f for f in (op1_threshold_sketch, op2_fuzzy_lines, op3_collision_counts, op4_kneser_ney, op5_substring_dedup, op6_simhash_anchors, op8_language_families, op9_best_two_fit, op10_training_order)}
+QUERIES = {f.__name__: f for f in (op1_threshold_sketch, op2_fuzzy_lines, op3_collision_counts, op4_kneser_ney, op5_substring_dedup, op6_simhash_anchors, op7_sentencepiece, op8_language_families, op9_best_two_fit, op10_training_order)}
 ORACLE: dict[str, str] = {}
