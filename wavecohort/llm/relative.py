@@ -154,8 +154,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for t in np.flatnonzero(removed).tolist():
                     texts[t] = data[left[t] : left[t + 1]].decode()
             yield batch(
-                doc=b.column("doc").slice(block.first, len(block)),
-                copy=copies[block.first : block.first + len(block)],
+                rest=b.column("rest").slice(block.first, len(block)),
                 text=pa.array(texts, pa.string()),
                 n_words=counts,
                 n_removed=removed,
@@ -181,21 +180,26 @@ def _by_doc(rows: DataFrame, value: Column, name: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, copy, text, n_words, n_removed``: every row of ``docs`` without repeated windows.
+    """``docs`` without the repeated words of ``text``, and ``n_words``, ``n_removed``.
 
     A word is removed if a window of ``WINDOW`` words that covers it also starts earlier: at
     a smaller doc_id, or earlier in the same document. Texts that lose nothing stay as they
     are; others lose the words and the white space after each. Null texts stay null and have
     no words; an empty table gives an empty one. Rows without doc_id come first. Rows that repeat a
-    doc_id are ordered by text and numbered in ``copy``, which counts as part of the id.
+    doc_id are ordered by text and count as documents of their own. All columns pass through
+    (``n_words`` and ``n_removed`` are replaced).
     """
+    docs = docs.drop("n_words", "n_removed")
     order = Window.partitionBy("doc").orderBy("text")
-    keyed = docs.select(_key(doc_id).alias("doc"), F.col(text).alias("text"))
-    keyed = keyed.withColumn("copy", F.row_number().over(order).cast("long") - 1)
-    base = _bucketed(keyed, "doc", "texts")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
+    keyed = docs.select(_key(doc_id).alias("doc"), F.col(text).alias("text"), rest.alias("rest"))
+    full = _bucketed(keyed.withColumn("copy", F.row_number().over(order).cast("long") - 1), "doc", "texts")
+    base = full.select("doc", "copy", "text")
 
     seeds = base.mapInArrow(_seeds, "h long, doc long, at long")
-    repeated = seeds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # What a join looks up is written first: then a seed that very many documents share is
+    # one of its rows and, on the other side, rows that the join can split.
+    repeated = durable(seeds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "seeds")
     found = _by_doc(seeds.join(repeated, "h"), F.col("at"), "ats")
     parsed = base.join(found, "doc").mapInArrow(_stretches, "h long, c long, doc long, at long, start long, n long")
     parsed = durable(parsed, "stretches")
@@ -204,21 +208,22 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     first = durable(parsed.groupBy("h", "c").agg(F.min(place).alias("first")), "factors")
     whole = parsed.join(first, ["h", "c"]).where(place != F.col("first")).select("doc", "start", "n")
 
-    several = first.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    several = durable(first.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "edges")
     edges = first.join(several, "h").select("first.doc", "first.at")
     asked = base.join(_by_doc(edges, F.col("at"), "ats"), "doc")
     windows = durable(asked.mapInArrow(_windows, "h long, w long, doc long, start long"), "windows")
     place = F.struct("doc", "start")
     earliest = windows.groupBy("h", "w").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    single = windows.join(earliest.drop("n"), ["h", "w"]).where(place != F.col("first"))
+    single = windows.join(durable(earliest.drop("n"), "earliest"), ["h", "w"]).where(place != F.col("first"))
     marks = whole.unionByName(single.select("doc", "start", F.lit(1).cast("long").alias("n")))
 
-    marked = base.join(_by_doc(marks, F.struct("start", "n"), "marks"), "doc", "left")
+    marked = full.join(_by_doc(marks, F.struct("start", "n"), "marks"), "doc", "left")
     none = F.array().cast("array<struct<start:bigint,n:bigint>>")
-    marked = marked.withColumn("marks", F.coalesce("marks", none))
-    out = marked.mapInArrow(_cut, "doc long, copy long, text string, n_words long, n_removed long")
-    named = F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id")
-    return out.select(named, "copy", "text", "n_words", "n_removed")
+    marked = marked.withColumn("marks", F.coalesce("marks", none)).drop("doc")
+    kind = full.schema["rest"].dataType.simpleString()
+    out = marked.mapInArrow(_cut, f"rest {kind}, text string, n_words long, n_removed long")
+    columns = [F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
+    return out.select(*columns, "n_words", "n_removed")
 
 
 def words_digest(texts: DataFrame, text: str, digest: str) -> DataFrame:
