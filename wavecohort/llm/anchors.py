@@ -228,11 +228,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one with the smallest id.
 
-    Rows that repeat the id of a kept document are dropped but for one; documents without id
-    stay only in groups where no document has an id, one for each group at least.
+    Rows with one id count as one document, of which one row stays, and so do all rows without
+    id: of them one stays if some group has no other rows.
     """
     found = near_duplicates(docs, doc_id, text)
     kept = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "_kept")
-    stay = docs.join(kept, F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi")
+    stay = docs.join(kept, docs[doc_id].eqNullSafe(kept["doc_id"]), "left_semi")
     return stay.dropDuplicates([doc_id])

@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wavecohort.llm.blocks import SPACE, batch, mixed, prefix, signed
+from wavecohort.llm.blocks import SPACE, batch, mixed, powers, prefix, signed
 from wavecohort.llm.graph import components
 from wavecohort.session import durable
 
@@ -75,7 +75,7 @@ class Lines:
     def shingles(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of the shingles that start at each character, and bounds for each line; a shorter line is one shingle."""
         sums = prefix(mixed(self.points.astype(np.uint64) + np.uint64(1)))
-        inverse = prefix_inverse(len(self.points))
+        inverse = powers(len(sums))[1]
         found = np.zeros(len(self.points), np.uint64)
         n = len(self.points) - SHINGLE + 1
         if n > 0:
@@ -106,12 +106,6 @@ class Lines:
         return self.points[self.start[line] : self.end[line]].tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def prefix_inverse(n: int) -> np.ndarray:
-    from wavecohort.llm.blocks import powers
-
-    return powers(n + 1)[1]
-
-
 def likeness(a: str, b: str) -> float:
     """Share of common shingles among all of two lines."""
     sets = []
@@ -170,30 +164,29 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(**keys, packed=pa.array(texts, pa.binary()))
 
 
-def _rebuild(kept: pa.Schema, text: str):
+def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Take the marked lines out; further rows equal in id and text lose all lines that are not blank."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for b in batches:
-            texts, counts, removed = [], [], []
-            for packed, gone, copy in zip(b.column("packed"), b.column("gone").to_pylist(), b.column("copy").to_pylist()):
-                raw = packed.as_py()
-                if raw is None:
-                    texts.append(None)
-                    counts.append(0)
-                    removed.append(0)
-                    continue
-                lines = unpack.decompress(raw).decode().split("\n")
-                ink = [n for n, x in enumerate(lines) if x.strip(" \t\n\x0b\f\r")]
-                drop = set(ink if copy else gone or ())
-                texts.append("\n".join([x for n, x in enumerate(lines) if n not in drop]) if drop else "\n".join(lines))
-                counts.append(len(ink))
-                removed.append(len(drop))
-            columns = {n: b.column(n) if n != text else pa.array(texts, pa.string()) for n in kept.names if n in b.schema.names or n == text}
-            yield batch(**columns, n_lines=np.array(counts, np.int64), n_removed=np.array(removed, np.int64))
-
-    return run
+    unpack = zstandard.ZstdDecompressor()
+    for b in batches:
+        texts, counts, removed = [], [], []
+        for packed, gone, copy in zip(b.column("packed"), b.column("gone").to_pylist(), b.column("copy").to_pylist()):
+            raw = packed.as_py()
+            lines = unpack.decompress(raw).decode().split("\n") if raw is not None else []
+            ink = [n for n, x in enumerate(lines) if x.strip(" \t\n\x0b\f\r")]
+            drop = set(ink if copy else gone or ())
+            texts.append("\n".join([x for n, x in enumerate(lines) if n not in drop]) if raw is not None else None)
+            counts.append(len(ink))
+            removed.append(len(drop))
+        yield batch(
+            rest=b.column("rest"),
+            text=pa.array(texts, pa.string()),
+            n_lines=np.array(counts, np.int64),
+            n_removed=np.array(removed, np.int64),
+        )
+
+
+def _key(doc_id: str) -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
 
 
 def _similar(pairs: DataFrame, strings: DataFrame) -> DataFrame:
@@ -212,7 +205,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     docs = docs.drop("n_lines", "n_removed")
     keyed = docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("version"), F.col(text).alias("text")
+        _key(doc_id).alias("doc"), F.xxhash64(text).alias("version"), F.col(text).alias("text")
     )
     keys = keyed.select("text").mapInArrow(_bands, "key long, id long")
     repeated = durable(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "bands")
@@ -232,7 +225,6 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     place = F.struct("doc", "version", "line")
     firsts = durable(occurrences.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")), "lines")
 
-    packed = docs.withColumns({"doc": keyed_doc(doc_id), "version": F.xxhash64(text)})
     suspects = members.select("id").distinct().join(firsts, "id")
     asked = suspects.groupBy("first.doc", "first.version").agg(
         F.collect_list(F.struct("id", F.col("first.line").alias("line"))).alias("asked")
@@ -261,17 +253,12 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     gone = occurrences.join(keep, "id").where(place != F.col("first"))
     gone = gone.groupBy("doc", "version").agg(F.collect_list("line").alias("gone"))
 
-    packed = docs.withColumns({"_doc": keyed_doc(doc_id), "_version": F.xxhash64(text)})
-    names = [c for c in packed.columns if c != text]
-    rows = packed.select(*names, F.col(text).alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.select(*names).schema.fields)
-    rows = rows.mapInArrow(_pack, f"{schema}, packed binary")
-    gone = gone.withColumnsRenamed({"doc": "_doc", "version": "_version"})
-    copy = F.row_number().over(Window.partitionBy("_doc", "_version").orderBy(F.lit(1))) - 1
-    rows = rows.join(gone, ["_doc", "_version"], "left").withColumn("copy", copy)
-    out = docs.select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
-    return rows.mapInArrow(_rebuild(pa.schema([(c, pa.null()) for c in docs.columns]), text), out.schema)
-
-
-def keyed_doc(doc_id: str):
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("rest")
+    rows = docs.select(_key(doc_id).alias("doc"), F.xxhash64(text).alias("version"), F.col(text).alias("text"), rest)
+    kind = rows.schema["rest"].dataType.simpleString()
+    rows = rows.mapInArrow(_pack, f"doc long, version long, rest {kind}, packed binary")
+    copy = F.row_number().over(Window.partitionBy("doc", "version").orderBy(F.lit(1))) - 1
+    rows = rows.join(gone, ["doc", "version"], "left").withColumn("copy", copy)
+    out = rows.mapInArrow(_rebuild, f"rest {kind}, text string, n_lines long, n_removed long")
+    columns = [F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
+    return out.select(*columns, "n_lines", "n_removed")
