@@ -7,6 +7,7 @@ of each piece are looked up; pieces not met before are encoded together, in one
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Sequence
 
@@ -24,6 +25,7 @@ class Encoder:
     """Texts to little-endian 16-bit ids."""
 
     def __init__(self, path: str, pieces: int = PIECES):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task on each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -36,11 +38,12 @@ class Encoder:
         for token, number in self.tokenizer.get_vocab().items():
             self.lengths[number] = len(token)  # one character of the vocabulary stands for one byte
 
-    def _plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2")
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, "<u2") for x in found]
 
     def _learn(self, new: list[str]) -> None:
-        ids = self._plain("".join([" " + p for p in new]))
+        ids = np.concatenate(self._plain(["".join([" " + p for p in new[i : i + 100]]) for i in range(0, len(new), 100)]))
         ends = np.cumsum([1 + len(p.encode()) for p in new])
         cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
         raw, at = ids.tobytes(), 0
@@ -52,14 +55,15 @@ class Encoder:
         cut = [t.split(" ") if not _RUNS.search(t) else [p[i > 0 :] for i, p in enumerate(_SAFE.split(t))] for t in texts]
         known = self.known
         new = {p for parts in cut for p in parts[1:] if p not in known}
-        odd = {p: self._plain(" " + p).tobytes() for p in new if not p or len(p) > LONGEST or p[0].isspace() or p[-1].isspace()}
+        alone = [p for p in new if not p or len(p) > LONGEST or p[0].isspace() or p[-1].isspace()]
+        odd = {p: ids.tobytes() for p, ids in zip(alone, self._plain([" " + p for p in alone]))}
         if new := list(new - odd.keys()):
             if len(known) + len(new) > self.pieces:
                 # The pieces of these texts that are known are dropped with the others.
                 known.clear()
                 new = list({p for parts in cut for p in parts[1:]} - odd.keys())
             self._learn(new)
-        heads = [self._plain(parts[0]).tobytes() if parts[0] else b"" for parts in cut]
+        heads = [ids.tobytes() for ids in self._plain([parts[0] for parts in cut])]
         if odd:
             return [h + b"".join([known[p] if p in known else odd[p] for p in parts[1:]]) for h, parts in zip(heads, cut)]
         get = known.__getitem__

@@ -76,7 +76,7 @@ def op9_best_two_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op10_training_order(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.materialise(_table(spark, sf, "documents"), tokenizer()).drop("file")
+    return tokens.materialise(_table(spark, sf, "documents"), tokenizer())
 
 
 QUERIES = {f.__name__: f for f in (op1_threshold_sketch, op2_fuzzy_lines, op3_collision_counts, op4_kneser_ney, op5_substring_dedup, op6_simhash_anchors, op7_sentencepiece, op8_language_families, op9_best_two_fit, op10_training_order)}

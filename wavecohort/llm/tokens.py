@@ -1,10 +1,13 @@
 """Token shards in training order.
 
 Documents are encoded and cut into sequences of one length. A keyed Feistel permutation of the
-sequence numbers gives each its global slot, so the order is random, needs no sort by a random
-column and can be computed for any single sequence. Slots are dealt to shards by range; a
-shard is a plain file of ids, sequence after sequence, so slot s stands at a known byte and a
-training run goes on from any slot.
+sequence numbers, walked until it stays in their range, gives each its place in the order, so
+the order is random, needs no drawn column and is the same when a task runs again. How
+many sequences a task will have is not known before its texts are encoded, so numbers are
+bounded by the bytes of text and have gaps; ranges of places are the shards, and within the
+shards, one after the other, the sequences' slots are counted without gaps. A shard is a plain file of
+ids, sequence after sequence, so a slot stands at a known byte and a training run goes on
+from any slot. Tokens are moved once and never stored in between.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from wavecohort.llm.blocks import batch, mixed
 from wavecohort.llm.bytebpe import Encoder
@@ -31,8 +34,10 @@ STRIDE = 1024
 END = 50256
 KEY = 20
 ROUNDS = 6
-#: Sequences of a shard.
-SHARD = 4096
+#: Bytes of text for each shard, which makes about 13 MB of ids.
+SHARD = 16 << 20
+#: Tasks that may number sequences.
+PARTS = 1 << 20
 
 
 def slots(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -55,22 +60,30 @@ def slots(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, path: str, stride: int = STRIDE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``part, n, first_doc_id, filled, ids``: the tokens of each task's documents, cut at every ``stride``.
+def sequences(
+    docs: DataFrame, path: str, shards: int, most: int, stride: int = STRIDE, key: int = KEY, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``shard, place, first_doc_id, filled, ids``: the tokens of each task's documents, cut at every ``stride``.
 
     The last sequence of a task is filled up with the end token; ``filled`` counts the others.
-    ``ids`` are compressed 16-bit numbers. ``first_doc_id`` owns the first token.
+    ``ids`` are compressed 16-bit numbers. ``first_doc_id`` owns the first token. No task may have more
+    than ``most`` sequences.
     """
+    domain = PARTS * most
+    width = -(-domain // shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, pack = Encoder(path), zstandard.ZstdCompressor(level=1)
         part, end = TaskContext.get().partitionId(), np.array([END], "<u2").tobytes()
+        if part >= PARTS:
+            raise ValueError("too many tasks")
         size, rest, owner, n = stride * 2, b"", None, 0
 
         def rows(raw: list[bytes], owners: list, filled: list[int]) -> pa.RecordBatch:
+            place = slots(np.arange(n, n + len(raw)) * PARTS + part, domain, key)
             return batch(
-                part=np.full(len(raw), part, np.int64),
-                n=np.arange(n, n + len(raw)),
+                shard=(place // width).astype(np.int32),
+                place=place,
                 first_doc_id=pa.array(owners, kind),
                 filled=pa.array(filled, pa.int64()),
                 ids=pa.array([pack.compress(x) for x in raw], pa.binary()),
@@ -98,20 +111,7 @@ def sequences(docs: DataFrame, path: str, stride: int = STRIDE, doc_id: str = "d
             yield rows([rest + end * (stride - len(rest) // 2)], [owner], [len(rest) // 2])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(
-        run, f"part long, n long, first_doc_id {kind}, filled long, ids binary"
-    )
-
-
-def numbered(rows: DataFrame) -> DataFrame:
-    """``part, before``: how many sequences the lower-numbered parts have, summed in two levels."""
-    counts = rows.groupBy("part").agg(F.count("*").alias("n")).withColumn("group", F.floor(F.col("part") / 1024))
-    groups = counts.groupBy("group").agg(F.sum("n").alias("n"))
-    upto = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select("group", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("part", "group", F.coalesce(F.sum("n").over(inner), F.lit(0)).alias("inner"))
-    return counts.join(groups, "group").select("part", (F.col("inner") + F.col("base")).alias("before"))
+    return docs.select(doc_id, text).mapInArrow(run, f"shard int, place long, first_doc_id {kind}, filled long, ids binary")
 
 
 def _local(folder: str) -> str:
@@ -135,29 +135,22 @@ def materialise(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """Write all documents as shards; one row per sequence: ``slot, shard, byte, first_doc_id, filled, crc32, file``.
+    """Write all documents as shards; one row per sequence: ``slot, shard, byte, first_doc_id, filled, crc32``.
 
     ``folder`` has to be a path that all executors mount; by default a new one in the shared
     folder. A shard is written under another name and renamed when whole, so a task that runs again replaces
     it by the same bytes. Null and empty texts are their end token; rows without doc_id or that
-    repeat one are written like others; an empty table gives no shard. Other columns are ignored.
+    repeat one are written like others; an empty table gives no shard. Other columns are ignored. To
+    the driver comes one count for each shard.
     """
     spark = docs.sparkSession
     where = _local(folder or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
     os.makedirs(where, exist_ok=True)
-    rows = durable(sequences(docs, path, stride, doc_id, text), "sequences")
-    total = rows.count()
-    with open(os.path.join(where, "order.json"), "w") as out:
-        json.dump({"sequences": total, "stride": stride, "shard": shard, "key": key, "bytes_per_id": 2}, out)
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            slot = slots(b.column("n").to_numpy() + b.column("before").to_numpy(), total, key)
-            kept = {n: b.column(n) for n in ("first_doc_id", "filled", "ids")}
-            yield batch(slot=slot, shard=slot // shard, **kept)
+    size = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1), F.lit(0))).first()[0]
+    shards, most = max(1, -(-size // shard)), size // stride + 2  # a token has a byte at least
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, now, out, temporary = zstandard.ZstdDecompressor(), None, None, None
+        unpack, now, out, temporary, rank = zstandard.ZstdDecompressor(), None, None, None, 0
 
         def close() -> None:
             if out:
@@ -165,38 +158,42 @@ def materialise(
                 os.replace(temporary, os.path.join(where, shard_name(now)))
 
         for b in batches:
-            sums = []
-            for one, slot, ids in zip(b.column("shard").to_pylist(), b.column("slot").to_pylist(), b.column("ids")):
+            sums, ranks = [], []
+            for one, ids in zip(b.column("shard").to_pylist(), b.column("ids")):
                 if one != now:
                     close()
-                    now = one
+                    now, rank = one, 0
                     temporary = os.path.join(where, f".{shard_name(now)}.{uuid.uuid4().hex}")
                     out = open(temporary, "wb")
                 raw = unpack.decompress(ids.as_py())
-                if out.tell() != slot % shard * stride * 2:
-                    raise ValueError(f"slot {slot} is missing or repeated")
                 out.write(raw)
                 sums.append(zlib.crc32(raw))
-            slot, number_ = b.column("slot"), b.column("shard")
-            yield batch(
-                slot=slot,
-                shard=number_,
-                byte=slot.to_numpy() % shard * stride * 2,
-                first_doc_id=b.column("first_doc_id"),
-                filled=b.column("filled"),
-                crc32=np.array(sums, np.int64),
-                file=pa.array([os.path.join(where, shard_name(x)) for x in number_.to_pylist()], pa.string()),
-            )
+                ranks.append(rank)
+                rank += 1
+            kept = {n: b.column(n) for n in ("shard", "first_doc_id", "filled")}
+            yield batch(rank=np.array(ranks, np.int64), crc32=np.array(sums, np.int64), **kept)
         close()
 
+    rows = sequences(docs, path, shards, most, stride, key, doc_id, text)
     kind = rows.schema["first_doc_id"].dataType.simpleString()
-    placed = rows.join(numbered(rows), "part").mapInArrow(
-        number, f"slot long, shard long, first_doc_id {kind}, filled long, ids binary"
-    )
-    files = max(1, -(-total // shard))
-    dealt = placed.repartitionById(files, F.col("shard").cast("int")).sortWithinPartitions("slot")
-    return dealt.mapInArrow(
-        write, f"slot long, shard long, byte long, first_doc_id {kind}, filled long, crc32 long, file string"
+    dealt = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place")
+    written = dealt.mapInArrow(write, f"rank long, crc32 long, shard int, first_doc_id {kind}, filled long")
+    written = durable(written, "sequences")
+    counts = np.zeros(shards, np.int64)
+    for number, n in written.groupBy("shard").count().collect():
+        counts[number] = n
+    starts = np.concatenate(([0], np.cumsum(counts)))
+    with open(os.path.join(where, "order.json"), "w") as out:
+        json.dump({"stride": stride, "key": key, "bytes_per_id": 2, "starts": starts.tolist()}, out)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rank = b.column("rank").to_numpy()
+            kept = {n: b.column(n) for n in ("shard", "first_doc_id", "filled", "crc32")}
+            yield batch(slot=starts[b.column("shard").to_numpy()] + rank, byte=rank * stride * 2, **kept)
+
+    return written.mapInArrow(
+        count, f"slot long, byte long, shard int, first_doc_id {kind}, filled long, crc32 long"
     )
 
 
@@ -205,11 +202,13 @@ def read_slots(folder: str, first: int, count: int) -> np.ndarray:
     where = _local(folder)
     with open(os.path.join(where, "order.json")) as f:
         order = json.load(f)
-    last = min(order["sequences"], first + count)
+    starts = np.array(order["starts"])
+    last = min(int(starts[-1]), first + count)
     parts = [np.empty((0, order["stride"]), "<u2")]
     while first < last:
-        number, at = divmod(first, order["shard"])
+        number = int(np.searchsorted(starts, first, side="right")) - 1
         data = np.memmap(os.path.join(where, shard_name(number)), "<u2", "r").reshape(-1, order["stride"])
+        at = first - int(starts[number])
         parts.append(data[at : at + last - first])
         first += len(parts[-1])
     return np.concatenate(parts)
