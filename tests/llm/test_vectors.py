@@ -75,3 +75,17 @@ def test_count_reaches_the_recall():
     apart = np.abs(use.of(x) - use.of(y))
     passed = ((apart[:, 1:] <= use.half).sum(axis=1) >= use.count) & (apart[:, 0] <= use.cell)
     assert passed.mean() > 0.999
+
+
+def test_batches_that_cut_a_cell_lose_no_link(sent, monkeypatch):
+    before = sent.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sent.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        draw = np.random.default_rng(8)
+        x = draw.standard_normal(16)
+        rows = [(i, (x + draw.standard_normal(16) * 0.12).astype(np.float32).tolist(), 1) for i in range(60)]
+        got = collide.near_vectors(table(sent, rows)).collect()
+    finally:
+        sent.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == brute(rows)
+    assert sum(r.n_links for r in got) > 100

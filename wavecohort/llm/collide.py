@@ -106,6 +106,29 @@ def _placed(cosine: float):
     return run
 
 
+def passed(held: dict, rows: dict, use: Projections, first: int = 0) -> Iterator[pa.RecordBatch]:
+    """Count the links of the held queries from ``first`` on with some rows, and give links that connect them."""
+    window = np.float32(use.half * (1 + 1e-6))
+    queries = {k: v[first:] for k, v in held.items()}
+    for i in range(0, len(rows["id"]), QUERIES):
+        part = {k: v[i : i + QUERIES] for k, v in rows.items()}
+        q, o = np.nonzero(np.abs(queries["first"][:, None] - part["first"][None, :]) <= use.cell)
+        hits = np.zeros(len(q), np.int16)
+        for k in range(part["others"].shape[1]):
+            hits += np.abs(queries["others"][q, k] - part["others"][o, k]) <= window
+        often = hits >= use.count
+        q, o = q[often], o[often]
+        exact = np.einsum("ij,ij->i", queries["unit"][q], part["unit"][o]) >= use.cosine
+        exact &= queries["id"][q] != part["id"][o]
+        q, o = q[exact], o[exact]
+        if len(q):
+            np.add.at(queries["links"], q, part["weight"][o])  # a view of what is held
+            matches = np.zeros((len(queries["id"]), len(part["id"])), bool)
+            matches[q, o] = True
+            a, b = linked(matches, queries["id"], part["id"])
+            yield batch(a=a, b=b, n=np.zeros(len(a), np.int64))
+
+
 def _compare(cosine: float):
     """Rows sorted by (label, length, cell, part, queries first) to links and, per query, the weight it links to.
 
@@ -137,31 +160,16 @@ def _compare(cosine: float):
                 query = some.column("query").to_numpy(zero_copy_only=False)
                 own = {k: v[query] for k, v in now.items()} | {"links": np.zeros(query.sum(), np.int64)}
                 if keys[s] == at:
+                    # Queries that an earlier batch brought have passed already, but not by the new ones.
+                    before, first = held, len(held["id"])
                     held = {k: np.concatenate((held[k], own[k])) for k in own}
+                    if len(own["id"]) and first:
+                        yield from passed(held, before, use, first)
                 else:
                     yield from counts()
                     at, use, held = keys[s], Projections(keys[s][1], cosine), own
-                if not len(held["id"]):
-                    continue
-                window = np.float32(use.half * (1 + 1e-6))
-                for i in range(0, e - s, QUERIES):
-                    part = {k: v[i : i + QUERIES] for k, v in now.items()}
-                    close = np.abs(held["first"][:, None] - part["first"][None, :]) <= use.cell
-                    q, o = np.nonzero(close)
-                    hits = np.zeros(len(q), np.int16)
-                    for k in range(part["others"].shape[1]):
-                        hits += np.abs(held["others"][q, k] - part["others"][o, k]) <= window
-                    passed = hits >= use.count
-                    q, o = q[passed], o[passed]
-                    exact = np.einsum("ij,ij->i", held["unit"][q], part["unit"][o]) >= cosine
-                    exact &= held["id"][q] != part["id"][o]
-                    q, o = q[exact], o[exact]
-                    if len(q):
-                        np.add.at(held["links"], q, part["weight"][o])
-                        matches = np.zeros((len(held["id"]), len(part["id"])), bool)
-                        matches[q, o] = True
-                        x, y = linked(matches, held["id"], part["id"])
-                        yield batch(a=x, b=y, n=np.zeros(len(x), np.int64))
+                if len(held["id"]):
+                    yield from passed(held, now, use)
         yield from counts()
 
     return run
