@@ -178,9 +178,9 @@ def expected_lines(rows):
     }
 
 
-@pytest.mark.parametrize("paired", [64, 2])
-def test_fuzzy_lines(make, monkeypatch, paired):
-    monkeypatch.setattr(lines, "PAIRED", paired)
+@pytest.mark.parametrize("held", [256, 2])
+def test_fuzzy_lines(make, monkeypatch, held):
+    monkeypatch.setattr(lines, "HELD", held)
     rows = line_corpus() + [(100, None), (101, ""), (102, " \n\n"), (103, "ab"), (104, "ab\nab"), (None, "ab")]
     out = lines.deduplicated(make(rows))
     assert {"packed", "gone", "version"} <= set(out.columns)
@@ -204,3 +204,16 @@ def test_components_of_chains_stars_and_loops(sent):
     edges = [(i, i + 1) for i in range(40)] + [(1000, 100 + i) for i in range(50)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components(sent.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(50)} | {1000: 100}
+
+
+def test_batches_that_cut_a_band_or_an_anchor(sent, make):
+    before = sent.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sent.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = line_corpus(6)
+        got = {r.doc_id: r.text for r in lines.deduplicated(make(rows)).collect()}
+        assert got == {rows[n][0]: t for n, t in expected_lines(rows).items()}
+        near = [(i, " ".join(f"v{k}" for k in range(400)) + f" end{i}") for i in range(12)]
+        assert {r.component_id for r in anchors.near_duplicates(make(near)).collect()} == {0}
+    finally:
+        sent.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

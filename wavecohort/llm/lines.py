@@ -1,8 +1,9 @@
 """Fuzzy line deduplication by MinHash over character shingles.
 
 Every line that is not blank has a signature of ``BANDS * ROWS`` minima over its shingles of
-``SHINGLE`` characters. Lines that agree in a band are candidates; the shingles of both are then
-compared exactly. Lines at least ``SIMILAR`` alike are linked, and of each connected
+``SHINGLE`` characters. Lines that agree in a band are candidates. Lines of a band are compared by
+a second signature in one go; where that agrees in at least ``AGREE`` of ``SKETCH`` places, the
+shingles of both are compared exactly, unless the two are connected already. Lines at least ``SIMILAR`` alike are linked, and of each connected
 component one occurrence is kept, the one with the smallest doc_id and line number.
 
 Bands are first counted by key alone and joined to the few keys met more than once. Lines are
@@ -27,14 +28,19 @@ SIMILAR = 0.8
 SHINGLE = 8
 #: At likeness 0.8 a pair shares a band with probability 0.997, at 0.85 with 0.9995.
 BANDS, ROWS = 8, 3
-#: A band's lines are paired all with all up to this many; fuller bands are first linked to one line.
-PAIRED = 64
+#: Of places with likeness 0.8 at least so many agree with probability 0.9995; of places with 0.4, 0.003.
+SKETCH, AGREE = 48, 29
+#: Lines of a band that are held at once; a fuller band is split.
+HELD = 256
 BLOCK = 1 << 20
 NO_ID = -(1 << 63)
+BLANKS = " \t\n\x0b\f\r"
 
 _DRAW = np.random.Generator(np.random.PCG64(8))
 FACTORS = _DRAW.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 OFFSETS = _DRAW.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+MORE_FACTORS = _DRAW.integers(0, 1 << 31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+MORE_OFFSETS = _DRAW.integers(0, 1 << 32, SKETCH, dtype=np.uint32)
 
 
 def _texts(column: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, list[str]]]:
@@ -86,17 +92,26 @@ class Lines:
         found[s] = mixed((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
         return found, self.start, self.start + np.maximum(1, size - SHINGLE + 1)
 
-    def bands(self) -> np.ndarray:
-        """Band keys, lines x bands."""
+    def minima(self, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Smallest value of each hash function over each line's shingles, functions x lines."""
         found, s, e = self.shingles()
         values = np.append((found >> np.uint64(32)).astype(np.uint32), np.uint32(0))
         cut = np.stack((s, e), axis=1).ravel()
-        least = np.empty((BANDS * ROWS, len(s)), np.uint64)
-        for k in range(BANDS * ROWS):
-            least[k] = np.minimum.reduceat(values * FACTORS[k] + OFFSETS[k], cut)[::2]
-        keys = np.empty((len(s), BANDS), np.uint64)
+        least = np.empty((len(factors), len(s)), np.uint32)
+        for k in range(len(factors)):
+            least[k] = np.minimum.reduceat(values * factors[k] + offsets[k], cut)[::2]
+        return least
+
+    def sketches(self) -> np.ndarray:
+        """Second signatures, 16 bits of each minimum, lines x places."""
+        return (mixed(self.minima(MORE_FACTORS, MORE_OFFSETS).T.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+
+    def bands(self) -> np.ndarray:
+        """Band keys, lines x bands."""
+        least = self.minima(FACTORS, OFFSETS).astype(np.uint64)
+        keys = np.empty((least.shape[1], BANDS), np.uint64)
         for band in range(BANDS):
-            key = np.full(len(s), band + 1, np.uint64)
+            key = np.full(len(keys), band + 1, np.uint64)
             for k in range(band * ROWS, band * ROWS + ROWS):
                 key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least[k])
             keys[:, band] = key
@@ -106,14 +121,8 @@ class Lines:
         return self.points[self.start[line] : self.end[line]].tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def likeness(a: str, b: str) -> float:
-    """Share of common shingles among all of two lines."""
-    sets = []
-    for text in (a, b):
-        found, s, e = Lines([text]).shingles()
-        sets.append(np.unique(found[s[0] : e[0]]) if len(s) else np.empty(0, np.uint64))
-    common = len(np.intersect1d(*sets, assume_unique=True))
-    return common / max(1, len(sets[0]) + len(sets[1]) - common)
+def shingle_set(line: str) -> set[str]:
+    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +147,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The asked lines of each packed text."""
+    """The asked lines of each packed text, without white space at their ends, and their second signatures."""
     unpack = zstandard.ZstdDecompressor()
     for b in batches:
         ids, strings = [], []
@@ -146,14 +155,79 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             all_lines = unpack.decompress(packed.as_py()).decode().split("\n")
             for ask in asked:
                 ids.append(ask["id"])
-                strings.append(all_lines[ask["line"]])
-        yield batch(id=pa.array(ids, pa.int64()), string=pa.array(strings, pa.string()))
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                strings.append(all_lines[ask["line"]].strip(BLANKS))
+        for i in range(0, len(ids), 2000):
+            some = strings[i : i + 2000]
+            sketches = [x.tobytes() for x in Lines(some).sketches()]
+            yield batch(id=pa.array(ids[i : i + 2000], pa.int64()), string=pa.array(some, pa.string()), sketch=pa.array(sketches, pa.binary()))
+
+
+class Band:
+    """The held lines of one part of a band, and which of the lines met so far are connected."""
+
+    def __init__(self) -> None:
+        self.ids: list[int] = []
+        self.strings: list[str] = []
+        self.sketches = np.empty((0, SKETCH), np.uint16)
+        self.sets: dict[int, set[str]] = {}
+        self.above: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        above = self.above
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    def hold(self, ids: list[int], strings: list[str], sketches: np.ndarray) -> None:
+        self.ids += ids
+        self.strings += strings
+        self.sketches = np.concatenate((self.sketches, sketches))
+
+    def links(self, ids: list[int], strings: list[str], sketches: np.ndarray) -> list[tuple[int, int]]:
+        """Links of held lines with these that connect what was not connected."""
+        held, now, found = set(self.ids), set(ids), []
+        own = self.sets
+        for i in range(0, len(ids), HELD):
+            agree = (self.sketches[:, None, :] == sketches[None, i : i + HELD, :]).sum(axis=2)
+            for h, v in np.argwhere(agree >= AGREE).tolist():
+                a, b = self.ids[h], ids[i + v]
+                if a == b or (b < a and b in held and a in now):
+                    continue  # the pair comes the other way round too
+                x, y = self.root(a), self.root(b)
+                if x == y:
+                    continue
+                if a not in own:
+                    own[a] = shingle_set(self.strings[h])
+                first, second = own[a], shingle_set(strings[i + v])
+                common = len(first & second)
+                if common >= SIMILAR * (len(first) + len(second) - common):
+                    self.above[max(x, y)] = min(x, y)
+                    found.append((a, b))
+        return found
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, part, held first) to links."""
+    at, band = None, Band()
     for b in batches:
-        near = [likeness(x, y) >= SIMILAR for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist())]
-        yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+        key, part = b.column("key").to_numpy(), b.column("part").to_numpy()
+        held = b.column("held").to_numpy(zero_copy_only=False)
+        ids, strings = b.column("id").to_pylist(), b.column("string").to_pylist()
+        sketches = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint16).reshape(-1, SKETCH)
+        cut = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
+        found: list[tuple[int, int]] = []
+        for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(ids)]):
+            if s == e:
+                continue
+            if at != (key[s], part[s]):
+                at, band = (key[s], part[s]), Band()
+            n = s + int(held[s:e].sum())
+            band.hold(ids[s:n], strings[s:n], sketches[s:n])
+            found += band.links(ids[s:e], strings[s:e], sketches[s:e])
+        if found:
+            a, c = zip(*found)
+            yield batch(a=pa.array(a, pa.int64()), b=pa.array(c, pa.int64()))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +246,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for packed, gone, copy in zip(b.column("packed"), b.column("gone").to_pylist(), b.column("copy").to_pylist()):
             raw = packed.as_py()
             lines = unpack.decompress(raw).decode().split("\n") if raw is not None else []
-            ink = [n for n, x in enumerate(lines) if x.strip(" \t\n\x0b\f\r")]
+            ink = [n for n, x in enumerate(lines) if x.strip(BLANKS)]
             drop = set(ink if copy else gone or ())
             texts.append("\n".join([x for n, x in enumerate(lines) if n not in drop]) if raw is not None else None)
             counts.append(len(ink))
@@ -189,12 +263,6 @@ def _key(doc_id: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
 
 
-def _similar(pairs: DataFrame, strings: DataFrame) -> DataFrame:
-    side = lambda a, s: strings.select(F.col("id").alias(a), F.col("string").alias(s))
-    told = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b").select("a", "b", "sa", "sb")
-    return told.mapInArrow(_verify, "a long, b long")
-
-
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and ``n_lines``, ``n_removed``: lines with ink, and those gone.
 
@@ -210,17 +278,10 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     keys = keyed.select("text").mapInArrow(_bands, "key long, id long")
     repeated = durable(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "bands")
     members = durable(keys.join(repeated, "key").distinct(), "members")
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1")
+    buckets = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = durable(buckets, "buckets")
     members = durable(members.join(buckets, "key"), "candidates")
 
-    few = members.where(F.col("n") <= PAIRED)
-    other = few.select("key", F.col("id").alias("b"))
-    paired = few.select("key", F.col("id").alias("a")).join(other, "key").where("a < b").select("a", "b")
-    crowded = members.where(F.col("n") > PAIRED)
-    starred = crowded.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
-    pairs = durable(paired.unionByName(starred).distinct(), "pairs")
-
     occurrences = keyed.mapInArrow(_occurrences, "id long, doc long, version long, line long")
     place = F.struct("doc", "version", "line")
     firsts = durable(occurrences.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")), "lines")
@@ -231,18 +292,15 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
     small = keyed.mapInArrow(_pack, "doc long, version long, packed binary")
     strings = small.join(asked, ["doc", "version"]).where("packed is not null").select("packed", "asked")
-    strings = durable(strings.mapInArrow(_strings, "id long, string string").dropDuplicates(["id"]), "strings")
-
-    edges = durable(_similar(pairs, strings), "similar")
-    reach = components(edges)
-    if not crowded.isEmpty():
-        # Lines of a full band that its first line didn't bring together are paired across their groups.
-        label = crowded.select("key", "id").join(reach.withColumnRenamed("node", "id"), "id", "left")
-        label = durable(label.select("key", "id", F.coalesce("component", "id").alias("c")), "groups")
-        right = label.select("key", F.col("id").alias("b"), F.col("c").alias("d"))
-        across = label.withColumnRenamed("id", "a").join(right, "key").where("c < d")
-        across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        reach = components(edges.unionByName(_similar(across, strings)))
+    strings = strings.mapInArrow(_strings, "id long, string string, sketch binary")
+    strings = durable(strings.dropDuplicates(["id"]), "strings")
+
+    parts = F.ceil(F.col("n") / HELD).cast("int")
+    own = F.pmod(F.hash("id"), parts).alias("own")
+    dealt = members.select("key", "id", own, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    dealt = dealt.select("key", "part", (F.col("own") == F.col("part")).alias("held"), "id").join(strings, "id")
+    ready = dealt.repartition("key", "part").sortWithinPartitions("key", "part", F.desc("held"))
+    reach = components(ready.mapInArrow(_compare, "a long, b long"))
 
     group = firsts.join(reach.withColumnRenamed("node", "id"), "id", "left")
     single = group.where("component is null and n > 1").select("id", "first")
