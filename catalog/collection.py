@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog.views import NOW, TZ, sql, store, view
 from wavecohort.functions import clock, values
@@ -162,6 +162,20 @@ def b6_granted_rows_per_viewer(spark, sf):
     return scope.granted_counts(view(spark, sf, "readings"), F.col("uploader_phone_id"), grants, "viewer")
 
 
+@query(sql("grants readings", GRANTED + PLC + """
+  SELECT v.viewer, p.subject_id, count(*) AS n FROM (SELECT DISTINCT viewer FROM grants) v
+  JOIN plc p ON EXISTS (SELECT 1 FROM g WHERE g.viewer = v.viewer AND g.subject_id IN ('*', p.subject_id)) GROUP BY 1, 2"""))
+def b5_scope_by_grants(spark, sf):
+    grants = scope.resolve_grants(view(spark, sf, "grants"), "viewer", "subject")
+    readings = view(spark, sf, "readings").select(values.subject_of(F.col("uploader_phone_id")).alias("subject_id"))
+    out = None
+    for viewer in sorted(r.viewer for r in view(spark, sf, "grants").select("viewer").distinct().collect()):
+        seen = scope.restrict(readings, F.col("subject_id"), scope.scope_of(grants, "viewer", viewer))
+        one = seen.groupBy("subject_id").agg(F.count("*").alias("n")).withColumn("viewer", F.lit(viewer))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(sql("sessions uploads", ATT + " SELECT id AS session_id FROM att WHERE subject_id IN ('p01', 'p02')"))
 def b7_scoped_session_ids(spark, sf):
     return scope.scoped_session_ids(attributed(spark, sf), ["p01", "p02"])
@@ -571,7 +585,7 @@ def r11_people_texts(spark, sf):
 
 
 @query(sql("sessions uploads readings minutes", ALL_STATE + CLK + BLG + QLT + f""" , w AS ({SUBJECT_RULES_SQL} UNION ALL {STORE_RULES_SQL})
-  SELECT *, row_number() OVER (ORDER BY rank, subject_id NULLS LAST, rule) AS place FROM w"""))
+  SELECT * FROM w"""))
 def f6_ranked_warnings(spark, sf):
     found = rules.all_warnings(
         state(spark, sf),
@@ -579,9 +593,7 @@ def f6_ranked_warnings(spark, sf):
         c.upload_backlog(view(spark, sf, "uploads"), NOW),
         c.usable_minutes(view(spark, sf, "minutes")),
     )
-    # Warnings are a few per subject; numbering them shows the order, which a result set alone would lose.
-    order = Window.orderBy("rank", F.asc_nulls_last("subject_id"), "rule")
-    return rules.ranked(found).withColumn("place", F.row_number().over(order))
+    return rules.ranked(found)
 
 
 @query(sql("sessions uploads readings", ALL_STATE + " SELECT * REPLACE (round(nearest_miss_s, 6) AS nearest_miss_s) FROM stt ORDER BY subject_id"))

@@ -27,12 +27,11 @@ def query(counterpart: str | None = None):
 LOCAL_TS = f"timezone('{TZ}', timezone('UTC', make_timestamp(CAST(round(ts * 1e6) AS BIGINT))))"
 PTS = """, ranked AS (SELECT reading_id, t AS ts, sys, dia, pulse, subject_id, coalesce(clock_valid, FALSE) AS clock_ok,
     coalesce(ihb, FALSE) AS irregular, row_number() OVER (PARTITION BY subject_id ORDER BY t DESC, reading_id DESC) AS rn
-  FROM plc WHERE NOT coalesce(clock_suspect, FALSE)), pts AS (SELECT * EXCLUDE (rn) FROM ranked WHERE rn <= 5000)"""
+  FROM plc WHERE NOT coalesce(clock_suspect, FALSE)), pts AS (SELECT * EXCLUDE (rn) FROM ranked)"""
 COV = f""", sday AS (SELECT strftime(timezone('{TZ}', timezone('UTC', make_timestamp(CAST(round(start_time * 1e6) AS BIGINT)))), '%Y-%m-%d') AS day,
     subject_id, sum(coalesce(end_time, start_time) - start_time) / 60 AS minutes, count(*) AS sessions
-  FROM att WHERE start_time >= {NOW} - 20 * 86400 GROUP BY 1, 2),
-rday AS (SELECT substr(taken_at, 1, 10) AS day, subject_id, count(*) AS n FROM plc
-  WHERE wall_epoch >= {NOW} - 20 * 86400 GROUP BY 1, 2),
+  FROM att GROUP BY 1, 2),
+rday AS (SELECT substr(taken_at, 1, 10) AS day, subject_id, count(*) AS n FROM plc GROUP BY 1, 2),
 cov AS (SELECT day, subject_id, coalesce(round_even(minutes, 1), 0) AS recorded_minutes, coalesce(sessions, 0) AS sessions,
   coalesce(n, 0) AS cuff_count FROM sday FULL JOIN rday USING (day, subject_id))"""
 
@@ -43,8 +42,8 @@ def points(spark, sf):
 
 def coverage(spark, sf):
     return trends.coverage_days(
-        trends.recorded_by_day(attributed(spark, sf), TZ, NOW, 20),
-        trends.readings_by_day(placed(spark, sf), NOW, 20),
+        trends.recorded_by_day(attributed(spark, sf), TZ, NOW),
+        trends.readings_by_day(placed(spark, sf), NOW),
     )
 
 
@@ -153,7 +152,7 @@ def d11_recorded_by_day(spark, sf):
 HQ = """SELECT floor(ts / 3600) * 3600 AS bucket, {k} CASE WHEN isfinite(avg(sqi){f}) THEN round(avg(sqi){f}, 9) END AS sqi,
   CASE WHEN isfinite(avg(hr_ppg)) THEN round(avg(hr_ppg), 9) END AS hr, count(*) AS minutes,
   CASE WHEN isfinite(avg(acc_motion)) THEN round(avg(acc_motion), 9) END AS motion
-  FROM minutes WHERE ts >= 1706659200.0 - 30 * 86400 GROUP BY ALL"""
+  FROM minutes GROUP BY ALL"""
 
 
 @query(sql("minutes", " " + HQ.format(k="", f="")))
@@ -221,9 +220,9 @@ def e13_quality_runs(spark, sf):
     return rounded(found, 6, "first_ts", "last_ts")
 
 
-@query(sql("readings", PLC + PTS + " SELECT * REPLACE (round(ts, 6) AS ts) FROM pts"))
+@query(sql("readings", PLC + PTS + " SELECT * EXCLUDE (rn) REPLACE (round(ts, 6) AS ts) FROM ranked WHERE rn <= 25"))
 def f5_capped_points(spark, sf):
-    return rounded(points(spark, sf), 6, "ts")
+    return rounded(trends.newest_points(points(spark, sf), 25), 6, "ts")
 
 
 @query(sql("readings", PLC + """ SELECT reading_id, subject_id, taken_at FROM (SELECT *, row_number() OVER

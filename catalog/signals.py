@@ -117,13 +117,12 @@ def e3_ambient_subtracted(spark, sf):
     return s.channels_long(view(spark, sf, "ppg"), KEY)
 
 
-@query(sql("ppg", PIDX + BAND + " SELECT session_id, i, round(base, 3) AS base, round(noise, 3) AS noise FROM ma WHERE ch = 0"))
+@query(sql("ppg", PIDX + BAND + " SELECT session_id, ch::BIGINT AS ch, i, round(base, 3) AS base, round(noise, 3) AS noise FROM ma"))
 def e4_moving_average(spark, sf):
     widths = {"base": s.odd_width(F.col("fs"), s.BASELINE_S, 3), "noise": s.odd_width(F.col("fs"), s.NOISE_S, 1)}
-    averaged = s.moving_averages(ppg_index(spark, sf), KEY, ["ppg0"], widths)
-    return averaged.select(
-        "session_id", "i", F.round("ppg0_base", 3).alias("base"), F.round("ppg0_noise", 3).alias("noise")
-    )
+    averaged = s.moving_averages(ppg_index(spark, sf), KEY, list(s.CHANNELS), widths)
+    per = [F.struct(F.lit(n).cast("bigint").alias("ch"), *[F.round(f"{c}_{w}", 3).alias(w) for w in widths]) for n, c in enumerate(s.CHANNELS)]
+    return averaged.select("session_id", "i", F.explode(F.array(*per)).alias("x")).select("session_id", "i", "x.*")
 
 
 @query(sql("ppg", PIDX + BAND + """ SELECT session_id, i, round(max(y) FILTER (WHERE ch = 0), 3) AS ppg0,

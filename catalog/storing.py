@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog.collection import ALL_STATE, ATT, BLG, CLK, GAP, PLC, QLT, attributed, placed, rounded
@@ -16,7 +14,7 @@ from wavecohort.plans.series import Series
 from wavecohort.plans.status import CollectionStatus
 from wavecohort.plans.waveforms import waveforms
 from wavecohort.schemas import READING_WIRE_DDL, schema_of
-from wavecohort.session import durable, prepare, shared_dir
+from wavecohort.session import durable, intermediate, prepare
 from wavecohort.sources import bundles, snapshots
 from wavecohort.functions.values import allowed_name, allowed_size, reading_key
 from wavecohort.streaming import streams
@@ -36,7 +34,7 @@ def query(counterpart: str | None = None):
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return intermediate(spark, name)
 
 
 # ---- landing
@@ -93,7 +91,7 @@ def a3_landed_samples(spark, sf):
     root, _ = _landed(spark, sf)
     landed = spark.read.parquet(f"{root}/ppg")
     ids = landed.withColumn("session_id", F.regexp_extract("bundle", r"(\d+)$", 1).cast("bigint")).drop("bundle")
-    kept, _lost = merge.drop_repeats(ids, ["session_id", "timestamp_ns"])
+    kept, _lost = merge.drop_repeats(ids)
     path = folder(spark, "samples")
     bundles.write_samples(kept, path, buckets=16)
     return spark.read.parquet(path).groupBy(F.col("session_id").alias("recording")).agg(
@@ -348,23 +346,29 @@ QUERIES["e14_waveform_blocks"] = p3_waveforms
 ORACLE["e14_waveform_blocks"] = ORACLE["p3_waveforms"]
 
 
-@query(f"WITH {SENT}, new AS (SELECT DISTINCT reading_id FROM bat) SELECT (SELECT count(*) FROM bat) AS received, (SELECT count(*) FROM new) AS inserted, (SELECT count(*) FROM new) AS total")
+@query(ORACLE["d19_ingest_receipt"])
 def p4_ingest_readings(spark, sf):
     prepare(spark, sf)
-    sent = _sent(spark, sf).where("NOT stored")
+    sent = _sent(spark, sf)
     rows = sent.select(
         *[F.col(f.name) if f.name in sent.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema_of("cuff_readings").fields],
         "seq",
+        "stored",
     )
-    return ingest.ingest_readings(spark, folder(spark, "readings"), rows, F.col("seq"))
+    root = folder(spark, "readings")
+    ingest.ingest_readings(spark, root, rows.where("stored").drop("stored"), F.col("seq"))
+    return ingest.ingest_readings(spark, root, rows.where("NOT stored").drop("stored"), F.col("seq"))
 
 
 # ---- streams: the input is the events table, read as a file stream
 
-def _stream(spark, sf, name: str, change) -> DataFrame:
-    """A stream over a view, landed as files first so that a file stream can pick them up."""
+def _stream(spark, sf, name: str, change, batches: int = 1) -> DataFrame:
+    """A stream over a view, landed as files first so that a file stream can pick them up, one for each batch."""
     root = folder(spark, name)
     rows = change(view(spark, sf, name))
+    if batches > 1:
+        rows.repartition(batches).write.parquet(root)
+        return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(root)
     rows.write.parquet(root)
     return spark.readStream.schema(rows.schema).parquet(root)
 
@@ -387,7 +391,7 @@ def _to_table(spark, stream: DataFrame) -> DataFrame:
 @query(sql("readings", " SELECT reading_id, taken_at, sys, clock_offset_s FROM readings"))
 def k1_upsert_stream(spark, sf):
     cols = schema_of("cuff_readings").names
-    stream = _stream(spark, sf, "readings", lambda r: r.unionByName(r).select(*cols))
+    stream = _stream(spark, sf, "readings", lambda r: r.unionByName(r).select(*cols), 3)
     root = folder(spark, "readings-log")
     _finish(streams.upsert_readings(stream, root, folder(spark, "state")))
     return ingest.merged_readings(spark, root, F.col("uploaded_at")).select("reading_id", "taken_at", "sys", "clock_offset_s")
@@ -417,7 +421,7 @@ def k3_run_stream(spark, sf):
   {NOW} - max(start_time) > 43200 AS stale FROM att GROUP BY 1"""))
 def k4_freshness_stream(spark, sf):
     rows = attributed(spark, sf).select("subject_id", F.col("start_time").alias("ts"))
-    stream = _stream(spark, sf, "sessions", lambda _: rows)
+    stream = _stream(spark, sf, "sessions", lambda _: rows, 3)
     root = folder(spark, "freshness")
     _finish(streams.freshness(stream, root, folder(spark, "state"), NOW, 43200))
     done = snapshots.versions(spark, root)[-1]
@@ -426,16 +430,17 @@ def k4_freshness_stream(spark, sf):
 
 @query(sql("sessions uploads readings", ATT + PLC + GAP + " SELECT reading_id, matched_id AS session_id, round(gap, 6) AS gap FROM gaps WHERE gap <= 120"))
 def k5_pairing_stream(spark, sf):
-    stream = _stream(spark, sf, "readings", lambda _: placed(spark, sf).select("reading_id", "subject_id", "t"))
-    spans = durable(attributed(spark, sf).select("subject_id", "start_time", "end_time", "id"), "spans")
+    stream = _stream(spark, sf, "readings", lambda _: placed(spark, sf).select("reading_id", "subject_id", "t"), 3)
+    spans, path = attributed(spark, sf).select("subject_id", "start_time", "end_time", "id"), folder(spark, "spans")
+    spans.write.parquet(path)
     root = folder(spark, "pairing")
-    _finish(streams.pair_readings(stream, lambda s: s.read.schema(spans.schema).parquet(*spans.inputFiles()), root, folder(spark, "state")))
+    _finish(streams.pair_readings(stream, lambda s: s.read.schema(spans.schema).parquet(path), root, folder(spark, "state")))
     return streams.paired(spark, root).select("reading_id", "session_id", F.round("gap", 6).alias("gap"))
 
 
 @query(sql("files", FIL.format(limit=200 * 1024 * 1024) + " SELECT upload, name, seq, verdict, verdict IN ('ok', 'undeclared') AS accepted FROM vd"))
 def k6_file_stream(spark, sf):
-    stream = _stream(spark, sf, "files", lambda _: staged(spark, sf))
+    stream = _stream(spark, sf, "files", lambda _: staged(spark, sf), 3)
     good, bad = folder(spark, "good"), folder(spark, "bad")
     _finish(streams.arriving_files(stream, good, bad, folder(spark, "state")))
     took = lambda root, ok: spark.read.parquet(root).select("upload", "name", "seq", "verdict", F.lit(ok).alias("accepted"))

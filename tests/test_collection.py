@@ -250,3 +250,26 @@ def test_look_back_and_names(spark):
     names = ["manifest.json", "a.rop", "../a.rop", "x/y.rop", "a..rop", ".rop", "notes.csv", "notes.txt", "ok-1_2.rop"]
     got = spark.createDataFrame([(n,) for n in names], "n string").where(values.allowed_name(F.col("n"))).collect()
     assert {r.n for r in got} == {"manifest.json", "a.rop", "notes.csv", "ok-1_2.rop"}
+
+
+def test_a_scope_held_as_rows_means_the_same_as_a_list(spark):
+    from pyspark.sql import functions as F
+
+    from wavecohort.operators import scope
+
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "subject string")
+    kept = lambda s: rows.transform(lambda d: scope.restrict(d, F.col("subject"), s)).count()
+    held = lambda *s: spark.createDataFrame([(x,) for x in s], "subject_id string")
+    assert [kept(held("*")), kept(held("a", "*")), kept(held("a", "b")), kept(held())] == [3, 3, 2, 0]
+    assert scope.unrestricted(held("*")) and not scope.unrestricted(held())
+    grants = scope.resolve_grants(spark.createDataFrame([("v", None), ("w", ["a"]), ("x", [" "])], "viewer string, subjects array<string>"), "viewer", "subjects")
+    assert [kept(scope.scope_of(grants, "viewer", v)) for v in "vwx"] == [3, 1, 0]
+
+
+def test_many_readings_of_one_subject_are_all_summarised(spark):
+    from wavecohort.operators import trends
+
+    base = spark.range(6000).selectExpr("'s' subject_id", "cast(id as string) reading_id", "id * 600.0D ts", "100 + cast(id % 7 as int) sys", "80 dia", "60 pulse")
+    assert trends.daily_summary(base, "UTC").agg({"n": "sum"}).first()[0] == 6000
+    assert trends.run_summary(base, ["subject_id"], "ts", trends.READING_GAP_S).first().points == 6000
+    assert trends.newest_points(base).count() == trends.MAX_POINTS

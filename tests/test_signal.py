@@ -150,3 +150,32 @@ def test_repeated_timestamps_keep_every_sample(spark):
     df = samples(spark, {1: ([5] * 50 + [6] * 50, np.arange(100))})
     rows = s.sample_index(df, KEY).collect()
     assert sorted(r.i for r in rows) == list(range(100)) and {r.n for r in rows} == {100}
+
+
+def test_a_moving_average_blanks_only_windows_with_a_bad_value(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from wavecohort.operators.signal import moving_averages
+
+    draw = np.random.default_rng(2)
+    x = draw.standard_normal(300) * 1e3
+    x[[0, 50, 120, 299]] = [np.nan, np.inf, np.nan, 5.0]
+    values = [None if i == 200 else float(v) for i, v in enumerate(x)]
+    rows = [("k", i, 300, v, values[0], values[-1]) for i, v in enumerate(values)]
+    table = spark.createDataFrame(rows, "key string, i long, n long, v double, _first_v double, _last_v double")
+    got = moving_averages(table, ["key"], ["v"], {"w": F.lit(13)}).orderBy("i").collect()
+    padded = np.concatenate(([np.nan] * 6, [np.nan if v is None else v for v in values], [5.0] * 6))
+    wanted = np.array([padded[i : i + 13].mean() for i in range(300)])
+    wanted[~np.isfinite(wanted)] = np.nan
+    assert np.allclose([r.v_w for r in got], wanted, equal_nan=True)
+
+
+def test_band_means_keep_small_and_large_values(spark):
+    from wavecohort.operators.intervals import band_average
+
+    points = spark.createDataFrame([("a", 100.0), ("b", 1000.0)], "id string, t double")
+    for scale in (1e-9, 1.0, 1.5e13, 1e200):
+        values = spark.createDataFrame([(99.0, 1.0 * scale), (101.0, 2.0 * scale), (1000.0, 0.25 * scale)], "ts double, x double")
+        got = {r.id: r.x for r in band_average(points, values, [], "id", "t", "ts", ["x"]).collect()}
+        assert abs(got["a"] / scale - 1.5) < 1e-12 and abs(got["b"] / scale - 0.25) < 1e-12

@@ -224,3 +224,57 @@ def test_sizes_and_cleanup(spark):
     assert os.path.isdir(path)
     drop_intermediates(spark)
     assert not os.path.isdir(path)
+
+
+def land_csv(root, name, manifest, rows, notes=None):
+    folder = root / name
+    folder.mkdir(parents=True)
+    if manifest is not None:
+        (folder / "manifest.json").write_text(manifest)
+    (folder / "acc.csv").write_text("timestamp_ns,x,y,z\n" + "".join(f"{t},1,2,{t % 5}\n" for t in rows))
+    if notes:
+        (folder / "notes.csv").write_text("ts,note\n" + notes)
+
+
+def test_broken_bundles_are_set_aside_and_sent_again_counts_once(spark, tmp_path):
+    fine = json.dumps({"session_uuid": "u1", "started_at": 1.0, "ended_at": 2.0, "device_name": "d", "rop_files": []})
+    land_csv(tmp_path / "one", "a", fine, range(5), "1.5,hello\nsoon,later\n")
+    land_csv(tmp_path / "one", "b", "{not json", range(4), "1,lost\n")
+    land_csv(tmp_path / "one", "c", None, range(3))
+    out = ingest.convert_bundles(spark, str(tmp_path / "one"), "csv")
+    assert {r.bundle for r in out["failed"].collect()} == {"b", "c"}
+    assert (out["acc"].count(), out["broken_acc"].count(), out["ppg"].count()) == (5, 7, 0)
+    assert sorted((r.ts, r.note) for r in out["notes"].collect() if r.ts) == [(1.5, "hello")] and out["notes"].count() == 2
+    assert out["broken_notes"].count() == 1 and out["segments"].count() == 0
+    land_csv(tmp_path / "two", "a2", fine, range(2, 9))
+    again = ingest.convert_bundles(spark, str(tmp_path / "two"), "csv", stored={"acc": out["acc"]})
+    assert sorted(r.timestamp_ns for r in again["acc"].collect()) == [5, 6, 7, 8]
+    assert {r.sensor: r.duplicates for r in again["duplicates"].collect()}["acc"] == 3
+
+
+def test_samples_in_folders_of_part_files_keep_their_bundle(spark, tmp_path):
+    root = tmp_path / "landing"
+    rows = spark.createDataFrame([(1, 1, 2, 3), (2, 1, 2, 3)], "timestamp_ns long, x int, y int, z int")
+    rows.write.parquet(str(root / "rec-1" / "acc.parquet"))
+    assert {r.bundle for r in bundles.read_samples(spark, str(root), "acc").collect()} == {"rec-1"}
+
+
+def test_lines_that_are_no_readings_are_set_apart(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "b.json").write_text(json.dumps(wire("a")) + "\n{broken\n\n[1]\n")
+    path = str(tmp_path / "r")
+    assert [r.reading_id for r in bundles.read_readings(spark, path, F.lit("p"), 1.0).collect()] == ["a"]
+    assert bundles.corrupt_readings(spark, path).count() == 2
+
+
+def test_a_batch_of_files_says_nothing_of_those_still_to_come(spark):
+    files = spark.createDataFrame([("u", "a.rop", b"x")], "upload string, name string, content binary")
+    declared = spark.createDataFrame([("u", "a.rop", hashlib.sha256(b"x").hexdigest()), ("u", "b.rop", "00")], "upload string, name string, sha256 string")
+    verdicts = lambda **k: {r.name: r.verdict for r in bundles.check_files(files, declared, **k).collect()}
+    assert verdicts() == {"a.rop": "ok", "b.rop": "missing"} and verdicts(missing=False) == {"a.rop": "ok"}
+    assert bundles.check_files(files).first().verdict == "undeclared"
+
+
+def test_ages_are_asked_for_at_any_time(spark):
+    latest = spark.createDataFrame([("p", 100.0)], "subject_id string, last_ts double")
+    assert [streams.aged(latest, now, 50).first().stale for now in (120.0, 151.0)] == [False, True]

@@ -6,6 +6,8 @@ everything else is epoch seconds. Wall time is always converted through a named
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, functions as F
 
 DAY_S = 86400.0
@@ -102,8 +104,16 @@ def since_days(epoch: Column, now: float, days: int | None) -> Column:
     return epoch >= F.lit(float(now) - int(days) * DAY_S)
 
 
-def clamp_days(days: int, low: int = 1, high: int = 730) -> int:
-    return max(low, min(int(days), high))
+def since_wall(wall: Column, epoch: Column, now: float, days: int | None) -> Column:
+    """``since_days`` for rows that hold a wall time as text.
+
+    The text is bounded too, two days wider than any zone can shift it, so that the bound
+    reaches the files; text that is no ISO time sorts anywhere and is kept by the second test.
+    """
+    if not days:
+        return F.lit(True)
+    first = datetime.fromtimestamp(float(now) - (int(days) + 2) * DAY_S, timezone.utc).strftime("%Y-%m-%d")
+    return (wall >= F.lit(first)) & since_days(epoch, now, days)
 
 
 def local_instant(epoch: Column, tz: str) -> Column:

@@ -206,13 +206,19 @@ def notes_per_session(attributed: DataFrame, notes: DataFrame) -> DataFrame:
     return attributed.join(counted, "id", "left").withColumn("notes", F.coalesce("notes", F.lit(0)))
 
 
+def latest_sessions(sessions: DataFrame, k: int = RECENT_ROWS) -> DataFrame:
+    """The ``k`` latest recordings, to be taken before any join where all may be seen."""
+    return sessions.orderBy(F.desc_nulls_last("start_time"), "id").limit(k)
+
+
 def recent_sessions(attributed: DataFrame, notes: DataFrame, k: int = RECENT_ROWS) -> DataFrame:
-    """The ``k`` latest recordings; only their notes are counted (k rows, so safe to broadcast)."""
-    latest = attributed.orderBy(F.desc_nulls_last("start_time"), "id").limit(k)
-    theirs = notes.join(
-        F.broadcast(latest.select(F.col("id").alias("session_id"))), "session_id", "left_semi"
-    )
-    return notes_per_session(latest, theirs).select(
+    """The ``k`` latest recordings; only their notes are counted."""
+    latest = latest_sessions(attributed, k)
+    noted = notes.select(F.col("session_id").alias("_of"))
+    whole = F.struct(*[F.col(c) for c in latest.columns])
+    counted = latest.select("id", whole.alias("s")).join(noted, F.col("id") == F.col("_of"), "left")
+    counted = counted.groupBy("id", "s").agg(F.count("_of").alias("notes"))
+    return counted.select("s.*", "notes").select(
         "id",
         short_id(F.col("session_uuid")).alias("uuid"),
         "start_time",

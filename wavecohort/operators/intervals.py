@@ -6,6 +6,8 @@ subject, and each point reads what it needs from running values over that line.
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -118,18 +120,23 @@ def band_average(
     """Mean of ``columns`` over the value rows within ``half_width`` seconds of each point.
 
     Every point asks twice for running totals, at both ends of its band; the mean is the
-    difference. Totals are decimals, so the difference is exact at any length. With no
+    difference. Totals are integers scaled by the largest value of the column, to 26 digits,
+    so the difference is exact at any length and values of any size keep their precision. With no
     ``keys`` the values of all subjects count. A NaN value makes the mean NaN unless
-    ``skip_nan``. Points without a value keep a null mean.
+    ``skip_nan``. Points without a value keep a null mean. One number for each column comes to the driver.
     """
     micros = lambda c: F.round(c * 1e6).cast("bigint")
     width = int(round(half_width * 1e6))
     odd = lambda c: F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
+    top = values.agg(*[F.max(F.when(~odd(F.col(c)), F.abs(F.col(c).cast("double")))).alias(c) for c in columns]).first()
+    digits = {c: 26 - math.ceil(math.log10(top[c])) if top[c] else 0 for c in columns}
+    # Two factors, since one power of ten alone may be out of a double's range.
+    scaled = lambda c: F.col(c).cast("double") * F.lit(10.0 ** (digits[c] // 2)) * F.lit(10.0 ** (digits[c] - digits[c] // 2))
     measured = values.where(F.col(value_time).isNotNull()).select(
         *keys,
         micros(F.col(value_time)).alias("_t"),
         F.lit(1).alias("_kind"),
-        *[F.when(~odd(F.col(c)), F.col(c).cast("decimal(18,6)")).alias(f"_x_{c}") for c in columns],
+        *[F.when(~odd(F.col(c)), scaled(c).cast("decimal(28,0)")).alias(f"_x_{c}") for c in columns],
         *[F.when(odd(F.col(c)), 1).otherwise(0).alias(f"_odd_{c}") for c in columns],
     )
     asks = points.where(F.col(point_time).isNotNull()).select(
@@ -148,7 +155,7 @@ def band_average(
         line = line.withColumn("_all", F.lit(0))
         keyed = ["_all"]
     line = ordered_chunks(line, keyed, ["_t", "_kind"], "band")
-    zero = F.lit(0).cast("decimal(38,6)")
+    zero = F.lit(0).cast("decimal(38,0)")
     totals = {}
     for c in columns:
         totals[f"_s_{c}"] = F.coalesce(F.col(f"_x_{c}"), zero)
@@ -161,7 +168,8 @@ def band_average(
     )
     means = []
     for c in columns:
-        mean = F.try_divide(F.col(f"_s_{c}").cast("double"), F.col(f"_n_{c}"))
+        total = F.col(f"_s_{c}").cast("double") / F.lit(10.0 ** (digits[c] // 2)) / F.lit(10.0 ** (digits[c] - digits[c] // 2))
+        mean = F.try_divide(total, F.col(f"_n_{c}"))
         if not skip_nan:
             mean = F.when(F.col(f"_b_{c}") > 0, F.lit(float("nan"))).otherwise(mean)
         means.append(mean.alias(c))

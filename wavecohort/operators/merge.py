@@ -8,6 +8,7 @@ not depend on how often a batch is sent.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -89,10 +90,18 @@ def last_file_facts(staged: DataFrame, key: str, name: str, at: str) -> DataFram
     return staged.groupBy(key, name).agg(newest.alias("_v")).select(key, name, "_v.*")
 
 
-def drop_repeats(samples: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Samples without repeated keys, and how many were repeated per sensor table."""
-    rest = [c for c in samples.columns if c not in key]
-    chosen = F.min(F.struct(*rest)) if rest else F.count("*")
-    per_key = samples.groupBy(*key).agg(chosen.alias("_v"), F.count("*").alias("_n"))
-    kept = per_key.select(*key, "_v.*") if rest else per_key.select(*key)
-    return kept.select(*samples.columns), per_key.agg(F.sum(F.col("_n") - 1).alias("duplicates"))
+def drop_repeats(samples: DataFrame, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Samples without exact copies, also of what is ``stored``, and how many rows were copies.
+
+    Different samples of one moment all stay.
+    """
+    columns = samples.columns
+    once = samples.groupBy(*columns).agg(F.count("*").alias("_n"))
+    if stored is None:
+        once = once.withColumn("_old", F.lit(None).cast("boolean"))
+    else:
+        known = stored.select(*[F.col(c).alias(f"_{n}") for n, c in enumerate(columns)]).distinct()
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{n}")) for n, c in enumerate(columns)])
+        once = once.join(known.withColumn("_old", F.lit(True)), same, "left").select(*columns, "_n", "_old")
+    kept = F.when(F.col("_old").isNull(), 1).otherwise(0)
+    return once.where(F.col("_old").isNull()).select(*columns), once.agg(F.sum(F.col("_n") - kept).alias("duplicates"))

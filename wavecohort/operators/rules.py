@@ -23,18 +23,18 @@ NO_RECORDINGS = "No recordings yet"
 NO_RECORDING_FOR = "No recording for %s"
 COLLECTION_STOPPED = "Collection may have stopped."
 NOT_TRANSFERRED = "Cuff not transferred for %s"
-OVERWRITES = "The cuff holds 100 readings and then overwrites silently."
+OVERWRITES = f"The cuff holds {RING_SLOTS} readings and then overwrites silently."
 BUFFER_FULL = "Cuff buffer estimated full"
 BUFFER_FULL_WHY = (
-    "~%s readings estimated since the last transfer, ring holds 100. If the rate held, "
+    f"~%s readings estimated since the last transfer, ring holds {RING_SLOTS}. If the rate held, "
     "the oldest readings have already been overwritten.%s"
 )
 BUFFER_FILLING = "Cuff buffer filling"
-BUFFER_FILLING_WHY = "~%s of 100 slots estimated used since the last transfer.%s"
+BUFFER_FILLING_WHY = f"~%s of {RING_SLOTS} slots estimated used since the last transfer.%s"
 BASIS = " Projected from %s/day observed over %s d."
 NO_PAIRS = "No calibration pairs"
-SOME_PAIRS = "%s of 20 calibration pairs"
-PAIRS_WANTED = "Protocol target is at least 20 pairs spanning 30 mmHg."
+SOME_PAIRS = f"%s of {PAIR_TARGET} calibration pairs"
+PAIRS_WANTED = f"Protocol target is at least {PAIR_TARGET} pairs spanning 30 mmHg."
 BAD_CLOCKS = "%s cuff readings have an untrustworthy clock"
 BAD_CLOCKS_WHY = "These cannot be paired with PPG."
 OLD_CLOCKS = "%s cuff readings predate clock provenance"
@@ -220,7 +220,7 @@ def tile_states(state: DataFrame) -> DataFrame:
         text.age_text(age).alias("recording_text"),
         dated(sent, TRANSFER_STALE_S).alias("transfer_state"),
         text.age_text(sent).alias("transfer_text"),
-        F.when(est.isNull(), "").when(est >= 100, "error").when(est >= 70, "warn").otherwise("ok").alias("buffer_state"),
+        F.when(est.isNull(), "").when(est >= RING_SLOTS, "error").when(est >= RING_SLOTS * FILL_WARN, "warn").otherwise("ok").alias("buffer_state"),
         F.when(pairs == 0, "warn").when(pairs < PAIR_TARGET, "").otherwise("ok").alias("pairs_state"),
         text.unpaired_text(
             F.col("unpaired_no_overlap"),

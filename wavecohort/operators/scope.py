@@ -15,13 +15,22 @@ Scope = Sequence[str] | DataFrame | None
 
 
 def unrestricted(scope: Scope) -> bool:
-    return scope is None or (not isinstance(scope, DataFrame) and ALL_SUBJECTS in scope)
+    """Whether a scope shows everything; of one held as a DataFrame a single row is looked for."""
+    if isinstance(scope, DataFrame):
+        return not scope.where(F.col(scope.columns[0]) == ALL_SUBJECTS).isEmpty()
+    return scope is None or ALL_SUBJECTS in scope
+
+
+def scope_of(grants: DataFrame, viewer: str, name: str, subject: str = "subject_id") -> DataFrame:
+    """The scope of one viewer from resolved grants: its subjects, ``*`` for all, no row for none."""
+    return grants.where(F.col(viewer) == name).select(subject)
 
 
 def restrict(df: DataFrame, subject: Column, scope: Scope) -> DataFrame:
     """Rows of the subjects in scope: no scope or ``*`` keeps all, an empty scope keeps none.
 
-    A scope held as a one-column DataFrame is applied as a semi join.
+    A scope held as a one-column DataFrame, such as a viewer's resolved grants, means the same and is
+    applied as a semi join.
     """
     if unrestricted(scope):
         return df

@@ -126,13 +126,20 @@ def motion_magnitude(samples: DataFrame) -> DataFrame:
     return samples.withColumn("magnitude", F.sqrt(square("x") + square("y") + square("z"))).drop("x", "y", "z")
 
 
+def _odd(c: Column) -> Column:
+    """Null or not finite."""
+    x = c.cast("double")
+    return x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
+
+
 def moving_averages(indexed: DataFrame, keys: Sequence[str], columns: Sequence[str], widths: dict[str, Column]) -> DataFrame:
     """Centred moving averages with edge padding, one per column and width.
 
     The width may differ per key. A running sum read at ``i + h`` and at ``i - h - 1`` gives
     the sum of a window; scaling the row number by ``h + 1/2`` turns both into range frames
     with fixed bounds, so each costs one pass at any width. Beyond the ends the first and
-    last value stand in for what is missing. Adds ``<column>_<width name>``.
+    last value stand in for what is missing. Adds ``<column>_<width name>``: NaN where the
+    window holds a value that is null or not finite, and only there.
     """
     keys = list(keys)
     half = {w: F.floor(e / 2).cast("bigint") for w, e in widths.items()}
@@ -151,9 +158,16 @@ def moving_averages(indexed: DataFrame, keys: Sequence[str], columns: Sequence[s
         left = F.greatest(F.lit(0), h - F.col("i"))
         right = F.greatest(F.lit(0), F.col("i") + h - F.col("n") + 1)
         for c in columns:
-            inside = F.sum(c).over(upper) - F.coalesce(F.sum(c).over(lower), F.lit(0))
-            padded = inside + F.col(f"_first_{c}") * left + F.col(f"_last_{c}") * right
-            added[f"{c}_{w}"] = F.when(h == 0, F.col(c).cast("double")).otherwise(padded / (2 * h + 1))
+            between = lambda x: F.coalesce(F.sum(x).over(upper), F.lit(0)) - F.coalesce(F.sum(x).over(lower), F.lit(0))
+            good = F.when(~_odd(F.col(c)), F.col(c))
+            edges = [(F.col(f"_first_{c}"), left), (F.col(f"_last_{c}"), right)]
+            padded = between(good)
+            odd = between(_odd(F.col(c)).cast("int")) > 0
+            for value, times in edges:
+                padded = padded + F.when((times > 0) & ~_odd(value), value * times).otherwise(0)
+                odd = odd | ((times > 0) & _odd(value))
+            mean = F.when(odd, F.lit(float("nan"))).otherwise(padded / (2 * h + 1))
+            added[f"{c}_{w}"] = F.when(h == 0, F.col(c).cast("double")).otherwise(mean)
     return (
         cut.withColumns(added)
         .where("core")

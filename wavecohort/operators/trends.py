@@ -22,12 +22,12 @@ DETAIL_LIMIT = 40
 LOW_SYSTOLIC = 90
 
 
-def reading_points(placed: DataFrame, now: float, days: int | None = None, cap: int = MAX_POINTS) -> DataFrame:
-    """Corrected reading points that were not quarantined; each subject keeps its newest ``cap``."""
+def reading_points(placed: DataFrame, now: float, days: int | None = None) -> DataFrame:
+    """Corrected reading points that were not quarantined."""
     kept = placed.where(clock.not_quarantined(F.col("clock_suspect"))).where(
-        clock.since_days(F.col("wall_epoch"), now, days)
+        clock.since_wall(F.col("taken_at"), F.col("wall_epoch"), now, days)
     )
-    points = kept.select(
+    return kept.select(
         "reading_id",
         finite(F.col("t")).alias("ts"),
         "sys",
@@ -37,10 +37,14 @@ def reading_points(placed: DataFrame, now: float, days: int | None = None, cap:
         clock.flag(F.col("clock_valid")).alias("clock_ok"),
         clock.flag(F.col("ihb")).alias("irregular"),
     )
+
+
+def newest_points(points: DataFrame, cap: int = MAX_POINTS) -> DataFrame:
+    """The newest ``cap`` points of each subject, for a drawing that shows no more."""
     return top_per_group(points, ["subject_id"], [F.desc("ts"), F.desc("reading_id")], cap)
 
 
-def recorded_by_day(attributed: DataFrame, tz: str, now: float, days: int) -> DataFrame:
+def recorded_by_day(attributed: DataFrame, tz: str, now: float, days: int | None = None) -> DataFrame:
     """Minutes and recordings per day and subject; a recording belongs whole to its first day."""
     kept = attributed.where(clock.since_days(F.col("start_time"), now, days))
     return kept.groupBy(clock.local_day(F.col("start_time"), tz).alias("day"), "subject_id").agg(
@@ -49,8 +53,8 @@ def recorded_by_day(attributed: DataFrame, tz: str, now: float, days: int) -> Da
     )
 
 
-def readings_by_day(placed: DataFrame, now: float, days: int) -> DataFrame:
-    kept = placed.where(clock.since_days(F.col("wall_epoch"), now, days))
+def readings_by_day(placed: DataFrame, now: float, days: int | None = None) -> DataFrame:
+    kept = placed.where(clock.since_wall(F.col("taken_at"), F.col("wall_epoch"), now, days))
     return kept.groupBy(F.substring("taken_at", 1, 10).alias("day"), "subject_id").agg(
         F.count("*").alias("cuff_count")
     )
@@ -90,7 +94,7 @@ def coverage_totals(coverage: DataFrame) -> DataFrame:
     return per_day.withColumn("scale_max", F.greatest(F.lit(10.0), largest))
 
 
-def hourly_quality(minutes: DataFrame, now: float, days: int | None = 30, keys: tuple[str, ...] = (), skip_nan: bool = False, digits: tuple[int, int, int] = (3, 1, 2)) -> DataFrame:
+def hourly_quality(minutes: DataFrame, now: float, days: int | None = None, keys: tuple[str, ...] = (), skip_nan: bool = False, digits: tuple[int, int, int] = (3, 1, 2)) -> DataFrame:
     """Mean quality, heart rate and motion per hour; a NaN minute blanks its hour unless skipped."""
     kept = minutes.where(clock.since_days(F.col("ts"), now, days))
     number = lambda c: F.when(~F.isnan(c), F.col(c)) if skip_nan else F.col(c)

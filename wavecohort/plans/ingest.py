@@ -67,29 +67,49 @@ def sessions_from_manifests(manifests: DataFrame) -> DataFrame:
     )
 
 
-def convert_bundles(spark: SparkSession, landing: str, fmt: str = "parquet", sensors: tuple[str, ...] = ("ppg",)) -> dict[str, DataFrame]:
+def convert_bundles(spark: SparkSession, landing: str, fmt: str = "parquet", sensors: tuple[str, ...] = ("ppg", "acc", "gyro"), stored: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Rows of the store for all bundles below ``landing``, and what each bundle held.
 
-    Samples repeated within a recording are dropped and counted, so that a bundle sent
-    twice counts once.
+    Exact copies of a sample are dropped and counted, so that a bundle sent twice counts
+    once; with ``stored`` (sample tables by sensor) also those sent in an earlier run. What belongs to
+    a bundle without a readable manifest is set aside in ``broken_<table>``, and
+    ``failed`` names those bundles: landed rows are kept, dropped as copies or set aside.
     """
-    manifests = bundles.read_manifests(spark, landing).where(F.col("session_uuid").isNotNull())
+    read = bundles.read_manifests(spark, landing)
+    manifests = read.where(F.col("session_uuid").isNotNull())
     sessions = sessions_from_manifests(manifests).dropDuplicates(["session_uuid"])
     ids = manifests.select("bundle", "session_uuid", F.abs(F.xxhash64("session_uuid")).alias("session_id"))
+    known = ids.select("bundle").distinct()
     out: dict[str, DataFrame] = {"sessions": sessions}
+    failed = read.where(F.col("session_uuid").isNull()).select("bundle", F.col(bundles.CORRUPT).alias("reason"))
     per_sensor = {}
     repeats = None
     for sensor in sensors:
-        placed = bundles.read_samples(spark, landing, sensor, fmt).join(ids, "bundle").drop("bundle", "session_uuid")
-        kept, lost = drop_repeats(placed, ["session_id", "timestamp_ns"])
+        landed = bundles.read_samples(spark, landing, sensor, fmt)
+        out[f"broken_{sensor}"] = landed.join(known, "bundle", "left_anti")
+        placed = landed.join(ids, "bundle").drop("bundle", "session_uuid")
+        names = [f.name for f in schema_of(sensor).fields]
+        earlier = None if stored is None or sensor not in stored else stored[sensor].select(*names)
+        kept, lost = drop_repeats(placed.select(*names), earlier)
+        kept = durable(kept, sensor)
         out[sensor] = kept.select(*[f.name for f in schema_of(sensor).fields])
         per_sensor[sensor] = out[sensor].join(
             ids.select("session_id", "session_uuid").distinct(), "session_id"
         )
         lost = lost.withColumn("sensor", F.lit(sensor))
         repeats = lost if repeats is None else repeats.unionByName(lost)
-    notes = bundles.read_notes(spark, landing).join(ids.select("bundle", "session_id"), "bundle")
-    segments = bundles.read_segments(spark, landing).join(ids.select("bundle", "session_uuid"), "bundle")
+    all_notes = bundles.read_notes(spark, landing).unionByName(bundles.read_notes(spark, landing, "csv"))
+    all_segments = bundles.read_segments(spark, landing)
+    out["broken_notes"] = all_notes.join(known, "bundle", "left_anti")
+    out["broken_segments"] = all_segments.join(known, "bundle", "left_anti")
+    notes = all_notes.join(ids.select("bundle", "session_id"), "bundle")
+    segments = all_segments.join(ids.select("bundle", "session_uuid"), "bundle")
+    # Bundles that landed files but no manifest fail like those whose manifest can't be read.
+    homeless = [out[n].select("bundle") for n in out if n.startswith("broken_")]
+    for one in homeless:
+        lone = one.distinct().join(read.select("bundle").distinct(), "bundle", "left_anti")
+        failed = failed.unionByName(lone.withColumn("reason", F.lit("no manifest")))
+    out["failed"] = failed.groupBy("bundle").agg(F.max("reason").alias("reason"))
     out["notes"] = notes.select("session_id", "ts", "note")
     out["segments"] = segments.select("session_uuid", "event", "segment_id", "ts")
     out["duplicates"] = repeats

@@ -7,29 +7,22 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
-from wavecohort.functions import clock
 from wavecohort.operators import trends
 from wavecohort.operators.collection import attribute_sessions, place_readings
 from wavecohort.operators.scope import Scope, hide_unattributed, restrict
 from wavecohort.session import durable
 
-COVERAGE_DAYS = 30
-
 
 @dataclass
 class Series:
-    """The series of the last ``days`` within ``scope``; a series is planned when it is asked for."""
+    """The series of the last ``days`` (0 or None: of all time) within ``scope``; each is planned when it is asked for."""
 
     tables: dict[str, DataFrame]
     now: float
     tz: str
-    days: int = 60
+    days: int | None = None
     scope: Scope = None
 
-    @cached_property
-    def window(self) -> int:
-        return clock.clamp_days(self.days)
-
     @cached_property
     def attributed(self) -> DataFrame:
         owned = attribute_sessions(self.tables["sessions"], self.tables["uploads"])
@@ -46,23 +39,43 @@ class Series:
 
     @cached_property
     def cuff(self) -> DataFrame:
-        return trends.reading_points(self.placed, self.now, self.window).orderBy("ts")
+        """All points; ``drawn`` has the newest of each subject."""
+        return trends.reading_points(self.placed, self.now, self.days)
+
+    @cached_property
+    def drawn(self) -> DataFrame:
+        return trends.newest_points(self.cuff).orderBy("ts")
+
+    @cached_property
+    def daily(self) -> DataFrame:
+        return trends.daily_summary(self.cuff, self.tz)
+
+    @cached_property
+    def hour_profile(self) -> DataFrame:
+        return trends.hour_profile(self.cuff, self.tz)
 
     @cached_property
     def coverage(self) -> DataFrame:
-        days = min(self.window, COVERAGE_DAYS)
         return trends.coverage_days(
-            trends.recorded_by_day(self.attributed, self.tz, self.now, days),
-            trends.readings_by_day(self.placed, self.now, days),
+            trends.recorded_by_day(self.attributed, self.tz, self.now, self.days),
+            trends.readings_by_day(self.placed, self.now, self.days),
         ).orderBy("day", "subject_id")
 
+    def calendar(self, first_day: str, last_day: str) -> DataFrame:
+        """Coverage with the days that have none."""
+        return trends.calendar(self.coverage, first_day, last_day)
+
     @cached_property
     def coverage_totals(self) -> DataFrame:
         return trends.coverage_totals(self.coverage)
 
     @cached_property
     def quality(self) -> DataFrame:
-        return trends.hourly_quality(self.minutes, self.now, self.window).orderBy("bucket")
+        return trends.hourly_quality(self.minutes, self.now, self.days).orderBy("bucket")
+
+    @cached_property
+    def quality_flags(self) -> DataFrame:
+        return trends.quality_flags(self.quality)
 
     @cached_property
     def pairs(self) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, functions as F
 
 from wavecohort.operators import collection as c, rules
-from wavecohort.operators.scope import Scope, hide_unattributed, restrict, within_sessions
+from wavecohort.operators.scope import Scope, hide_unattributed, restrict, unrestricted, within_sessions
 from wavecohort.session import durable
 
 
@@ -82,7 +82,10 @@ class CollectionStatus:
 
     @cached_property
     def recent_sessions(self) -> DataFrame:
-        return c.recent_sessions(self.sessions, self.notes)
+        if not unrestricted(self.scope):
+            return c.recent_sessions(self.sessions, self.notes)
+        latest = c.latest_sessions(self.tables["sessions"])
+        return c.recent_sessions(c.attribute_sessions(latest, self.tables["uploads"]), self.notes)
 
     @cached_property
     def recent_cuff(self) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,18 +26,19 @@ RUNTIME_CONF = {
     # order of its input made it differ, all its consumers run again.
     "spark.sql.shuffle.orderIndependentChecksum.enabled": "true",
     "spark.sql.shuffle.orderIndependentChecksum.enableFullRetryOnMismatch": "true",
+    # Rows of one run that meet in a task are joined before they are dealt by their key.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 #: Stored (compressed) bytes that one shuffle partition should stand for.
-PARTITION_BYTES = 256 * 1024 * 1024
-MAX_PARTITIONS = 100_000
+PARTITION_BYTES = 64 * 1024 * 1024
 
 _written: dict[str, list[str]] = {}
 
 
 def shuffle_partitions_for(input_bytes: int, at_least: int) -> int:
     """Shuffle partitions for an input size; adaptive execution merges what turns out small."""
-    return min(MAX_PARTITIONS, max(at_least, -(-input_bytes // PARTITION_BYTES)))
+    return max(at_least, -(-input_bytes // PARTITION_BYTES))
 
 
 def prepare(spark: SparkSession, *inputs: str) -> SparkSession:
@@ -64,8 +66,8 @@ def _size(spark: SparkSession, path: str) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables, visible to every executor.
 
-    It is the one named by ``spark.checkpoint.dir``. Only a local master, where all
-    executors share this machine, may fall back to a temporary folder.
+    It is the one named by ``spark.checkpoint.dir``. Only a session whose one executor is the
+    driver itself, as in tests, may fall back to a temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -73,13 +75,20 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="wavecohort-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def intermediate(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which ``drop_intermediates`` removes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of the written table.
 
@@ -88,9 +97,8 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     A lost executor re-reads files instead of recomputing a sampled shuffle.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = intermediate(spark, f"tables/{name}")
     df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

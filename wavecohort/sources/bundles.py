@@ -6,6 +6,8 @@ from there; what is wrong with a row is kept as a column, never dropped in silen
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType, StringType
 
@@ -27,10 +29,15 @@ def _with_corrupt(ddl: str) -> StructType:
     return StructType([*schema.fields, StructField(CORRUPT, StringType())])
 
 
-def bundle_of(path: Column) -> Column:
-    """Upload id of a landed file: the name of its folder."""
-    parts = F.split(path, "/")
-    return F.element_at(parts, -2)
+def bundle_of(path: Column, root: str | None = None) -> Column:
+    """Upload id of a landed file: the name of its folder, or of the folder right below ``root``.
+
+    The second also holds where a sample file is itself a folder of part files.
+    """
+    if root is None:
+        return F.element_at(F.split(path, "/"), -2)
+    below = root.split("://")[-1].split(":", 1)[-1].strip("/").rsplit("/", 1)[-1]
+    return F.regexp_extract(path, f"/{re.escape(below)}/([^/]+)/", 1)
 
 
 def file_name_of(path: Column) -> Column:
@@ -39,8 +46,7 @@ def file_name_of(path: Column) -> Column:
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     """One row per bundle manifest below ``root``; one that does not parse is kept in ``_corrupt``."""
-    whole = spark.read.text(f"{root}/*/manifest.json", wholetext=True)
-    return parse_manifests(whole.select(bundle_of(F.input_file_name()).alias("bundle"), "value"), "value")
+    return parse_manifests(_landed(spark, root, "manifest.json", whole=True), "value")
 
 
 def parse_manifests(lines: DataFrame, text: str) -> DataFrame:
@@ -55,23 +61,36 @@ def _parsed(lines: DataFrame, text: str, ddl: str) -> DataFrame:
     return lines.withColumn("_m", parsed).select(*[c for c in lines.columns if c != text], "_m.*")
 
 
+def _landed(spark: SparkSession, root: str, name: str, whole: bool = False) -> DataFrame:
+    """``bundle, value``: the lines of one kind of file from all bundles; no such file gives no line."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/*/{name}")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    if not found:
+        return spark.createDataFrame([], "bundle string, value string")
+    lines = spark.read.text(f"{root}/*/{name}", wholetext=whole)
+    return lines.select(bundle_of(F.input_file_name(), root).alias("bundle"), "value")
+
+
 def read_segments(spark: SparkSession, root: str) -> DataFrame:
-    lines = spark.read.text(f"{root}/*/segments.jsonl").where(F.trim("value") != "")
-    named = lines.select(bundle_of(F.input_file_name()).alias("bundle"), "value")
+    named = _landed(spark, root, "segments.jsonl").where(F.trim("value") != "")
     return parse_lines(named, "value", "event string, segment_id bigint, ts double")
 
 
 def read_notes(spark: SparkSession, root: str, kind: str = "jsonl") -> DataFrame:
-    """Notes of the bundles, whole lines as JSON text (``jsonl``) or ``ts,note`` rows (``csv``)."""
+    """Notes of the bundles, whole lines as JSON text (``jsonl``) or ``ts,note`` rows (``csv``).
+
+    A time that is no number is null and its line is kept in ``_corrupt``.
+    """
+    raw = _landed(spark, root, f"notes.{kind}").where(F.trim("value") != "")
     if kind == "csv":
-        raw = spark.read.schema("ts double, note string").option("header", True).csv(f"{root}/*/notes.csv")
-        return raw.withColumn("bundle", bundle_of(F.input_file_name()))
-    raw = spark.read.text(f"{root}/*/notes.jsonl").withColumn("bundle", bundle_of(F.input_file_name()))
-    return raw.where(F.trim("value") != "").select(
-        "bundle",
-        F.get_json_object("value", "$.ts").cast("double").alias("ts"),
-        F.col("value").alias("note"),
-    )
+        raw = raw.where(F.trim("value") != "ts,note")
+        row = F.from_csv("value", F.lit("ts string, note string"), {"mode": "PERMISSIVE"})
+        raw = raw.withColumn("_r", row)
+        time, note = F.col("_r.ts"), F.col("_r.note")
+    else:
+        time, note = F.get_json_object("value", "$.ts"), F.col("value")
+    at = time.try_cast("double")
+    return raw.select("bundle", at.alias("ts"), note.alias("note"), F.when(at.isNull(), F.col("value")).alias(CORRUPT))
 
 
 def parse_lines(lines: DataFrame, text: str, ddl: str) -> DataFrame:
@@ -80,9 +99,20 @@ def parse_lines(lines: DataFrame, text: str, ddl: str) -> DataFrame:
 
 
 def read_readings(spark: SparkSession, path: str, uploader: Column, now: float) -> DataFrame:
-    """Uploaded readings as rows of the readings table."""
-    raw = spark.read.schema(READING_WIRE_DDL).json(path)
-    return wire_readings(raw, uploader, now)
+    """Uploaded readings as rows of the readings table; lines that don't parse are left to ``corrupt_readings``."""
+    return wire_readings(_reading_lines(spark, path).where(F.col(CORRUPT).isNull()).drop(CORRUPT), uploader, now)
+
+
+def corrupt_readings(spark: SparkSession, path: str) -> DataFrame:
+    """The uploaded lines that are no readings, as text."""
+    return _reading_lines(spark, path).where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+
+
+def _reading_lines(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = parse_lines(lines.select("value", F.col("value").alias("_line")), "value", READING_WIRE_DDL)
+    broken = F.col(CORRUPT).isNotNull() | F.col("id").isNull()
+    return parsed.withColumn(CORRUPT, F.when(broken, F.col("_line"))).drop("_line")
 
 
 def wire_readings(raw: DataFrame, uploader: Column, now: float) -> DataFrame:
@@ -132,17 +162,21 @@ def read_files(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES)
     )
 
 
-def check_files(files: DataFrame, declared: DataFrame | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def check_files(files: DataFrame, declared: DataFrame | None = None, max_bytes: int = MAX_FILE_BYTES, missing: bool = True) -> DataFrame:
     """Verdict per staged file: its hash and whether name, size and declared hash are in order.
 
     ``files`` has upload, name and content, ``declared`` has upload, name and sha256;
     a file nobody declared a hash for is accepted as ``undeclared``. A declared file that
-    is not there is ``missing``; file scans skip empty files, so those show up here too.
+    is not there is ``missing``; file scans skip empty files, so those show up here too. With
+    ``missing`` off, as for one batch of many, only files that are there have a verdict.
     """
     size = F.col("bytes") if "bytes" in files.columns else F.octet_length("content")
     facts = files.withColumn("bytes", size).withColumn("sha256", F.sha2(F.col("content").cast("binary"), 256)).drop("content")
     if declared is not None:
-        facts = facts.join(declared.withColumnRenamed("sha256", "declared"), ["upload", "name"], "full_outer")
+        how = "full_outer" if missing else "left"
+        facts = facts.join(declared.withColumnRenamed("sha256", "declared"), ["upload", "name"], how)
+    elif "declared" not in facts.columns:
+        facts = facts.withColumn("declared", F.lit(None).cast("string"))
     return facts.withColumn("verdict", file_verdict(max_bytes))
 
 
@@ -166,8 +200,11 @@ def read_samples(spark: SparkSession, root: str, sensor: str, fmt: str = "parque
     reader = spark.read.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/*/{sensor}.{fmt}")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at):
+        return spark.createDataFrame([], schema).withColumn("bundle", F.lit(""))
     raw = reader.format(fmt).load(f"{root}/*/{sensor}.{fmt}")
-    return raw.withColumn("bundle", bundle_of(F.input_file_name()))
+    return raw.withColumn("bundle", bundle_of(F.input_file_name(), root))
 
 
 def sample_counts(counted: dict[str, DataFrame], key: str = "session_uuid") -> DataFrame:
@@ -192,7 +229,7 @@ def load_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(hadoop):
         return spark.createDataFrame([], schema)
-    return reconcile(spark.read.option("mergeSchema", True).parquet(path), schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def load_store(spark: SparkSession, root: str) -> dict[str, DataFrame]:
