@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -31,6 +32,7 @@ HEADLINE = (
 def main() -> None:
     sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
     from catalog import registry
+    from wavecohort.session import drop_intermediates
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -39,6 +41,7 @@ def main() -> None:
         .appName("bench")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -52,6 +55,7 @@ def main() -> None:
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             seconds = time.perf_counter() - began
             took[name] = round(min(seconds, took.get(name, seconds)), 3)
+            drop_intermediates(spark)
     line = {
         "metric": "headline_total",
         "value": round(sum(took.values()), 3),

@@ -103,7 +103,7 @@ def peaks(spark, sf):
 
 @query(sql("ppg", PIDX + " SELECT session_id, round(fs, 6) AS fs FROM fsr"))
 def e1_sample_rate(spark, sf):
-    return ppg_index(spark, sf).groupBy("session_id").agg(F.round(F.max("fs"), 6).alias("fs"))
+    return rounded(s.sample_rates(view(spark, sf, "ppg"), KEY), 6, "fs")
 
 
 @query(sql("ppg", PIDX + " SELECT session_id, i, n, round(t_s, 6) AS t_s FROM idx"))

@@ -203,7 +203,10 @@ def a13_older_layout(spark, sf):
 
 @query(sql("ppg", " SELECT timestamp_ns, ppg0, ppg1, ppg2, ambient FROM ppg WHERE session_id = 3 ORDER BY timestamp_ns"))
 def a14_one_recording(spark, sf):
-    return bundles.one_recording(view(spark, sf, "ppg"), 3).select("timestamp_ns", "ppg0", "ppg1", "ppg2", "ambient")
+    path = folder(spark, "bucketed")
+    bundles.write_samples(view(spark, sf, "ppg"), path, buckets=16)
+    found = bundles.read_bucketed(spark, path, 3, buckets=16)
+    return found.orderBy("timestamp_ns").select("timestamp_ns", "ppg0", "ppg1", "ppg2", "ambient")
 
 
 # ---- merges: lineitem keys repeat, so it serves as a store and a batch of resent rows

@@ -278,3 +278,21 @@ def test_a_batch_of_files_says_nothing_of_those_still_to_come(spark):
 def test_ages_are_asked_for_at_any_time(spark):
     latest = spark.createDataFrame([("p", 100.0)], "subject_id string, last_ts double")
     assert [streams.aged(latest, now, 50).first().stale for now in (120.0, 151.0)] == [False, True]
+
+
+def test_one_recording_reads_its_bucket_only(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("id % 50 session_id", "id timestamp_ns", "1 ppg0", "1 ppg1", "1 ppg2", "0 ambient")
+    bundles.write_samples(rows, str(tmp_path / "s"), buckets=8)
+    found = bundles.read_bucketed(spark, str(tmp_path / "s"), 7, buckets=8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 40 and "EqualTo(session_id,7)" in plan and "session_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_a_look_back_reaches_the_files(spark, tmp_path):
+    from wavecohort.operators.collection import place_readings
+    from wavecohort.operators.trends import reading_points
+
+    spark.createDataFrame([], schema_of("cuff_readings")).write.parquet(str(tmp_path / "r"))
+    stored_rows = spark.read.schema(schema_of("cuff_readings")).parquet(str(tmp_path / "r"))
+    plan = reading_points(place_readings(stored_rows, "Europe/Stockholm"), 1.77e9, 30)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(taken_at," in plan

@@ -92,6 +92,14 @@ def sample_index(samples: DataFrame, keys: Sequence[str], columns: Sequence[str]
     )
 
 
+def sample_rates(samples: DataFrame, keys: Sequence[str], ts: str = "timestamp_ns") -> DataFrame:
+    """The rate ``fs`` of every recording, from its times alone; 1.0 where no step is positive."""
+    times = ordered_chunks(samples.select(*keys, ts), keys, [ts], "times")
+    steps = previous(times, keys, {"_before": F.col(ts)}).select(*keys, (F.col(ts) - F.col("_before")).alias("step"))
+    rated = times.select(*keys).distinct().join(sample_rate(steps, keys), list(keys), "left")
+    return rated.withColumn("fs", F.coalesce("fs", F.lit(1.0)))
+
+
 def sample_rate(steps: DataFrame, keys: Sequence[str], step: str = "step") -> DataFrame:
     """Rate from the exact median of the positive steps; keys without such a step are left out."""
     middle = rank_select(

@@ -247,7 +247,7 @@ def write_samples(samples: DataFrame, path: str, buckets: int = 1024, mode: str
     Range partitioning on (bucket, recording, time) sorts the files for row-group pruning
     and cuts a long recording over many files.
     """
-    bucketed = samples.withColumn("session_bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int"))
+    bucketed = samples.withColumn("session_bucket", F.pmod(F.xxhash64(F.col("session_id").cast("bigint")), F.lit(buckets)).cast("int"))
     (
         bucketed.repartitionByRange("session_bucket", "session_id", "timestamp_ns")
         .sortWithinPartitions("session_bucket", "session_id", "timestamp_ns")
