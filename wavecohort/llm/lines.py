@@ -163,47 +163,53 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Band:
-    """The held lines of one part of a band, and which of the lines met so far are connected."""
+    """The held lines of one part of a band, and which of the lines met so far are connected.
+
+    ``group`` numbers the connected groups of the held lines; a line that only passes joins all groups
+    it is like.
+    """
 
     def __init__(self) -> None:
         self.ids: list[int] = []
-        self.strings: list[str] = []
+        self.place: dict[int, int] = {}
+        self.sets: list[set[str]] = []
         self.sketches = np.empty((0, SKETCH), np.uint16)
-        self.sets: dict[int, set[str]] = {}
-        self.above: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        above = self.above
-        while (up := above.get(x, x)) != x:
-            above[x] = above.get(up, up)
-            x = up
-        return x
+        self.group = np.empty(0, np.int64)
 
     def hold(self, ids: list[int], strings: list[str], sketches: np.ndarray) -> None:
+        first = len(self.ids)
+        self.place |= {x: first + n for n, x in enumerate(ids)}
         self.ids += ids
-        self.strings += strings
+        self.sets += [shingle_set(x) for x in strings]
         self.sketches = np.concatenate((self.sketches, sketches))
+        self.group = np.concatenate((self.group, np.arange(first, first + len(ids))))
 
     def links(self, ids: list[int], strings: list[str], sketches: np.ndarray) -> list[tuple[int, int]]:
-        """Links of held lines with these that connect what was not connected."""
-        held, now, found = set(self.ids), set(ids), []
-        own = self.sets
+        """Links of these lines with held ones that connect what was not connected."""
+        found: list[tuple[int, int]] = []
         for i in range(0, len(ids), HELD):
             agree = (self.sketches[:, None, :] == sketches[None, i : i + HELD, :]).sum(axis=2)
-            for h, v in np.argwhere(agree >= AGREE).tolist():
-                a, b = self.ids[h], ids[i + v]
-                if a == b or (b < a and b in held and a in now):
-                    continue  # the pair comes the other way round too
-                x, y = self.root(a), self.root(b)
-                if x == y:
+            for v in range(agree.shape[1]):
+                mine = self.place.get(ids[i + v])
+                near = np.flatnonzero(agree[:, v] >= AGREE)
+                if mine is not None:
+                    near = near[self.group[near] != self.group[mine]]
+                if not len(near):
                     continue
-                if a not in own:
-                    own[a] = shingle_set(self.strings[h])
-                first, second = own[a], shingle_set(strings[i + v])
-                common = len(first & second)
-                if common >= SIMILAR * (len(first) + len(second) - common):
-                    self.above[max(x, y)] = min(x, y)
-                    found.append((a, b))
+                own = self.sets[mine] if mine is not None else shingle_set(strings[i + v])
+                near = near[np.argsort(-agree[near, v], kind="stable")]
+                group = self.group[mine] if mine is not None else None
+                while len(near):
+                    h, near = int(near[0]), near[1:]
+                    other = self.sets[h]
+                    common = len(own & other)
+                    if common >= SIMILAR * (len(own) + len(other) - common):
+                        found.append((self.ids[h], ids[i + v]))
+                        if group is None:
+                            group = self.group[h]
+                        else:
+                            self.group[self.group == self.group[h]] = group
+                        near = near[self.group[near] != group]
         return found
 
 
