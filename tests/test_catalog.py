@@ -36,3 +36,8 @@ def test_query_equals_counterpart(spark, duck, name):
 def test_entry_has_rows(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "pairs" in df.columns
+
+
+def test_parts_that_are_not_here_are_left_out():
+    assert entry._optional("wavecohort.no_such_part.queries") == {"queries": {}, "oracle": {}}
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
