@@ -110,7 +110,9 @@ def with_next(docs: DataFrame, values: dict[str, Column], doc_id: str = "doc_id"
     over = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.coalesce(F.lag("_range").over(down), F.min("_range").over(over))
     heads = heads.select(F.col("_range").alias("_of"), "_top", before.alias("_to"))
-    first = placed.join(heads, (F.col("_range") == F.col("_of")) & F.col(doc_id).eqNullSafe(F.col("_top")))
+    # At most one row for each range, so as small as the bounds above; texts are not dealt out for it.
+    here = (F.col("_range") == F.col("_of")) & F.col(doc_id).eqNullSafe(F.col("_top"))
+    first = placed.join(F.broadcast(heads), here)
     rest = [c for c in docs.columns if c != text]
     extra = first.groupBy("_to").agg(F.max(F.struct(text, *rest)).alias("_row"))
     extra = extra.select("_row.*", F.col("_to").alias("_range"), F.lit(True).alias("_extra"))
