@@ -41,3 +41,12 @@ def test_stages(sent, tmp_path):
     assert set(seen["best_fit_packing"]) == set(last)
     run = corpus_pipeline.run(sent, folder)
     assert sorted(r.ids_crc32 for r in run.collect()) == sorted(r.ids_crc32 for r in docs.collect())
+
+
+def test_tables_without_labels_keep_their_documents(sent, tmp_path):
+    rows = [(1, "some words here", None, "s", 15), (2, None, None, "s", 0), (3, "12 34", None, "s", 5), (4, "other text", None, "s", 10)]
+    folder = str(tmp_path)
+    sent.createDataFrame(rows, FIELDS).write.parquet(f"{folder}/documents.parquet")
+    docs = sent.read.parquet(f"{folder}/documents.parquet")
+    assert sorted(r.doc_id for r in corpus_pipeline.language(sent, docs, folder).collect()) == [1, 4]
+    assert sorted(r.doc_id for r in corpus_pipeline.run(sent, folder).collect()) == [1, 4]

@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wavecohort.llm.blocks import LOWER, SPACE, Block, batch, blocks
 
@@ -229,13 +229,20 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", lang: str
                     [*own.columns, pa.array(names, pa.string()), pa.array(sure)], names=[*own.schema.names, lang, score]
                 )
 
-    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     out = docs.mapInArrow(run, schema)
     return out.withColumns(
-        {lang: F.when(letters, F.col(lang)).otherwise(UNKNOWN), score: F.when(letters, F.col(score)).otherwise(0.0)}
+        {
+            lang: F.when(lettered(text), F.col(lang)).otherwise(UNKNOWN),
+            score: F.when(lettered(text), F.col(score)).otherwise(0.0),
+        }
     )
 
 
+def lettered(text: str = "text") -> Column:
+    """Whether a text is not null and has a letter."""
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+
+
 def held_out(doc_id: str = "doc_id", every: int = 5):
     """Rows that training never sees: one in ``every`` by id, and rows without id."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(every)) == 0, F.lit(True))
