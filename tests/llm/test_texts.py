@@ -135,6 +135,16 @@ def test_one_document_of_each_group(make, odd):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [5, 8, 9, 10, 11, 12, 14, 15, 16]
 
 
+def test_every_row_is_a_document_of_its_own(make):
+    said = lambda k: " ".join(f"{k}word{i}" for i in range(200))
+    rows = [(3, said("a")), (5, said("b")), (5, said("a") + " end"), (5, said("c")), (6, said("d"))]
+    rows += [(None, said("e")), (None, said("f")), (None, said("f")), (None, said("d")), (6, said("d"))]
+    got = anchors.one_per_group(make(rows))
+    assert got.columns == make([]).columns
+    kept = [rows[i] for i in (0, 1, 3, 4, 5, 6)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(kept, key=str)
+
+
 def shingles(line):
     return {line[i : i + lines.SHINGLE] for i in range(max(1, len(line) - lines.SHINGLE + 1))}
 

@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wavecohort.llm.blocks import batch, blocks, signed
 from wavecohort.llm.graph import components
@@ -217,21 +217,37 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     gives an empty one; other columns are ignored.
     """
     prints = durable(fingerprints(docs, doc_id, text), "fingerprints")
-    nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    named = durable(_least(prints, F.col("doc_id")).withColumnRenamed("least", "component_id"), "components")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def _least(prints: DataFrame, value: Column) -> DataFrame:
+    """``fp, least`` for every fingerprint: the smallest ``value`` of all rows of its component."""
+    nodes = durable(prints.groupBy("fp").agg(F.min(value).alias("least")), "nodes")
     reach = components(fingerprint_links(nodes)).withColumnRenamed("node", "fp")
     own = nodes.join(reach, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = own.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = durable(own.join(least, "component").select("fp", "component_id"), "components")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    least = own.groupBy("component").agg(F.min("least").alias("least"))
+    return own.drop("least").join(least, "component").select("fp", "least")
 
 
 def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: the one with the smallest id.
+    """``docs`` with one row of each group of near-duplicates: the one with the smallest id.
 
-    Rows with one id count as one document, of which one row stays, and so do all rows without
-    id: of them one stays if some group has no other rows.
+    Every row is a document of its own, also rows that repeat an id and rows without id.
+    Among rows of one id a hash of the text decides; rows without id come last.
     """
-    found = near_duplicates(docs, doc_id, text)
-    kept = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    stay = docs.join(kept, docs[doc_id].eqNullSafe(kept["doc_id"]), "left_semi")
-    return stay.dropDuplicates([doc_id])
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), rest.alias("rest"))
+    where = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield batch(key=b.column(0), rest=b.column(1), fp=signed(text_fingerprints(b.column(1).field(where))))
+
+    kind = rows.schema["rest"].dataType.simpleString()
+    rows = durable(rows.mapInArrow(run, f"key long, rest {kind}, fp long"), "rows")
+    own, words = F.col(f"rest.`{doc_id}`"), F.col(f"rest.`{text}`")
+    place = F.struct(own.isNull().alias("last"), own.alias("doc_id"), F.xxhash64(words).alias("version"), "key")
+    kept = _least(rows, place).select(F.col("least.key").alias("key")).distinct()
+    stay = rows.join(durable(kept, "kept"), "key", "left_semi")
+    return stay.select(*[F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
