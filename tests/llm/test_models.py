@@ -116,3 +116,22 @@ def test_no_languages(sent):
     one = sent.createDataFrame([(1, "some words", "en"), (2, "more words", "en")], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in langid.identify(one, langid.train(one)).collect()} == {"en"}
     assert langid.identify(docs.limit(0), langid.train(one)).count() == 0
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_the_sample_is_bounded_whatever_the_ids(sent, monkeypatch, doc_id):
+    monkeypatch.setattr(langid, "TOTAL", 20)
+    rows = [(doc_id, f"{text} {lang}", lang) for _, text, lang in language_rows()]
+    rows += [(doc_id, "always the same text", "en")] * 200 + [(8, "once", "rare")]
+    drawn = []
+    monkeypatch.setattr(langid, "fit", lambda langs, slots, shares: drawn.append(Counter(langs)))
+    langid.train(sent.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert drawn == [{"en": 3, "de": 3, "fr": 3, "es": 3, "xx": 3, "rare": 1}]
+
+
+def test_a_text_that_fills_a_language_is_drawn_once(sent, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(langid, "fit", lambda langs, slots, shares: drawn.append(Counter(langs)))
+    rows = [(1, "always the same text", "en")] * 5000 + [(i, f"text {i}", "en") for i in range(300)] + [(2, "mot", "fr")] * 3
+    langid.train(sent.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert drawn == [{"en": 250, "fr": 1}]

@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wavecohort.llm.blocks import LOWER, SPACE, Block, batch, blocks
 
@@ -60,9 +60,9 @@ def grams(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text its language, the features it has and their shares."""
+    """Per text its language and place, the features it has and their shares."""
     for b in batches:
-        for block in blocks(b.column(1)):
+        for block in blocks(b.column(2)):
             found, of = grams(block)
             keys, n = np.unique(of.astype(np.int64) * 2 * SLOTS + found, return_counts=True)
             total = np.bincount(of, minlength=len(block))
@@ -70,6 +70,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             share = (n / total[keys // (2 * SLOTS)]).astype(np.float32)
             yield batch(
                 lang=b.column(0).slice(block.first, len(block)),
+                place=b.column(1).slice(block.first, len(block)),
                 slot=pa.ListArray.from_arrays(cut, (keys % (2 * SLOTS)).astype(np.int32)),
                 share=pa.ListArray.from_arrays(cut, share),
             )
@@ -185,28 +186,48 @@ def fit(langs: list[str], slots: list[np.ndarray], shares: list[np.ndarray]) ->
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", draw: str = "doc_id") -> Model | None:
-    """Train on at most about ``TOTAL`` texts, drawn by a hash of ``draw``; None if there is nothing to learn from.
+    """Train on at most ``TOTAL`` texts (or two of each language, if that is more); None if there is nothing to learn from.
 
-    Rows without text or language are left out. Counts of the most frequent ``LANGUAGES``
-    languages and the sample's features come to the driver.
+    Of each language those with the smallest hashes of ``draw`` and text are taken; copies that
+    agree in both count once. Rows without language and texts without letters are left out. Counts of
+    the most frequent ``LANGUAGES`` languages and the sample's features come to the driver.
     """
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
+    place = F.shiftrightunsigned(F.xxhash64(draw, text), 1)
+    known = docs.where(F.col(lang).isNotNull() & lettered(text))
+    known = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), place.alias("place"))
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return None
-    most = max(2, min(PER_LANGUAGE, TOTAL // len(counts)))
-    steps = 1 << 30
-    place = F.pmod(F.xxhash64(draw), F.lit(steps))
-    wanted = reduce(
-        lambda a, r: a | ((F.col(lang) == r[0]) & (place < int(min(1.0, most / r[1]) * steps))), counts, F.lit(False)
-    )
-    sample = known.where(wanted).select(lang, text).where(F.col(text).rlike(r"\p{L}"))
-    rows = sample.mapInArrow(_features, "lang string, slot array<int>, share array<float>").toArrow()
-    if not len(rows):
-        return None
-    order = np.argsort(np.array(rows["lang"].to_pylist()), kind="stable")
+    cuts = _cuts(known, {r[0]: r[1] for r in counts}, max(2, min(PER_LANGUAGE, TOTAL // len(counts))))
+    sample = known.where(_below(cuts)).groupBy("lang", "place").agg(F.min("text").alias("text"))
+    kind = "lang string, place long, slot array<int>, share array<float>"
+    rows = sample.mapInArrow(_features, kind).toArrow()
+    langs = rows["lang"].to_pylist()
+    order = np.lexsort((rows["place"].to_numpy(), np.array(langs)))
     take = lambda n: [rows[n][int(i)].values.to_numpy() for i in order]
-    return fit([rows["lang"][int(i)].as_py() for i in order], take("slot"), take("share"))
+    return fit([langs[i] for i in order], take("slot"), take("share"))
+
+
+def _below(cuts: dict[str, int]) -> Column:
+    return reduce(lambda a, c: a | ((F.col("lang") == c[0]) & (F.col("place") <= c[1])), cuts.items(), F.lit(False))
+
+
+def _cuts(known: DataFrame, counts: dict[str, int], most: int) -> dict[str, int]:
+    """Per language the place of its ``most``-th different row, or the last place if it has fewer.
+
+    Only places up to a bound are ranked: one that some times ``most`` rows are below, as far as
+    rows differ; where too few do, a larger one.
+    """
+    last, cuts, share = (1 << 63) - 1, {}, 4 * most + 64
+    order = Window.partitionBy("lang").orderBy("place")
+    while left := {k: n for k, n in counts.items() if k not in cuts}:
+        near = known.where(_below({k: last * min(share, n) // n for k, n in left.items()})).select("lang", "place")
+        ranked = near.distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+        found = ranked.groupBy("lang").agg(F.max("place"), F.count("*")).collect()
+        cuts |= {k: cut for k, cut, n in found if n == most}
+        cuts |= {k: last for k, n in left.items() if k not in cuts and share >= n}
+        share *= 64
+    return cuts
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:
