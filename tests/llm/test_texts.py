@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from wavecohort.llm import anchors, lines, relative
 from wavecohort.llm.anchors import FIELDS, LINK, Field
@@ -20,6 +21,12 @@ def keys(rows):
     return sorted(range(len(rows)), key=lambda n: (rows[n][0] is not None, rows[n][0] or 0, rows[n][1] is not None, (rows[n][1] or "").encode()))
 
 
+def crowd():
+    """Rows that share one id or have none, each with a text of its own and some repeated words."""
+    same = " ".join(f"same{i}" for i in range(30))
+    return [(i, f"{k % 7} {same} " + " ".join(f"r{k}x{j}" for j in range(25))) for k in range(60) for i in (None, 77)]
+
+
 def corpus(seed=1, n=60):
     draw = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -62,6 +69,24 @@ def test_repeated_windows_go(make, odd, window):
     assert {r.rest for r in got} == {"REST"}
 
 
+def test_rows_of_one_id_are_ordered_by_text(make):
+    test_repeated_windows_go(make, crowd() + [(76, crowd()[3][1])], 20)
+
+
+def test_no_row_carries_what_others_of_its_id_have(make, monkeypatch):
+    """What is looked up for a row is its own, however many rows share the id."""
+    most, gathered = [], relative._by_row
+
+    def watched(found, value, name):
+        out = gathered(found, value, name)
+        most.append(out.agg(F.max(F.size(name))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(relative, "_by_row", watched)
+    relative.deduplicated(make(crowd())).count()
+    assert len(most) == 3 and 0 < max(most) < 60
+
+
 def test_untouched_texts_stay_as_they_are(make):
     rows = [(1, "some  words\there\n"), (2, None), (3, "")]
     assert sorted(relative.deduplicated(make(rows)).select("doc_id", "text").collect()) == [tuple(r) for r in rows]

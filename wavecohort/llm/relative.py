@@ -17,15 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wavecohort.llm.blocks import SPACE, Block, batch, blocks, gram_hashes, prefix, ranges, signed
 from wavecohort.session import durable
 
 WINDOW = 20
 SEED = 5
-#: ``at`` is the number of a row among rows with its doc_id, times this, plus a word number.
-ROOM = 1 << 40
 NO_ID = -(1 << 63)
 
 
@@ -61,82 +59,74 @@ class Stretches:
         self.seed = chosen[np.concatenate(([0], edge))]
         self.of = block.of[self.first]
 
-    def place(self, copies: np.ndarray, words: np.ndarray, of: np.ndarray) -> np.ndarray:
-        return copies[self.block.first + of] * ROOM + words - self.block.first_word[of]
+    def number(self, words: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Numbers of words within their texts."""
+        return words - self.block.first_word[of]
 
+    def rows(self, b: pa.RecordBatch, of: np.ndarray, *names: str) -> dict[str, np.ndarray]:
+        return {n: b.column(n).to_numpy()[self.block.first + of] for n in names}
 
-def _parts(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, Iterator[Stretches]]:
-    docs, copies = b.column("doc").to_numpy(), b.column("copy").to_numpy()
-    return docs, copies, (Stretches(x) for x in blocks(b.column("text")))
+
+def _parts(b: pa.RecordBatch) -> Iterator[Stretches]:
+    return (Stretches(x) for x in blocks(b.column("text")))
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        docs, copies, parts = _parts(b)
-        for s in parts:
-            yield batch(
-                h=signed(s.gram[s.seed]),
-                doc=docs[s.block.first + s.of],
-                at=s.place(copies, s.seed, s.of),
-            )
+        for s in _parts(b):
+            yield batch(h=signed(s.gram[s.seed]), **s.rows(b, s.of, "row"), at=s.number(s.seed, s.of))
 
 
-def _wanted(s: Stretches, b: pa.RecordBatch, copies: np.ndarray) -> np.ndarray:
+def _wanted(s: Stretches, b: pa.RecordBatch) -> np.ndarray:
     """The stretches of a block whose seed is among ``ats`` of their row."""
     lists = b.column("ats").slice(s.block.first, len(s.block))
     row = np.repeat(np.arange(len(s.block)), np.diff(np.asarray(lists.offsets)))
     at = lists.flatten().to_numpy(zero_copy_only=False)
-    mine = at // ROOM == copies[s.block.first + row]
-    word = at[mine] % ROOM + s.block.first_word[row[mine]]
-    return np.flatnonzero(np.isin(s.seed, word))
+    return np.flatnonzero(np.isin(s.seed, at + s.block.first_word[row]))
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        docs, copies, parts = _parts(b)
-        for s in parts:
-            i = _wanted(s, b, copies)
+        for s in _parts(b):
+            i = _wanted(s, b)
             yield batch(
                 h=signed(s.gram[s.seed[i]]),
                 c=signed(ranges(prefix(s.block.hashes), s.first[i], s.last[i] + s.window)),
-                doc=docs[s.block.first + s.of[i]],
-                at=s.place(copies, s.seed[i], s.of[i]),
-                start=s.place(copies, s.first[i], s.of[i]),
+                **s.rows(b, s.of[i], "doc", "copy", "row"),
+                at=s.number(s.seed[i], s.of[i]),
+                start=s.number(s.first[i], s.of[i]),
                 n=s.last[i] - s.first[i] + 1,
             )
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        docs, copies, parts = _parts(b)
-        for s in parts:
-            i = _wanted(s, b, copies)
+        for s in _parts(b):
+            i = _wanted(s, b)
             n = s.last[i] - s.first[i] + 1
             i = np.repeat(i, n)
             word = s.first[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
             yield batch(
                 h=signed(s.gram[s.seed[i]]),
                 w=signed(ranges(prefix(s.block.hashes), word, word + s.window)),
-                doc=docs[s.block.first + s.of[i]],
-                start=s.place(copies, word, s.of[i]),
+                **s.rows(b, s.of[i], "doc", "copy", "row"),
+                start=s.number(word, s.of[i]),
             )
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Take the marked words out of each text, and the white space after each of them."""
     for b in batches:
-        copies = b.column("copy").to_numpy()
         for block in blocks(b.column("text")):
             lists = b.column("marks").slice(block.first, len(block))
             row = np.repeat(np.arange(len(block)), np.diff(np.asarray(lists.offsets)))
             flat = lists.flatten()
             at = flat.field("start").to_numpy(zero_copy_only=False)
             n = flat.field("n").to_numpy(zero_copy_only=False)
-            mine = at // ROOM == copies[block.first + row]
-            start = at[mine] % ROOM + block.first_word[row[mine]]
+            start = at + block.first_word[row]
             depth = np.zeros(len(block.starts) + 1, np.int32)
             np.add.at(depth, start, 1)
-            np.add.at(depth, start + n[mine] + WINDOW - 1, -1)
+            np.add.at(depth, start + n + WINDOW - 1, -1)
             gone = np.cumsum(depth[:-1]) > 0
             counts = np.diff(block.first_word)
             removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[block.first_word])
@@ -175,8 +165,21 @@ def _key(doc_id: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
 
 
-def _by_doc(rows: DataFrame, value: Column, name: str) -> DataFrame:
-    return rows.groupBy("doc").agg(F.collect_list(value).alias(name))
+def _by_row(found: DataFrame, value: Column, name: str) -> DataFrame:
+    return found.groupBy("row").agg(F.collect_list(value).alias(name))
+
+
+def _copies(full: DataFrame) -> DataFrame:
+    """``row, copy`` for the rows that share their ``doc``: ``copy`` is in the order of doc, text and row.
+
+    Rows of one doc are dealt by ranges of their texts; only these texts move.
+    """
+    parts = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = durable(full.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "shared")
+    rows = durable(full.select("doc", "row").join(shared, "doc").select("row"), "sharing")
+    order = ["doc", "text", "row"]
+    ranged = full.select(*order).join(rows, "row").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return durable(ranged.select("row", F.monotonically_increasing_id().alias("copy")), "copies")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,36 +193,39 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     (``n_words`` and ``n_removed`` are replaced).
     """
     docs = docs.drop("n_words", "n_removed")
-    order = Window.partitionBy("doc").orderBy("text")
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
     keyed = docs.select(_key(doc_id).alias("doc"), F.col(text).alias("text"), rest.alias("rest"))
-    full = _bucketed(keyed.withColumn("copy", F.row_number().over(order).cast("long") - 1), "doc", "texts")
-    base = full.select("doc", "copy", "text")
+    full = _bucketed(keyed.withColumn("row", F.monotonically_increasing_id()), "row", "texts")
+    copies = _copies(full)
 
-    seeds = base.mapInArrow(_seeds, "h long, doc long, at long")
+    seeds = full.select("row", "text").mapInArrow(_seeds, "h long, row long, at long")
     # What a join looks up is written first: then a seed that very many documents share is
     # one of its rows and, on the other side, rows that the join can split.
     repeated = durable(seeds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "seeds")
-    found = _by_doc(seeds.join(repeated, "h"), F.col("at"), "ats")
-    parsed = base.join(found, "doc").mapInArrow(_stretches, "h long, c long, doc long, at long, start long, n long")
+    base = full.select("row", "doc", "text").join(copies, "row", "left")
+    base = base.withColumn("copy", F.coalesce("copy", F.lit(0).cast("long")))
+    found = _by_row(seeds.join(repeated, "h"), F.col("at"), "ats")
+    place = "doc long, copy long, row long"
+    parsed = base.join(found, "row").mapInArrow(_stretches, f"h long, c long, {place}, at long, start long, n long")
     parsed = durable(parsed, "stretches")
 
-    place = F.struct("doc", "start", "at")
+    place = F.struct("doc", "copy", "start", "at", "row")
     first = durable(parsed.groupBy("h", "c").agg(F.min(place).alias("first")), "factors")
-    whole = parsed.join(first, ["h", "c"]).where(place != F.col("first")).select("doc", "start", "n")
+    whole = parsed.join(first, ["h", "c"]).where(place != F.col("first")).select("row", "start", "n")
 
     several = durable(first.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "edges")
-    edges = first.join(several, "h").select("first.doc", "first.at")
-    asked = base.join(_by_doc(edges, F.col("at"), "ats"), "doc")
-    windows = durable(asked.mapInArrow(_windows, "h long, w long, doc long, start long"), "windows")
-    place = F.struct("doc", "start")
+    edges = first.join(several, "h").select("first.row", "first.at")
+    asked = base.join(_by_row(edges, F.col("at"), "ats"), "row")
+    kind = "h long, w long, doc long, copy long, row long, start long"
+    windows = durable(asked.mapInArrow(_windows, kind), "windows")
+    place = F.struct("doc", "copy", "start", "row")
     earliest = windows.groupBy("h", "w").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     single = windows.join(durable(earliest.drop("n"), "earliest"), ["h", "w"]).where(place != F.col("first"))
-    marks = whole.unionByName(single.select("doc", "start", F.lit(1).cast("long").alias("n")))
+    marks = whole.unionByName(single.select("row", "start", F.lit(1).cast("long").alias("n")))
 
-    marked = full.join(_by_doc(marks, F.struct("start", "n"), "marks"), "doc", "left")
+    marked = full.select("row", "text", "rest").join(_by_row(marks, F.struct("start", "n"), "marks"), "row", "left")
     none = F.array().cast("array<struct<start:bigint,n:bigint>>")
-    marked = marked.withColumn("marks", F.coalesce("marks", none)).drop("doc")
+    marked = marked.withColumn("marks", F.coalesce("marks", none)).drop("row")
     kind = full.schema["rest"].dataType.simpleString()
     out = marked.mapInArrow(_cut, f"rest {kind}, text string, n_words long, n_removed long")
     columns = [F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
