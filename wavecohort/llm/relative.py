@@ -1,13 +1,11 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by winnowing with hashes of windows.
 
-A document is read as factors that also stand in the reference: all text that starts earlier.
+No relative Lempel-Ziv factors are built; the words removed are those of windows that start earlier.
 Every window of ``WINDOW`` words has one *seed*, the ``SEED``-word gram with the smallest
 hash in it (the leftmost of equal ones), so equal windows have equal seeds at equal places. Windows of
-one seed stand next to each other; the words they cover together are its *stretch*. The index of the
-reference holds all seeds of all documents. A document is parsed seed by seed along its
-repeated seeds: a stretch that stands earlier as a whole extends the factor by all its windows.
-Where stretches of one seed differ, a factor begins or ends inside them; there, and only
-there, single windows are compared. The result is that of comparing all windows.
+one seed stand next to each other; the words they cover together are its *stretch*. Only seeds that
+occur again are looked at: a stretch that stands earlier as a whole is repeated in all its windows.
+Where stretches of one seed differ, and only there, single windows are compared. The result is that of comparing all windows.
 """
 
 from __future__ import annotations
