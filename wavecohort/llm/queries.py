@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wavecohort.llm import anchors, collide, fingerprints, kneser, langid, lines, packing, pieces, relative, tokens
+from wavecohort.llm import anchors, collide, fingerprints, kneser, langid, lines, packing, pieces, relative, tokens, urls
 from wavecohort.llm.shipping import ship
 from wavecohort.session import prepare
 
@@ -79,5 +79,30 @@ def op10_training_order(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.materialise(_table(spark, sf, "documents"), tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_threshold_sketch, op2_fuzzy_lines, op3_collision_counts, op4_kneser_ney, op5_substring_dedup, op6_simhash_anchors, op7_sentencepiece, op8_language_families, op9_best_two_fit, op10_training_order)}
-ORACLE: dict[str, str] = {}
+#: Host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op11_url_rules(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _table(spark, sf, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judged(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {f.__name__: f for f in (op1_threshold_sketch, op2_fuzzy_lines, op3_collision_counts, op4_kneser_ney, op5_substring_dedup, op6_simhash_anchors, op7_sentencepiece, op8_language_families, op9_best_two_fit, op10_training_order, op11_url_rules)}
+ORACLE: dict[str, str] = {
+    "op11_url_rules": r"""
+WITH rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r, row_number() OVER () AS n FROM pages),
+hosts AS (SELECT n, page_id, regexp_extract(r, '^[^/?#]*') AS raw, r FROM rest),
+parts AS (
+    SELECT n, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(substr(r, length(raw) + 1), '^[^?#]*') AS path
+    FROM hosts),
+fits AS (
+    SELECT n, arg_max(struct_pack(rule := h || p, verdict := v), length(h || p)) AS best
+    FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY n)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict
+FROM parts LEFT JOIN fits USING (n)
+""",
+}
