@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wavecohort.llm import anchors, collide, fingerprints, kneser, langid, lines, packing, pieces, relative, tokens, urls, whiten
+from wavecohort.llm import anchors, collide, crosstok, fingerprints, kneser, langid, lines, packing, pieces, relative, tokens, urls, whiten
 from wavecohort.llm.shipping import ship
 from wavecohort.session import prepare
 
@@ -89,12 +89,16 @@ def op11_url_rules(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judged(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_identity_map(spark: SparkSession, sf: str) -> DataFrame:
+    return crosstok.aligned(_table(spark, sf, "documents"), tokenizer(), tokenizer("piece_bpe_32k.model"))
+
+
 def op13_jacobi_davidson(spark: SparkSession, sf: str) -> DataFrame:
     found = whiten.whitened(_table(spark, sf, "embeddings"))
     return found.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_threshold_sketch, op2_fuzzy_lines, op3_collision_counts, op4_kneser_ney, op5_substring_dedup, op6_simhash_anchors, op7_sentencepiece, op8_language_families, op9_best_two_fit, op10_training_order, op11_url_rules, op13_jacobi_davidson)}
+QUERIES = {f.__name__: f for f in (op1_threshold_sketch, op2_fuzzy_lines, op3_collision_counts, op4_kneser_ney, op5_substring_dedup, op6_simhash_anchors, op7_sentencepiece, op8_language_families, op9_best_two_fit, op10_training_order, op11_url_rules, op12_identity_map, op13_jacobi_davidson)}
 ORACLE: dict[str, str] = {
     "op11_url_rules": r"""
 WITH rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
