@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from wavecohort.llm.blocks import Block, blocks
 from wavecohort.session import durable
 
-CHUNK_BYTES = 1 << 23
+CHUNK_BYTES = 1 << 21
 #: Words a worker remembers; the table is emptied when full. Longer words are not joined with others to encode them.
-WORDS, LONGEST, TOGETHER = 500_000, 64, 100
+WORDS, LONGEST, TOGETHER = 250_000, 64, 100
+#: Words encoded, and texts read, in one go.
+NEW, TEXTS = 10_000, 1000
 RESULTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -143,7 +145,10 @@ class Aligner:
         names_a, names_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
         texts, i, j = [], 0, 0
         for x, y in zip(to_a, to_b):
-            texts.append(f"{','.join(names_a[i:x])}|{','.join(names_b[j:y])}")
+            if x - i == 1 and y - j == 1:
+                texts.append(f"{names_a[i]}|{names_b[j]}")
+            else:
+                texts.append(f"{','.join(names_a[i:x])}|{','.join(names_b[j:y])}")
             i, j = x, y
         row, at = len(self.groups), 0
         for w, to in zip(words, upto[2].tolist()):
@@ -161,8 +166,9 @@ class Aligner:
         if len(self.known) + len(new) > self.words:
             self.forget()
             new = set(words)
-        if new:
-            self._learn(list(new))
+        learn = list(new)
+        for i in range(0, len(learn), NEW):
+            self._learn(learn[i : i + NEW])
         return np.array([self.known[w] for w in words], np.int64)
 
 
@@ -192,6 +198,7 @@ class Chunk:
         coded = strings.dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64)
         rows = aligner.rows([w[:-1] for w in coded.dictionary.to_pylist()])
+        del strings, coded
         whole = np.bincount(of[~aligner.whole[rows][codes]], minlength=n) == 0
         used = whole[of]
         of, codes = of[used], codes[used]
@@ -259,7 +266,8 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, text: str = "text", key:
         aligner, number = Aligner(path_a, path_b, words), TaskContext.get().partitionId() << 33
         totals = np.zeros(len(aligner.raw_a), np.int64)
         kind = None
-        for b in batches:
+        some = (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS))
+        for b in some:
             kind = b.column(0).type
             for block in blocks(b.column(1), chunk_bytes):
                 c = Chunk(block, aligner, totals)
