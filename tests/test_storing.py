@@ -88,8 +88,10 @@ def test_bundles_become_rows_and_a_repeat_counts_once(spark, tmp_path):
     out = ingest.convert_bundles(spark, str(root), "csv", ("ppg",))
     assert out["sessions"].count() == 2 and out["ppg"].count() == 6
     assert out["duplicates"].first().duplicates == 6
-    assert out["notes"].count() == 3 and bundles.read_notes(spark, str(root), "csv").count() == 3
+    assert out["notes"].count() == 4 and bundles.read_notes(spark, str(root), "csv").count() == 3
     rows = {r.session_uuid: json.loads(r.convert_stats_json) for r in out["stats"].collect()}
+    assert {r.sensor: r.duplicates for r in out["duplicates"].collect()} == {"ppg": 6, "notes": 2, "segments": 2}
+    assert (rows["u2"]["notes"], rows["u2"]["segments"], out["segments"].count()) == (2, 2, 4)
     assert rows["u1"]["samples_per_sensor"] == {"ppg": 3} and rows["u1"]["rop_files"] == 2
     broken = bundles.read_segments(spark, str(root)).where(F.col(bundles.CORRUPT).isNotNull())
     assert broken.count() == 3
@@ -217,8 +219,8 @@ def test_streamed_pairing_waits_for_the_recording(spark, tmp_path):
 
 def test_sizes_and_cleanup(spark):
     assert shuffle_partitions_for(0, 8) == 8
-    assert shuffle_partitions_for(100 * 10**12, 200) == 100_000
-    assert shuffle_partitions_for(10**12, 200) == 3726
+    assert shuffle_partitions_for(100 * 10**12, 200) == 1_490_117
+    assert shuffle_partitions_for(10**12, 200) == 14_902
     kept = durable(spark.range(3), "three")
     path = kept.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
     assert os.path.isdir(path)
@@ -252,6 +254,17 @@ def test_broken_bundles_are_set_aside_and_sent_again_counts_once(spark, tmp_path
     assert {r.sensor: r.duplicates for r in again["duplicates"].collect()}["acc"] == 3
 
 
+def test_csv_notes_hold_line_breaks_and_only_a_first_row_is_a_header(spark, tmp_path):
+    for name, text in (("a", 'ts,note\n1.5,"two\nlines, ""quoted"""\nts,note\n2.5,plain\n'), ("b", '3.5,no header\n\nsoon,later\n')):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "notes.csv").write_text(text)
+    got = sorted(((r.bundle, r.ts, r.note, r[bundles.CORRUPT]) for r in bundles.read_notes(spark, str(tmp_path), "csv").collect()), key=str)
+    assert got == sorted([
+        ("a", 1.5, 'two\nlines, "quoted"', None), ("a", None, "note", "ts,note"), ("a", 2.5, "plain", None),
+        ("b", 3.5, "no header", None), ("b", None, "later", "soon,later"),
+    ], key=str)
+
+
 def test_samples_in_folders_of_part_files_keep_their_bundle(spark, tmp_path):
     root = tmp_path / "landing"
     rows = spark.createDataFrame([(1, 1, 2, 3), (2, 1, 2, 3)], "timestamp_ns long, x int, y int, z int")

@@ -70,8 +70,8 @@ def sessions_from_manifests(manifests: DataFrame) -> DataFrame:
 def convert_bundles(spark: SparkSession, landing: str, fmt: str = "parquet", sensors: tuple[str, ...] = ("ppg", "acc", "gyro"), stored: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Rows of the store for all bundles below ``landing``, and what each bundle held.
 
-    Exact copies of a sample are dropped and counted, so that a bundle sent twice counts
-    once; with ``stored`` (sample tables by sensor) also those sent in an earlier run. What belongs to
+    Exact copies of a sample, note or segment are dropped and counted, so that a bundle sent twice counts
+    once; for samples, with ``stored`` (sample tables by sensor) also those sent in an earlier run. What belongs to
     a bundle without a readable manifest is set aside in ``broken_<table>``, and
     ``failed`` names those bundles: landed rows are kept, dropped as copies or set aside.
     """
@@ -102,8 +102,10 @@ def convert_bundles(spark: SparkSession, landing: str, fmt: str = "parquet", sen
     all_segments = bundles.read_segments(spark, landing)
     out["broken_notes"] = all_notes.join(known, "bundle", "left_anti")
     out["broken_segments"] = all_segments.join(known, "bundle", "left_anti")
-    notes = all_notes.join(ids.select("bundle", "session_id"), "bundle")
-    segments = all_segments.join(ids.select("bundle", "session_uuid"), "bundle")
+    notes, again = drop_repeats(all_notes.join(ids.select("bundle", "session_id"), "bundle").drop("bundle"))
+    repeats = repeats.unionByName(again.withColumn("sensor", F.lit("notes")))
+    segments, again = drop_repeats(all_segments.join(ids.select("bundle", "session_uuid"), "bundle").drop("bundle"))
+    repeats = repeats.unionByName(again.withColumn("sensor", F.lit("segments")))
     # Bundles that landed files but no manifest fail like those whose manifest can't be read.
     homeless = [out[n].select("bundle") for n in out if n.startswith("broken_")]
     for one in homeless:

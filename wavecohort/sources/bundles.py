@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructField, StructType, StringType
 
 from wavecohort.functions.values import MAX_FILE_BYTES, allowed_name, allowed_size
@@ -63,14 +63,17 @@ def _parsed(lines: DataFrame, text: str, ddl: str) -> DataFrame:
 
 def _landed(spark: SparkSession, root: str, name: str, whole: bool = False) -> DataFrame:
     """``bundle, value``: the lines of one kind of file from all bundles; no such file gives no line."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/*/{name}")
-    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
-    if not found:
+    if not _exists(spark, f"{root}/*/{name}"):
         return spark.createDataFrame([], "bundle string, value string")
     lines = spark.read.text(f"{root}/*/{name}", wholetext=whole)
     return lines.select(bundle_of(F.input_file_name(), root).alias("bundle"), "value")
 
 
+def _exists(spark: SparkSession, pattern: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at))
+
+
 def read_segments(spark: SparkSession, root: str) -> DataFrame:
     named = _landed(spark, root, "segments.jsonl").where(F.trim("value") != "")
     return parse_lines(named, "value", "event string, segment_id bigint, ts double")
@@ -79,18 +82,31 @@ def read_segments(spark: SparkSession, root: str) -> DataFrame:
 def read_notes(spark: SparkSession, root: str, kind: str = "jsonl") -> DataFrame:
     """Notes of the bundles, whole lines as JSON text (``jsonl``) or ``ts,note`` rows (``csv``).
 
-    A time that is no number is null and its line is kept in ``_corrupt``.
+    A quoted note may hold line breaks; a ``ts,note`` row is a header only where a file begins
+    with it. A time that is no number is null and its line is kept in ``_corrupt``.
     """
-    raw = _landed(spark, root, f"notes.{kind}").where(F.trim("value") != "")
     if kind == "csv":
-        raw = raw.where(F.trim("value") != "ts,note")
-        row = F.from_csv("value", F.lit("ts string, note string"), {"mode": "PERMISSIVE"})
-        raw = raw.withColumn("_r", row)
-        time, note = F.col("_r.ts"), F.col("_r.note")
+        return _csv_notes(spark, root)
+    raw = _landed(spark, root, f"notes.{kind}").where(F.trim("value") != "")
+    at = F.get_json_object("value", "$.ts").try_cast("double")
+    return raw.select("bundle", at.alias("ts"), F.col("value").alias("note"), F.when(at.isNull(), F.col("value")).alias(CORRUPT))
+
+
+def _csv_notes(spark: SparkSession, root: str) -> DataFrame:
+    schema = "ts string, note string"
+    if not _exists(spark, f"{root}/*/notes.csv"):
+        empty = spark.createDataFrame([], f"bundle string, {schema}")
     else:
-        time, note = F.get_json_object("value", "$.ts"), F.col("value")
-    at = time.try_cast("double")
-    return raw.select("bundle", at.alias("ts"), note.alias("note"), F.when(at.isNull(), F.col("value")).alias(CORRUPT))
+        # With multiLine a file is read by one task from its start, so its first row has its least number.
+        reader = spark.read.schema(schema).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
+        rows = reader.csv(f"{root}/*/notes.csv").select("*", F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_at"))
+        first = F.min("_at").over(Window.partitionBy("_file")) == F.col("_at")
+        header = F.coalesce((F.col("ts") == "ts") & (F.col("note") == "note"), F.lit(False))
+        kept = rows.withColumn("_header", first & header).where(~F.col("_header"))
+        empty = kept.select(bundle_of(F.col("_file"), root).alias("bundle"), "ts", "note")
+    time = F.trim("ts").try_cast("double")
+    line = F.to_csv(F.struct("ts", "note"))
+    return empty.select("bundle", time.alias("ts"), "note", F.when(time.isNull(), line).alias(CORRUPT))
 
 
 def parse_lines(lines: DataFrame, text: str, ddl: str) -> DataFrame:
@@ -200,8 +216,7 @@ def read_samples(spark: SparkSession, root: str, sensor: str, fmt: str = "parque
     reader = spark.read.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/*/{sensor}.{fmt}")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at):
+    if not _exists(spark, f"{root}/*/{sensor}.{fmt}"):
         return spark.createDataFrame([], schema).withColumn("bundle", F.lit(""))
     raw = reader.format(fmt).load(f"{root}/*/{sensor}.{fmt}")
     return raw.withColumn("bundle", bundle_of(F.input_file_name(), root))
