@@ -3,6 +3,7 @@
 import hashlib
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from wavecohort.operators import merge
 from wavecohort.plans import ingest
 from wavecohort.plans.waveforms import waveforms
-from wavecohort.schemas import FILL_ONCE, schema_of
+from wavecohort.schemas import FILL_ONCE, reconcile, schema_of
 from wavecohort.session import drop_intermediates, durable, shared_dir, shuffle_partitions_for
-from wavecohort.sources import bundles, snapshots
+from wavecohort.sources import buckets, bundles, snapshots
 from wavecohort.streaming import streams
 
 
@@ -28,8 +29,7 @@ def batch(spark, tmp_path, name, rows, now=1.0):
 
 
 def stored(spark, root):
-    empty = spark.createDataFrame([], schema_of("cuff_readings"))
-    return {r.reading_id: r for r in snapshots.current(spark, root, empty).collect()}
+    return {r.reading_id: r for r in ingest.stored_readings(spark, root).collect()}
 
 
 def test_upsert_counts_and_is_idempotent(spark, tmp_path):
@@ -39,7 +39,46 @@ def test_upsert_counts_and_is_idempotent(spark, tmp_path):
         r = ingest.ingest_readings(spark, root, rows, F.lit(0)).first()
         assert (r.received, r.inserted, r.total) == want
     assert len(stored(spark, root)) == 3
-    assert snapshots.versions(spark, root) == [1, 2, 3]
+    assert buckets.generations(spark, f"{root}/table") == [1, 2, 3]
+
+
+def written(root, since=0.0):
+    """Bytes of data files below a folder that are newer than a moment."""
+    found = [os.path.join(d, f) for d, _, names in os.walk(root) for f in names if f.endswith(".parquet")]
+    return sum(os.path.getsize(f) for f in found if os.path.getmtime(f) > since)
+
+
+def many(spark, ids, now, **more):
+    rows = ids.select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("reading_id"), F.lit(float(now)).alias("uploaded_at"), *[F.lit(v).alias(c) for c, v in more.items()])
+    return reconcile(rows, schema_of("cuff_readings")).select(*schema_of("cuff_readings").names)
+
+
+def test_a_small_batch_rewrites_its_buckets_only(spark, tmp_path):
+    root = str(tmp_path / "t")
+    ingest.ingest_readings(spark, root, many(spark, spark.range(60_000), 1, device="first"), F.lit(0))
+    whole = written(root)
+    mark = max(os.path.getmtime(os.path.join(d, f)) for d, _, names in os.walk(root) for f in names)
+    time.sleep(0.05)
+    few = many(spark, spark.createDataFrame([(5,), (6,), (99_999,)], "id long"), 2, device="second", slot=7)
+    r = ingest.ingest_readings(spark, root, few, F.lit(0)).first()
+    assert (r.received, r.inserted, r.total) == (3, 1, 60_001)
+    assert written(f"{root}/table", mark) < whole / 20
+    got = {r.reading_id: r for r in ingest.stored_readings(spark, root).where("uploaded_at = 2 or last_seen_at = 2").collect()}
+    assert [(got[k].device, got[k].slot, got[k].uploaded_at, got[k].last_seen_at) for k in ("r5", "r99999")] == [("first", 7, 1.0, 2.0), ("second", 7, 2.0, 2.0)]
+    before = {tuple(x) for x in ingest.stored_readings(spark, root).collect()}
+    assert ingest.ingest_readings(spark, root, few, F.lit(0)).first().inserted == 0
+    assert {tuple(x) for x in ingest.stored_readings(spark, root).collect()} == before and len(before) == 60_001
+
+
+def test_a_generation_without_its_marker_is_not_read_and_is_written_again(spark, tmp_path):
+    root = str(tmp_path / "t")
+    for n in range(4):
+        ingest.ingest_readings(spark, root, many(spark, spark.range(n * 10, n * 10 + 20), n), F.lit(0))
+    assert ingest.stored_readings(spark, root).count() == 50
+    os.remove(os.path.join(root, "table", "gen=00000004", "_SUCCESS"))
+    assert ingest.stored_readings(spark, root).count() == 40
+    assert ingest.ingest_readings(spark, root, many(spark, spark.range(30, 50), 3), F.lit(0)).first().total == 50
+    assert ingest.stored_readings(spark, root).count() == 50
 
 
 def test_blank_provenance_is_filled_once_and_values_stay(spark, tmp_path):
@@ -195,7 +234,16 @@ def test_streamed_upsert_fills_late_and_replays_change_nothing(spark, tmp_path):
     assert ingest.merged_readings(spark, root, F.lit(0)).count() == 3
     ingest.compact_readings(spark, root, F.lit(0))
     ingest.compact_readings(spark, root, F.lit(0))
-    assert snapshots.versions(spark, f"{root}/table") == [2, 3]
+    assert buckets.generations(spark, f"{root}/table") == [2, 3]
+    # Folded batches are gone; one written again after its fold changes nothing.
+    assert os.listdir(os.path.join(root, "log")) == []
+    ingest.log_readings(batch(spark, tmp_path, "late", [wire("a", slot=9), wire("zz")], 9.0), root, 1)
+    plan = ingest.merged_readings(spark, root, F.lit(0))
+    assert "log/batch" not in " ".join(plan.inputFiles())
+    got = {r.reading_id: r for r in plan.collect()}
+    assert set(got) == {"a", "b", "c"} and (got["a"].last_seen_at, got["a"].uploaded_at, got["c"].last_seen_at) == (3.0, 1.0, 2.0)
+    got = arrive("w", [wire("c", clock_offset_s=1.0)], 4.0)
+    assert (got["c"].clock_offset_s, got["c"].last_seen_at, got["a"].clock_offset_s) == (1.0, 4.0, -2.0)
 
 
 def test_streamed_pairing_waits_for_the_recording(spark, tmp_path):

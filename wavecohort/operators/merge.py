@@ -23,25 +23,27 @@ def first_writer_merge(
     key: Sequence[str],
     seq: Column,
     fill_once: Sequence[str] = FILL_ONCE,
+    largest: Sequence[str] = (),
 ) -> DataFrame:
     """Stored rows win over the batch, earlier batch rows over later ones.
 
     ``seq`` orders the rows of the batch. Columns in ``fill_once`` take the first value
-    that is not null, so a later row may fill a blank but never replace a value.
+    that is not null, so a later row may fill a blank but never replace a value. Columns in ``largest``
+    take the largest of all.
     """
     cols = [c for c in target.columns if c not in key]
     stored = target.withColumn(SEQ, F.struct(F.lit(0).alias("batch"), F.lit(None).cast(_type(batch, seq)).alias("at")))
     sent = batch.select(*target.columns, F.struct(F.lit(1).alias("batch"), seq.alias("at")).alias(SEQ))
     both = stored.unionByName(sent)
-    first = [c for c in cols if c not in fill_once]
+    first = [c for c in cols if c not in fill_once and c not in largest]
     whole = F.min_by(F.struct(*first), F.col(SEQ)).alias("_first")
     filled = [
         F.min_by(F.struct(c), F.when(F.col(c).isNotNull(), F.col(SEQ))).alias(f"_f_{c}")
         for c in cols
         if c in fill_once
     ]
-    merged = both.groupBy(*key).agg(whole, *filled)
-    value = lambda c: F.col(f"_first.{c}") if c in first else F.col(f"_f_{c}.{c}").alias(c)
+    merged = both.groupBy(*key).agg(whole, *filled, *[F.max(c).alias(f"_l_{c}") for c in largest])
+    value = lambda c: F.col(f"_first.{c}") if c in first else F.col(f"_l_{c}" if c in largest else f"_f_{c}.{c}")
     return merged.select(*[F.col(c) if c in key else value(c).alias(c) for c in target.columns])
 
 

@@ -3,53 +3,75 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from wavecohort.operators.merge import drop_repeats, first_writer_merge, latest_status, receipt
-from wavecohort.schemas import DDL, STATS_DDL, schema_of
+from wavecohort.schemas import STATS_DDL, schema_of
 from wavecohort.session import durable
-from wavecohort.sources import bundles
-from wavecohort.sources.snapshots import current, publish, versions
+from wavecohort.sources import buckets, bundles
+
+
+RECEIPT_DDL = "received bigint, inserted bigint, total bigint"
+
+
+def stored_schema() -> StructType:
+    """Stored readings carry when they were last sent, beside ``uploaded_at``, which stays at the first arrival."""
+    return schema_of("cuff_readings").add("last_seen_at", "double")
+
+
+def _seen(batch: DataFrame) -> DataFrame:
+    return batch.withColumn("last_seen_at", F.col("uploaded_at"))
+
+
+def stored_readings(spark: SparkSession, root: str) -> DataFrame:
+    """The readings that ``ingest_readings`` has merged so far."""
+    return buckets.read_buckets(spark, f"{root}/table", stored_schema())
 
 
 def ingest_readings(spark: SparkSession, root: str, batch: DataFrame, seq: Column) -> DataFrame:
-    """Merge a batch of readings into the stored table and return the receipt."""
-    target = current(spark, root, spark.createDataFrame([], schema_of("cuff_readings")))
-    counts = durable(receipt(target, batch, ["reading_id"]), "receipt")
-    publish(first_writer_merge(target, batch, ["reading_id"], seq), root)
-    return counts
+    """Merge a batch of readings into the stored table and return the receipt.
+
+    Only the buckets that the batch's readings fall into are read and written again. The store's size is
+    the one before plus what is new, so that no other bucket is counted.
+    """
+    batch = durable(_seen(batch).withColumn("_order", seq), "readings")
+    done = buckets.generations(spark, f"{root}/table")
+    number = done[-1] + 1 if done else 1
+    counted = buckets._listed(spark, f"{root}/receipts", "gen")
+    last = [n for n in counted if n < number][-1:]
+    before = spark.read.schema(RECEIPT_DDL).parquet(*[f"{root}/receipts/gen={n}" for n in last]).first().total if last else 0
+    touched = [r[0] for r in batch.select(buckets.bucket_of(["reading_id"])).distinct().collect()]
+    near = buckets.read_buckets(spark, f"{root}/table", stored_schema(), touched, number)
+    counts = receipt(near, batch, ["reading_id"]).withColumn("total", F.col("inserted") + before)
+    counts.write.mode("overwrite").parquet(f"{root}/receipts/gen={number}")
+    merge = lambda old, new: first_writer_merge(old, new, ["reading_id"], F.col("_order"), largest=["last_seen_at"])
+    buckets.merge_buckets(batch, f"{root}/table", stored_schema(), ["reading_id"], merge, number)
+    buckets.prune(spark, f"{root}/table")
+    return spark.read.schema(RECEIPT_DDL).parquet(f"{root}/receipts/gen={number}")
 
 
 def log_readings(batch: DataFrame, root: str, number: int) -> None:
     """Append a batch to the readings log; the same number written again replaces itself."""
-    batch.write.mode("overwrite").parquet(f"{root}/log/batch={number}")
+    buckets.log_batch(batch, root, number)
 
 
-def merged_readings(spark: SparkSession, root: str, seq: Column) -> DataFrame:
-    """The readings table: the last compacted version, then the log in batch order.
+def _folding(seq: Column):
+    order = F.struct("batch", seq.alias("seq"))
+    return lambda old, new: first_writer_merge(old, _seen(new), ["reading_id"], order, largest=["last_seen_at"])
 
-    ``seq`` orders rows within a batch. ``last_seen_at`` is when a reading was last sent,
-    beside ``uploaded_at``, which stays at its first arrival.
-    """
-    schema = schema_of("cuff_readings")
-    base = current(spark, f"{root}/table", spark.createDataFrame([], schema))
-    log = spark.read.schema(f"{DDL['cuff_readings']}, batch bigint").parquet(f"{root}/log")
-    sent = log.where(F.col("batch") > compacted_until(spark, root))
-    merged = first_writer_merge(base, sent, ["reading_id"], F.struct("batch", seq.alias("seq")))
-    seen = log.groupBy("reading_id").agg(F.max("uploaded_at").alias("last_seen_at"))
-    return merged.join(seen, "reading_id", "left")
 
+def merged_readings(spark: SparkSession, root: str, seq: Column) -> DataFrame:
+    """The readings table: what was folded, then the batches since then, in batch order.
 
-def compacted_until(spark: SparkSession, root: str) -> int:
-    """Highest batch number already contained in the compacted table."""
-    done = versions(spark, f"{root}/table")
-    return done[-1] - 1 if done else -1
+    ``seq`` orders rows within a batch. ``last_seen_at`` is when a reading was last sent; a batch that is
+    written again after it was folded changes nothing.
+    """
+    return _folding(seq)(stored_readings(spark, root), buckets.unfolded(spark, root, schema_of("cuff_readings")))
 
 
 def compact_readings(spark: SparkSession, root: str, seq: Column) -> None:
-    """Write the merged table as a version that is numbered by the last batch it contains."""
-    newest = spark.read.schema("batch bigint").parquet(f"{root}/log").agg(F.max("batch")).first()[0]
-    if newest is not None and newest > compacted_until(spark, root):
-        publish(merged_readings(spark, root, seq).drop("last_seen_at"), f"{root}/table", newest + 1)
+    """Fold the log into the buckets of the readings it names, then delete the folded batches."""
+    buckets.fold(spark, root, stored_schema(), schema_of("cuff_readings"), ["reading_id"], _folding(seq))
 
 
 def sessions_from_manifests(manifests: DataFrame) -> DataFrame:

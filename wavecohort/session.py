@@ -26,6 +26,8 @@ RUNTIME_CONF = {
     # order of its input made it differ, all its consumers run again.
     "spark.sql.shuffle.orderIndependentChecksum.enabled": "true",
     "spark.sql.shuffle.orderIndependentChecksum.enableFullRetryOnMismatch": "true",
+    # State beyond the heap, and timers.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Rows of one run that meet in a task are joined before they are dealt by their key.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }

@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the merge, quality, run, freshness, pairing and file checks.
+"""Structured Streaming forms of the merge, quality, run, pairing with stored recordings and file checks.
 
 Each takes a streaming DataFrame. Aggregations run with watermarks and bounded state;
 merges run per micro-batch and are idempotent, so a replayed batch changes nothing.
@@ -6,7 +6,6 @@ merges run per micro-batch and are idempotent, so a replayed batch changes nothi
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,20 +17,21 @@ from wavecohort.operators.intervals import PAIR_WINDOW_S, nearest_interval
 from wavecohort.plans.ingest import log_readings
 from wavecohort.session import durable, prepare
 from wavecohort.sources.bundles import check_files
-from wavecohort.sources.snapshots import publish
 
 
 #: Take what is there and stop; ``{"processingTime": "1 minute"}`` goes on.
 ONCE = {"availableNow": True}
 
 
-def _each_batch(
+def each_batch(
     stream: DataFrame,
     checkpoint: str,
     work: Callable[[DataFrame, int], None],
     mode: str = "append",
     trigger: dict | None = None,
 ) -> StreamingQuery:
+    """Run ``work`` on every micro-batch, with the settings of ``prepare``."""
+
     def run(batch: DataFrame, batch_id: int) -> None:
         prepare(batch.sparkSession)
         work(batch, batch_id)
@@ -51,7 +51,7 @@ def upsert_readings(stream: DataFrame, root: str, checkpoint: str, trigger: dict
     A micro-batch is only appended to the log below ``root``, so its cost does not grow
     with the table; ``merged_readings`` applies the merge when the table is read.
     """
-    return _each_batch(stream, checkpoint, lambda batch, batch_id: log_readings(batch, root, batch_id), trigger=trigger)
+    return each_batch(stream, checkpoint, lambda batch, batch_id: log_readings(batch, root, batch_id), trigger=trigger)
 
 
 def hourly_quality(stream: DataFrame, late: str = "2 hours", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -89,27 +89,6 @@ def recording_runs(stream: DataFrame, keys: tuple[str, ...], gap_s: int, late: s
     return runs.drop("session_window")
 
 
-def freshness(
-    stream: DataFrame,
-    table_root: str,
-    checkpoint: str,
-    now: float | Callable[[], float] = time.time,
-    stale_s: float = 48 * 3600,
-    trigger: dict | None = None,
-) -> StreamingQuery:
-    """Latest activity per subject and whether it is stale; state is one row per subject.
-
-    ``now`` is asked in every batch, and every batch tells all subjects, so one that went silent
-    turns stale with the next batch of any other; ``aged`` on the stored table tells it without one.
-    """
-    latest = stream.groupBy("subject_id").agg(F.max("ts").alias("last_ts"), F.count("*").alias("rows"))
-
-    def work(batch: DataFrame, _: int) -> None:
-        publish(aged(batch, now() if callable(now) else now, stale_s), table_root)
-
-    return _each_batch(latest, checkpoint, work, "complete", trigger)
-
-
 def aged(latest: DataFrame, now: float, stale_s: float) -> DataFrame:
     """Ages of the last activities at a time of asking, also between batches."""
     age = clock.age_s(F.col("last_ts"), now)
@@ -162,7 +141,7 @@ def pair_readings(
             left = near.where(rows).select("reading_id", "subject_id", "t")
             left.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
 
-    return _each_batch(stream, checkpoint, work, trigger=trigger)
+    return each_batch(stream, checkpoint, work, trigger=trigger)
 
 
 def paired(spark: SparkSession, root: str) -> DataFrame:
@@ -185,4 +164,4 @@ def arriving_files(stream: DataFrame, good_root: str, quarantine_root: str, chec
         for root, rows in ((good_root, checked.where(fine)), (quarantine_root, checked.where(~fine))):
             rows.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
-    return _each_batch(stream, checkpoint, work, trigger=trigger)
+    return each_batch(stream, checkpoint, work, trigger=trigger)
