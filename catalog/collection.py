@@ -60,6 +60,9 @@ GAP = """, near AS (
   FROM plc p LEFT JOIN att a ON a.subject_id = p.subject_id),
 gaps AS (SELECT reading_id, subject_id, clock_state, t, CASE WHEN id IS NOT NULL THEN gap END AS gap,
                 id AS matched_id FROM near WHERE rn = 1)"""
+#: The recording that holds a reading: the smallest gap, then the smallest id.
+HELD = """, held AS (SELECT reading_id, arg_min(id, (gap, id)) AS session_id, min(gap) AS gap
+  FROM near WHERE id IS NOT NULL AND gap <= 120 GROUP BY 1)"""
 OUT = """, outc AS (
   SELECT subject_id,
          count(*) FILTER (WHERE clock_state = 'ok' AND gap <= 120) AS pairs,

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql.functions import asc, desc
 
-from catalog.collection import ATT, GAP, PLC, attributed, placed, rounded
+from catalog.collection import ATT, GAP, HELD, PLC, attributed, placed, rounded
 from catalog.views import NOW, TZ, sql, view
 from wavecohort.operators import intervals, trends
 from wavecohort.operators.ordered import top_per_group
@@ -47,7 +47,7 @@ def coverage(spark, sf):
     )
 
 
-@query(sql("sessions uploads readings", ATT + PLC + GAP + " SELECT reading_id, matched_id AS session_id FROM gaps WHERE gap <= 120"))
+@query(sql("sessions uploads readings", ATT + PLC + GAP + HELD + " SELECT reading_id, session_id FROM held"))
 def c3_containing_interval(spark, sf):
     who = placed(spark, sf).select("reading_id", "subject_id", "t")
     inside = intervals.containing_interval(
@@ -93,23 +93,23 @@ def c8_calendar(spark, sf):
 
 
 PAIRS = """, tp AS (SELECT * FROM plc WHERE coalesce(clock_valid, FALSE) AND NOT coalesce(clock_suspect, FALSE) {offset}),
-pr AS (SELECT p.reading_id, p.t AS ts, p.sys, p.dia, p.pulse, p.subject_id, g.matched_id AS session_id,
+pr AS (SELECT p.reading_id, p.t AS ts, p.sys, p.dia, p.pulse, p.subject_id, g.session_id,
    (SELECT avg(m.hr_ppg) FROM minutes m WHERE {key} abs(m.ts - p.t) <= 90) AS hr_ppg,
    (SELECT avg(m.sqi) FROM minutes m WHERE {key} abs(m.ts - p.t) <= 90) AS sqi
- FROM tp p JOIN gaps g USING (reading_id) WHERE g.gap <= 120),
+ FROM tp p JOIN held g USING (reading_id)),
 prs AS (SELECT * REPLACE (CASE WHEN isfinite(hr_ppg) THEN round_even(hr_ppg, 1) END AS hr_ppg,
                           CASE WHEN isfinite(sqi) THEN round_even(sqi, 3) END AS sqi) FROM pr)"""
 BY_REF = PAIRS.format(offset="", key="")
 BY_SUBJECT = PAIRS.format(offset="AND clock_offset_s IS NOT NULL", key="m.subject_id = p.subject_id AND")
 
 
-@query(sql("sessions uploads readings minutes", ATT + PLC + GAP + BY_SUBJECT + " SELECT * REPLACE (round(ts, 6) AS ts) FROM prs"))
+@query(sql("sessions uploads readings minutes", ATT + PLC + GAP + HELD + BY_SUBJECT + " SELECT * REPLACE (round(ts, 6) AS ts) FROM prs"))
 def p2_pair_points(spark, sf):
     found = trends.pair_points(placed(spark, sf), attributed(spark, sf), view(spark, sf, "minutes"))
     return rounded(found, 6, "ts")
 
 
-@query(sql("sessions uploads readings minutes", ATT + PLC + GAP + BY_REF + " SELECT * REPLACE (round(ts, 6) AS ts) FROM prs"))
+@query(sql("sessions uploads readings minutes", ATT + PLC + GAP + HELD + BY_REF + " SELECT * REPLACE (round(ts, 6) AS ts) FROM prs"))
 def p2_pair_points_all_minutes(spark, sf):
     found = trends.pair_points(
         placed(spark, sf), attributed(spark, sf), view(spark, sf, "minutes"),
@@ -118,7 +118,7 @@ def p2_pair_points_all_minutes(spark, sf):
     return rounded(found, 6, "ts")
 
 
-@query(sql("sessions uploads readings minutes", ATT + PLC + GAP + BY_REF + """
+@query(sql("sessions uploads readings minutes", ATT + PLC + GAP + HELD + BY_REF + """
   SELECT reading_id, round(hr_ppg - pulse, 6) AS difference, round((hr_ppg + pulse) / 2, 6) AS mean_of_both
   FROM prs WHERE hr_ppg IS NOT NULL"""))
 def c10_agreement(spark, sf):
@@ -131,7 +131,7 @@ def c10_agreement(spark, sf):
     )
 
 
-@query(sql("sessions uploads readings minutes", ATT + PLC + GAP + BY_REF + """
+@query(sql("sessions uploads readings minutes", ATT + PLC + GAP + HELD + BY_REF + """
   SELECT subject_id, count(*) AS n, round(avg(hr_ppg - pulse), 6) AS bias,
          round(avg(hr_ppg - pulse) - 1.96 * stddev_samp(hr_ppg - pulse), 6) AS lower,
          round(avg(hr_ppg - pulse) + 1.96 * stddev_samp(hr_ppg - pulse), 6) AS upper

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from catalog.collection import ALL_STATE, ATT, BLG, CLK, GAP, PLC, QLT, attributed, placed, rounded
+from catalog.collection import ALL_STATE, ATT, BLG, CLK, GAP, HELD, PLC, QLT, attributed, placed, rounded
 from catalog.collection import STORE_RULES_SQL, SUBJECT_RULES_SQL
 from catalog.signals import BAND, ENV, PEAK, PIDX
 from catalog.views import NOW, TZ, sql, store, table, view
@@ -17,7 +17,7 @@ from wavecohort.schemas import READING_WIRE_DDL, schema_of
 from wavecohort.session import durable, intermediate, prepare
 from wavecohort.sources import bundles, snapshots
 from wavecohort.functions.values import allowed_name, allowed_size, reading_key
-from wavecohort.streaming import streams
+from wavecohort.streaming import stateful, streams
 
 QUERIES = {}
 ORACLE = {}
@@ -420,25 +420,36 @@ def k3_run_stream(spark, sf):
     return rounded(runs, 6, "first_ts", "last_ts")
 
 
-@query(sql("sessions uploads", ATT + f""" SELECT subject_id, max(start_time) AS last_ts, count(*) AS rows, {NOW} - max(start_time) AS age_s,
-  {NOW} - max(start_time) > 43200 AS stale FROM att GROUP BY 1"""))
+def _by_time(spark, rows: DataFrame, name: str, time: str) -> DataFrame:
+    """A stream of three batches in time order, each a folder that is landed after the one before."""
+    root, cuts = folder(spark, name), (NOW - 20 * 86400, NOW - 10 * 86400, float("inf"))
+    rows, low = durable(rows, name), float("-inf")
+    for high in cuts:
+        rows.where((F.col(time) >= low) & (F.col(time) < high)).coalesce(1).write.mode("append").parquet(root)
+        low = high
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
+@query(sql("sessions uploads", ATT + """ , wm AS (SELECT floor(max(start_time) * 1000) / 1000 - 3600 AS w FROM att)
+  SELECT subject_id, max(start_time) AS last_ts, count(*) AS rows, any_value(w) - max(start_time) > 7200 AS stale FROM att, wm GROUP BY 1"""))
 def k4_freshness_stream(spark, sf):
     rows = attributed(spark, sf).select("subject_id", F.col("start_time").alias("ts"))
-    stream = _stream(spark, sf, "sessions", lambda _: rows, 3)
+    changes = stateful.freshness(_by_time(spark, rows, "activity", "ts"), 7200, "1 hour")
     root = folder(spark, "freshness")
-    _finish(streams.freshness(stream, root, folder(spark, "state"), NOW, 43200))
-    done = snapshots.versions(spark, root)[-1]
-    return spark.read.parquet(f"{root}/version={done:08d}")
+    _finish(stateful.keep_freshness(changes, root, folder(spark, "state")))
+    stateful.fold_freshness(spark, root)
+    return stateful.fresh_subjects(spark, root).drop("told_at")
 
 
-@query(sql("sessions uploads readings", ATT + PLC + GAP + " SELECT reading_id, matched_id AS session_id, round(gap, 6) AS gap FROM gaps WHERE gap <= 120"))
+@query(sql("sessions uploads readings", ATT + PLC + GAP + HELD + " SELECT reading_id, session_id, round(gap, 6) AS gap FROM held"))
 def k5_pairing_stream(spark, sf):
-    stream = _stream(spark, sf, "readings", lambda _: placed(spark, sf).select("reading_id", "subject_id", "t"), 3)
-    spans, path = attributed(spark, sf).select("subject_id", "start_time", "end_time", "id"), folder(spark, "spans")
-    spans.write.parquet(path)
+    readings = _by_time(spark, placed(spark, sf).select("reading_id", "subject_id", "t"), "points", "t")
+    recordings = _by_time(spark, attributed(spark, sf).select("id", "subject_id", "start_time", "end_time"), "spans", "start_time")
     root = folder(spark, "pairing")
-    _finish(streams.pair_readings(stream, lambda s: s.read.schema(spans.schema).parquet(path), root, folder(spark, "state")))
-    return streams.paired(spark, root).select("reading_id", "session_id", F.round("gap", 6).alias("gap"))
+    _finish(stateful.keep_pairs(stateful.pair_streams(readings, recordings, late="1 day"), root, folder(spark, "state")))
+    stateful.fold_pairs(spark, root)
+    found = stateful.best_pairs(spark, root).where(F.col("session_id").isNotNull())
+    return found.select("reading_id", "session_id", F.round("gap", 6).alias("gap"))
 
 
 @query(sql("files", FIL.format(limit=200 * 1024 * 1024) + " SELECT upload, name, seq, verdict, verdict IN ('ok', 'undeclared') AS accepted FROM vd"))

@@ -106,6 +106,39 @@ def test_pairs_of_one_crowded_subject_stay_single(spark):
     assert out.count() == 2000 and {r.session_id for r in out.select("session_id").distinct().collect()} == {0}
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_containing_interval_names_the_smallest_id(spark, seed):
+    rng = random.Random(seed)
+    spans = []
+    for n, k in enumerate(subjects(400, rng)):
+        start = None if rng.random() < 0.03 else float(rng.randint(0, 3000))
+        end = None if start is None or rng.random() < 0.1 else start + rng.choice([-5, 0, 1, 30, 500, 2500])
+        spans.append((k, rng.randint(0, 10_000), start, end))
+    spans += [("all", n, 0.0, 4000.0) for n in range(50, 90)]  # equal, and nested with the next
+    spans += [("all", 5, 100.0, 200.0), ("all", 3, 120.0, 130.0), ("all", 4, 125.0, 300.0)]
+    points = [(k, n, float(rng.randint(-300, 6000)) / 2) for n, k in enumerate([*subjects(900, rng), *["all"] * 500, "alone"])] + [("all", -1, None)]
+    left = spark.createDataFrame(points, "k string, pid long, t double")
+    right = spark.createDataFrame(spans, "k string, id long, s double, e double")
+    got = {r.pid: r.session_id for r in iv.containing_interval(left, right, "k", "t", "s", "e", "id", 15.0).collect()}
+    want = {}
+    for k, pid, t in points:
+        near = [(max(s - t, t - max(s, s if e is None else e), 0.0), n) for kk, n, s, e in spans if t is not None and kk == k and s is not None]
+        if near and min(near)[0] <= 15:
+            want[pid] = min(near)[1]
+    assert got == want and len(want) > 800
+    inside = {r.pid: r.session_id for r in iv.smallest_containing(left, right, "k", "t", "s", "e", "id").collect()}
+    assert len(inside) == len(points) and inside[-1] is None
+
+
+def test_no_task_holds_a_crowded_node(spark):
+    spans = spark.range(3000).selectExpr("'hot' k", "3000 - id id", "0D s", "1e6D e")
+    points = spark.range(3000).selectExpr("'hot' k", "id pid", "cast(id as double) t")
+    out = iv.smallest_containing(points, spans, "k", "t", "s", "e", "id")
+    assert out.count() == 3000 and out.select("session_id").distinct().collect()[0][0] == 1
+    assert iv.smallest_containing(points.limit(0), spans, "k", "t", "s", "e", "id").count() == 0
+    assert iv.smallest_containing(points, spans.limit(0), "k", "t", "s", "e", "id").where("session_id is null").count() == 3000
+
+
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_band_average_equals_brute_force(spark, keys):
     rng = random.Random(8)

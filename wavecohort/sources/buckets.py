@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 from wavecohort.session import durable
 
 BUCKET = "bucket"
-BUCKETS = 256
+BUCKETS = 64
 
 Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
