@@ -56,6 +56,33 @@ def test_rank_select_is_exact(spark):
         assert got[key] == (mine[(len(mine) - 1) // 2], mine[len(mine) // 2])
 
 
+@pytest.mark.parametrize("bits", [7, 12])
+def test_rank_select_over_values_of_any_size(spark, bits):
+    value = F.when(F.col("id") % 5 == 0, -F.col("id") * F.col("id")).when(F.col("id") % 7 == 0, F.lit(3)).otherwise(F.pmod(F.xxhash64("id"), F.lit(10**9)) * 1_000_003)
+    df = spark.range(5000).select((F.col("id") % 3).alias("k"), value.alias("v"))
+    ranks = {"first": F.lit(0), "low": F.expr("(n - 1) div 2"), "high": F.expr("n div 2"), "late": F.expr("n * 9 div 10"), "last": F.expr("n - 1"), "beyond": F.expr("n")}
+    got = {r.k: r for r in o.rank_select(df, ["k"], "v", ranks, 4096, bits).collect()}
+    rows = df.collect()
+    for key in range(3):
+        mine = sorted(r.v for r in rows if r.k == key)
+        n = len(mine)
+        want = [mine[i] for i in (0, (n - 1) // 2, n // 2, n * 9 // 10, n - 1)] + [None]
+        assert list(got[key])[1:] == want
+    assert o.rank_select(df.limit(0), ["k"], "v", ranks, 4096, bits).count() == 0
+
+
+def test_no_window_of_a_rank_sees_many_counts(spark):
+    seen = []
+    df = spark.range(50_000).select(F.lit("hot").alias("k"), (F.pmod(F.xxhash64("id"), F.lit(10**9))).alias("v"))
+    got = o.rank_select(df, ["k"], "v", {"mid": F.expr("n div 2")}, 64, 6).first().mid
+    assert got == sorted(r.v for r in df.collect())[25_000]
+    # All rows of one key: the largest group a window sorts is one level's digits below one parent.
+    for step in range(0, 30, 6):
+        digits = df.select(F.shiftright(F.floor(F.col("v") / 64), step).alias("d")).distinct()
+        seen.append(digits.groupBy(F.shiftright("d", 6)).count().agg(F.max("count")).first()[0])
+    assert max(seen) <= 64
+
+
 def test_top_per_group_is_exact(spark):
     rng = random.Random(4)
     rows = [(k, n, rng.randint(0, 50)) for n, k in enumerate(subjects(2000, rng))]

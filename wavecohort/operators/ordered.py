@@ -139,12 +139,18 @@ def halo(df: DataFrame, index: str, size: Column, before: Column, after: Column,
     return cut.withColumn(core, F.col(piece) == F.col("_own")).drop("_own")
 
 
-def rank_select(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column], width: float) -> DataFrame:
+#: Binary digits by which a rank is narrowed down in one step, and so at most 2**12 counts of a key in one window.
+FAN_BITS = 12
+
+
+def rank_select(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column], width: float, fan_bits: int = FAN_BITS) -> DataFrame:
     """Exact order statistics per key: the value at each zero-based rank.
 
-    ``ranks`` are expressions over the row count ``n``. Rows are first combined to counts
-    per distinct value. Ranks are then located on counts per band of ``width``, and inside
-    the bands that hold a wanted rank, so that no task sees all values of a key.
+    ``ranks`` are expressions over the row count ``n``. Rows are first combined to counts per distinct value and
+    those to counts per band of ``width``. Bands are numbers of some digits: the wanted ranks are located among the first
+    digits of a key, then among the second digits below those that hold one, and so on to the band and,
+    inside it, the value. No window sees more than ``2**fan_bits`` counts, or the distinct values of one
+    band, however many a key has. The driver sees the largest band number.
     """
     counts = durable(
         df.where(F.col(value).isNotNull())
@@ -152,22 +158,30 @@ def rank_select(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str,
         .agg(F.count("*").alias("_c")),
         "counts",
     )
+    top = counts.agg(F.max(F.greatest(F.col("_band"), -F.col("_band") - 1))).first()[0] or 0
+    steps = [n * fan_bits for n in range(1 + max(0, int(top).bit_length() + 1 - fan_bits) // fan_bits + 1)]
+    tables = [counts.groupBy(*keys, "_band").agg(F.sum("_c").alias("_c")).withColumnRenamed("_band", "_d")]
+    for _ in steps[1:]:
+        up = F.shiftright("_d", fan_bits).alias("_d")
+        tables.append(tables[-1].groupBy(*keys, up).agg(F.sum("_c").alias("_c")))
     by_key = Window.partitionBy(*keys)
-    placed = counts.groupBy(*keys, "_band").agg(F.sum("_c").alias("_c")).select(
-        *keys,
-        "_band",
-        (F.sum("_c").over(by_key.orderBy("_band")) - F.col("_c")).alias("_lo"),
-        "_c",
-        F.sum("_c").over(by_key).alias("n"),
-    )
     named = F.array(*[F.struct(F.lit(r).alias("name"), e.cast("bigint").alias("rank")) for r, e in ranks.items()])
     here = lambda r: (r["rank"] >= F.col("_lo")) & (r["rank"] < F.col("_lo") + F.col("_c"))
-    wanted = placed.select(*keys, "_band", "_lo", F.filter(named, here).alias("_want")).where(F.size("_want") > 0)
+    wanted = tables[-1].select(
+        *keys, "_d", (F.sum("_c").over(by_key.orderBy("_d")) - F.col("_c")).alias("_lo"), "_c", F.sum("_c").over(by_key).alias("n")
+    ).select(*keys, "_d", "_lo", F.filter(named, here).alias("_want"))
+    for table in tables[-2::-1]:
+        parents = wanted.where(F.size("_want") > 0).withColumnsRenamed({"_d": "_p", "_lo": "_from"})
+        children = table.withColumn("_p", F.shiftright("_d", fan_bits)).join(parents, [*keys, "_p"])
+        upto = F.sum("_c").over(Window.partitionBy(*keys, "_p").orderBy("_d"))
+        placed = children.withColumn("_lo", F.col("_from") + upto - F.col("_c"))
+        wanted = placed.select(*keys, "_d", "_lo", F.filter("_want", here).alias("_want"))
+    wanted = wanted.where(F.size("_want") > 0).withColumnRenamed("_d", "_band")
     inside = counts.join(wanted, [*keys, "_band"])
     upto = F.sum("_c").over(Window.partitionBy(*keys, "_band").orderBy("_v")) + F.col("_lo")
-    steps = inside.withColumn("_upto", upto)
+    reached = inside.withColumn("_upto", upto)
     hit = lambda r: (r["rank"] < F.col("_upto")) & (r["rank"] >= F.col("_upto") - F.col("_c"))
-    picked = steps.select(*keys, "_v", F.explode(F.filter("_want", hit)).alias("_w"))
+    picked = reached.select(*keys, "_v", F.explode(F.filter("_want", hit)).alias("_w"))
     return picked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_w.name") == r, F.col("_v"))).alias(r) for r in ranks]
     )

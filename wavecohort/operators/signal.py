@@ -107,7 +107,7 @@ def sample_rate(steps: DataFrame, keys: Sequence[str], step: str = "step") -> Da
         keys,
         step,
         {"_lo": F.expr("(n - 1) div 2"), "_hi": F.expr("n div 2")},
-        1_000_000,
+        4096,
     )
     return middle.select(*keys, F.try_divide(F.lit(1e9), (F.col("_lo") + F.col("_hi")) / 2.0).alias("fs"))
 
