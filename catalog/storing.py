@@ -99,6 +99,68 @@ def a3_landed_samples(spark, sf):
     )
 
 
+def _place(spark, rows: DataFrame, root: str, name: str, fmt: str, into: str = "") -> None:
+    """Land rows as ``<bundle>/<name>`` below ``root``, a folder of part files for each bundle (there are as many as recordings)."""
+    at = folder(spark, "parts")
+    rows.write.partitionBy("bundle").format(fmt).save(at)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for entry in fs.listStatus(path(at)):
+        bundle = entry.getPath().getName()
+        if bundle.startswith("bundle="):
+            home = f"{root}/{bundle.removeprefix('bundle=')}{into}"
+            fs.mkdirs(path(home))
+            fs.rename(entry.getPath(), path(f"{home}/{name}"))
+
+
+def _bundles(spark, sf) -> str:
+    """All recordings as bundles: manifest, optical samples, intervals between beats, notes; every third one is sent twice."""
+    root = folder(spark, "bundles")
+    ppg = view(spark, sf, "ppg")
+    named = ppg.withColumn("bundle", F.concat(F.lit("rec-"), F.col("session_id").cast("string")))
+    ids = named.groupBy("bundle", "session_id").agg(F.min("timestamp_ns").alias("first"))
+    manifest = F.struct(
+        F.concat(F.lit("u"), F.col("session_id").cast("string")).alias("session_uuid"), (F.col("first") / 1e9).alias("started_at"),
+        F.lit("dev").alias("device_name"), F.array(F.lit("a.rop"), F.lit("b.rop")).alias("rop_files"),
+    )
+    note = F.to_json(F.struct(F.lit("comment").alias("event"), (F.col("first") / 1e9).alias("ts")))
+    beats = named.where("timestamp_ns % 5 = 0").select(
+        "bundle", "timestamp_ns", F.col("ppg0").alias("interval"), F.when(F.col("ppg1") % 2 == 0, F.col("ppg1")).alias("error")
+    )
+    for again in (False, True):
+        kept = F.col("session_id") % 3 == 0 if again else F.lit(True)
+        into = "-again" if again else ""
+        _place(spark, ids.where(kept).select("bundle", F.to_json(manifest).alias("value")), root, "manifest.json", "text", into)
+        _place(spark, ids.where(kept).select("bundle", note.alias("value")), root, "notes.jsonl", "text", into)
+        _place(spark, named.where(kept).drop("session_id"), root, "ppg.parquet", "parquet", into)
+        some = beats.where(F.regexp_extract("bundle", r"(\d+)$", 1).cast("int") % 3 == 0) if again else beats
+        _place(spark, some, root, "ppi.parquet", "parquet", into)
+    return root
+
+
+@query(sql("ppg", """ , p AS (SELECT session_id, count(*) AS ppg, sum(ppg0)::BIGINT AS ppg0_sum FROM ppg GROUP BY 1),
+  b AS (SELECT session_id, count(*) AS ppi, sum(ppg0)::BIGINT AS interval_sum, count(*) FILTER (WHERE ppg1 % 2 = 0) AS errors FROM ppg WHERE timestamp_ns % 5 = 0 GROUP BY 1)
+  SELECT 'u' || session_id AS session_uuid, ppg, ppg0_sum, ppi, interval_sum, errors, 1 AS notes, 2 AS rop_files,
+    CASE WHEN session_id % 3 = 0 THEN ppg ELSE 0 END AS repeated FROM p JOIN b USING (session_id)"""))
+def a3_converted_bundles(spark, sf):
+    """Whole bundles through the file readers, a sensor without a table of its own and repeats included."""
+    prepare(spark, sf)
+    root = _bundles(spark, sf)
+    out = ingest.convert_bundles(spark, root, "parquet", ("ppg", "ppi"))
+    sums = out["ppg"].groupBy("session_id").agg(F.sum("ppg0").alias("ppg0_sum"))
+    beats = out["ppi"].groupBy("session_id").agg(
+        F.sum(bundles.field("interval")).cast("bigint").alias("interval_sum"), F.count(bundles.field("error")).alias("errors")
+    )
+    landed = bundles.read_samples(spark, root, "ppg").groupBy(F.regexp_extract("bundle", r"^rec-(\d+)", 1).cast("bigint").alias("n")).agg(F.count("*").alias("sent"))
+    counts = out["stats"].select(
+        "session_uuid", F.col("db_session_id").alias("session_id"), F.col("samples_per_sensor")["ppg"].alias("ppg"), F.col("samples_per_sensor")["ppi"].alias("ppi"),
+        "notes", "rop_files", F.substring("session_uuid", 2, 20).cast("bigint").alias("n"),
+    )
+    return counts.join(sums, "session_id").join(beats, "session_id").join(landed, "n").select(
+        "session_uuid", "ppg", "ppg0_sum", "ppi", "interval_sum", "errors", "notes", "rop_files", (F.col("sent") - F.col("ppg")).alias("repeated")
+    )
+
+
 @query(sql("ppg motion", """ , n AS (SELECT session_id, count(*) AS ppg FROM ppg GROUP BY 1),
   a AS (SELECT session_id, count(*) FILTER (WHERE sensor = 'acc') AS acc, nullif(count(*) FILTER (WHERE sensor = 'gyro'), 0) AS gyro FROM motion GROUP BY 1)
   SELECT session_id, ppg, acc, gyro, CASE WHEN gyro IS NULL THEN 2 ELSE 3 END AS sensors FROM n JOIN a USING (session_id)"""))
@@ -461,3 +523,33 @@ def k6_file_stream(spark, sf):
     return took(good, True).unionByName(took(bad, False))
 
 
+
+
+@query(sql("files", """ , fl AS (SELECT upload, name, seq, octet_length(encode(text)) AS bytes, sha256(text) AS sha, declared FROM files),
+ came AS (SELECT upload, name, max(seq) AS at, arg_max(sha, seq) AS sha256, arg_max(bytes, seq) AS bytes FROM fl GROUP BY 1, 2),
+ said AS (SELECT upload, name, arg_max(declared, seq) AS declared FROM fl WHERE declared IS NOT NULL GROUP BY 1, 2),
+ never AS (SELECT DISTINCT upload, 'seg-' || (100 + seq) || '.rop' AS name, seq FROM fl WHERE seq % 29 = 0),
+ names AS (SELECT *, NOT regexp_full_match(name, 'manifest\\.json|segments\\.jsonl|notes\\.jsonl|notes\\.csv|[A-Za-z0-9][A-Za-z0-9._-]*\\.rop') OR name LIKE '%..%' AS bad FROM came)
+ SELECT upload, name, sha256, bytes, CASE WHEN bad THEN 'illegal_name' WHEN bytes = 0 THEN 'empty' WHEN declared IS NULL THEN 'undeclared'
+   WHEN declared = sha256 THEN 'ok' ELSE 'mismatch' END AS verdict FROM names LEFT JOIN said USING (upload, name)
+ UNION ALL SELECT upload, name, NULL, NULL, 'missing' FROM never WHERE seq + 200 <= (SELECT max(seq) FROM fl) - 10"""))
+def k6_file_verdicts(spark, sf):
+    """Files and declarations as two streams; some files come again and again, some never."""
+    seen = staged(spark, sf).withColumn("at", F.timestamp_seconds("seq"))
+    never = seen.where("seq % 29 = 0").select("upload", F.format_string("seg-%d.rop", F.col("seq") + 100).alias("name"), F.lit("00").alias("sha256"), "at", "seq")
+    said = seen.where("declared is not null").select("upload", "name", F.col("declared").alias("sha256"), "at", "seq").unionByName(never)
+    third = seen.agg((F.max("seq") / 3).alias("third")).first().third
+
+    def batches(rows: DataFrame, name: str) -> DataFrame:
+        root, rows = folder(spark, name), durable(rows, name)
+        for n in range(3):
+            part = rows.where((F.col("seq") >= n * third) & ((F.col("seq") < (n + 1) * third) | F.lit(n == 2)))
+            part.drop("seq").coalesce(1).write.mode("append").parquet(root)
+        return spark.readStream.schema(rows.drop("seq").schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+    files = batches(seen.select("upload", "name", "content", "at", "seq"), "sent")
+    changes = stateful.file_verdicts(files, batches(said, "said"), 200, "10 seconds")
+    root = folder(spark, "verdicts")
+    _finish(stateful.keep_verdicts(changes, root, folder(spark, "state")))
+    stateful.fold_verdicts(spark, root)
+    return stateful.current_verdicts(spark, root).drop("told_at")

@@ -1,5 +1,7 @@
 """Freshness by timers and pairing of two streams, over batches, restarts and expiry."""
 
+import datetime
+import hashlib
 import time
 
 import pytest
@@ -110,3 +112,36 @@ def test_equals_all_pairs(spark, tmp_path, seed):
         if gaps[0][0] <= 120:
             want[r.reading_id] = gaps[0][::-1]
     assert {k: v for k, v in got.items() if v[0] is not None} == want
+
+
+def test_a_file_sent_twice_is_told_once_and_one_that_never_comes_is_missing_once(spark, tmp_path):
+    root = str(tmp_path / "out")
+    sha = {c: hashlib.sha256(c.encode()).hexdigest() for c in "xyz"}
+    files, said = "upload string, name string, content binary, at timestamp", "upload string, name string, sha256 string, at timestamp"
+    stamp = lambda s: datetime.datetime.fromtimestamp(s, datetime.timezone.utc)
+
+    def run(sent, declared):
+        arrive(spark, tmp_path / "files", [("u", n, c.encode(), stamp(t)) for n, c, t in sent], files)
+        arrive(spark, tmp_path / "said", [("u", n, h, stamp(t)) for n, h, t in declared], said)
+        both = [spark.readStream.schema(d).parquet(str(tmp_path / p)) for d, p in ((files, "files"), (said, "said"))]
+        stateful.keep_verdicts(stateful.file_verdicts(*both, 100, "10 seconds", 300), root, str(tmp_path / "state")).awaitTermination()
+        rows = buckets.unfolded(spark, root, stateful.StructType.fromDDL(stateful.VERDICT_DDL)).collect()
+        last = max(r.batch for r in rows)
+        return {r.name: r.verdict for r in stateful.current_verdicts(spark, root).collect()}, rows, last
+
+    first, _, _ = run([("a.rop", "x", 1000), ("a.rop", "x", 1001), ("free.rop", "y", 1000), ("bad name", "y", 1000), ("e.rop", "", 1000)], [("a.rop", sha["x"], 990), ("b.rop", sha["y"], 1000), ("c.rop", sha["z"], 1000)])
+    assert first == {"a.rop": "ok", "free.rop": "undeclared", "bad name": "illegal_name", "e.rop": "empty"}
+    # The same file again and a late declaration; the watermark passes the deadline of b and c.
+    second, rows, last = run([("a.rop", "x", 1120)], [("free.rop", sha["z"], 1115)])
+    assert second == first | {"free.rop": "mismatch", "b.rop": "missing", "c.rop": "missing"}
+    third, rows, _ = run([("b.rop", "y", 1130), ("free.rop", "z", 1130)], [("d.rop", sha["x"], 1130)])
+    assert third == second | {"b.rop": "ok", "free.rop": "ok"}
+    assert sorted((r.name, r.verdict) for r in rows) == sorted([
+        ("a.rop", "ok"), ("free.rop", "undeclared"), ("bad name", "illegal_name"), ("e.rop", "empty"),
+        ("free.rop", "mismatch"), ("b.rop", "missing"), ("c.rop", "missing"), ("b.rop", "ok"), ("free.rop", "ok"),
+    ])
+    stateful.fold_verdicts(spark, root)
+    # Long after, what was known of the file is forgotten, so the same file is told anew.
+    assert run([("far.rop", "x", 9000)], [])[0]["d.rop"] == "missing"
+    _, rows, last = run([("a.rop", "x", 9001)], [])
+    assert [(r.name, r.verdict) for r in rows if r.batch == last and r.name == "a.rop"] == [("a.rop", "undeclared")]

@@ -313,6 +313,36 @@ def test_csv_notes_hold_line_breaks_and_only_a_first_row_is_a_header(spark, tmp_
     ], key=str)
 
 
+def test_sensors_without_a_table_land_count_and_deduplicate(spark, tmp_path):
+    root = tmp_path / "landing"
+    fine = lambda uuid: json.dumps({"session_uuid": uuid, "started_at": 1.0, "rop_files": []})
+    texts = {
+        "a": ("u1", "timestamp_ns,x,y\n1,0.5,7\n2,1e3,\n2,1e3,\n", '{"timestamp_ns": 5, "interval_ms": 812, "ok": "yes"}\n'),
+        "a-again": ("u1", "y, timestamp_ns, x\n7,1,0.5\n,2,1e3\n9,3,9007199254740993\n", '{"ok": "yes", "interval_ms": 812, "timestamp_ns": 5}\n\nbroken\n'),
+        "b": ("u2", "timestamp_ns,z\n1,4\nsoon,5\n", '{"interval_ms": 1}\n'),
+    }
+    for name, (uuid, mag, ppi) in texts.items():
+        (root / name).mkdir(parents=True)
+        (root / name / "manifest.json").write_text(fine(uuid))
+        (root / name / "mag.csv").write_text(mag)
+        (root / name / "ppi.json").write_text(ppi)
+    out = ingest.convert_bundles(spark, str(root), "csv", ("mag",))
+    got = sorted((r.session_id, r.sensor, r.timestamp_ns, [(f.name, f.value, f.text) for f in r.fields]) for r in out["mag"].collect())
+    ids = {r.session_uuid: r.id for r in out["sessions"].collect()}
+    assert got == sorted([
+        (ids["u1"], "mag", 1, [("x", 0.5, "0.5"), ("y", 7.0, "7")]), (ids["u1"], "mag", 2, [("x", 1000.0, "1e3")]),
+        (ids["u1"], "mag", 3, [("x", 9007199254740992.0, "9007199254740993"), ("y", 9.0, "9")]), (ids["u2"], "mag", 1, [("z", 4.0, "4")]),
+    ])
+    assert {r.sensor: r.duplicates for r in out["duplicates"].collect()}["mag"] == 3 and out["broken_mag"].count() == 1
+    stats = {r.session_uuid: r.samples_per_sensor for r in out["stats"].collect()}
+    assert stats == {"u1": {"mag": 3}, "u2": {"mag": 1}}
+    again = ingest.convert_bundles(spark, str(root), "csv", ("mag",), stored={"mag": out["mag"]})
+    assert again["mag"].count() == 0
+    ppi = ingest.convert_bundles(spark, str(root), "json", ("ppi", "never"))
+    assert [(r.timestamp_ns, [f.name for f in r.fields]) for r in ppi["ppi"].collect()] == [(5, ["interval_ms", "ok"])]
+    assert ppi["ppi"].select(bundles.field("interval_ms")).first()[0] == 812.0 and ppi["broken_ppi"].count() == 2 and ppi["never"].count() == 0
+
+
 def test_samples_in_folders_of_part_files_keep_their_bundle(spark, tmp_path):
     root = tmp_path / "landing"
     rows = spark.createDataFrame([(1, 1, 2, 3), (2, 1, 2, 3)], "timestamp_ns long, x int, y int, z int")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from wavecohort.operators.merge import drop_repeats, first_writer_merge, latest_status, receipt
-from wavecohort.schemas import STATS_DDL, schema_of
+from wavecohort.schemas import STATS_DDL, sample_schema, schema_of
 from wavecohort.session import durable
 from wavecohort.sources import buckets, bundles
 
@@ -93,7 +93,8 @@ def convert_bundles(spark: SparkSession, landing: str, fmt: str = "parquet", sen
     """Rows of the store for all bundles below ``landing``, and what each bundle held.
 
     Exact copies of a sample, note or segment are dropped and counted, so that a bundle sent twice counts
-    once; for samples, with ``stored`` (sample tables by sensor) also those sent in an earlier run. What belongs to
+    once; for samples, with ``stored`` (sample tables by sensor) also those sent in an earlier run. Sensors without a
+    table of their own (``mag``, ``ppi``, any name) come in one layout; their samples without a time are set aside. What belongs to
     a bundle without a readable manifest is set aside in ``broken_<table>``, and
     ``failed`` names those bundles: landed rows are kept, dropped as copies or set aside.
     """
@@ -108,13 +109,14 @@ def convert_bundles(spark: SparkSession, landing: str, fmt: str = "parquet", sen
     repeats = None
     for sensor in sensors:
         landed = bundles.read_samples(spark, landing, sensor, fmt)
-        out[f"broken_{sensor}"] = landed.join(known, "bundle", "left_anti")
-        placed = landed.join(ids, "bundle").drop("bundle", "session_uuid")
-        names = [f.name for f in schema_of(sensor).fields]
+        timed = F.lit(True) if "sensor" not in landed.columns else F.col("timestamp_ns").isNotNull()
+        out[f"broken_{sensor}"] = landed.join(known, "bundle", "left_anti").unionByName(landed.where(~timed).join(known, "bundle", "left_semi"))
+        placed = landed.where(timed).join(ids, "bundle").drop("bundle", "session_uuid")
+        names = [f.name for f in sample_schema(sensor).fields]
         earlier = None if stored is None or sensor not in stored else stored[sensor].select(*names)
         kept, lost = drop_repeats(placed.select(*names), earlier)
         kept = durable(kept, sensor)
-        out[sensor] = kept.select(*[f.name for f in schema_of(sensor).fields])
+        out[sensor] = kept.select(*[f.name for f in sample_schema(sensor).fields])
         per_sensor[sensor] = out[sensor].join(
             ids.select("session_id", "session_uuid").distinct(), "session_id"
         )

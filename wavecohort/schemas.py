@@ -63,8 +63,15 @@ FILL_ONCE = (
     "slot",
 )
 
-#: Sensor tables a recording may hold.
-SENSORS = ("ppg", "acc", "gyro", "mag", "ppi")
+
+#: A sample of a sensor without a table of its own: its fields by name, as numbers where they are, and as sent.
+FIELDS_DDL = "array<struct<name:string,value:double,text:string>>"
+SAMPLE_DDL = f"session_id bigint, sensor string, timestamp_ns bigint, fields {FIELDS_DDL}"
+
+
+def sample_schema(sensor: str) -> StructType:
+    """Layout of a sensor's samples: its own, or that of any sensor."""
+    return StructType.fromDDL(DDL.get(sensor, SAMPLE_DDL))
 
 
 def schema_of(table: str) -> StructType:

@@ -14,9 +14,9 @@ from pyspark.sql.types import StructField, StructType, StringType
 from wavecohort.functions.values import MAX_FILE_BYTES, allowed_name, allowed_size
 from wavecohort.schemas import (
     DDL,
+    FIELDS_DDL,
     MANIFEST_DDL,
     READING_WIRE_DDL,
-    SENSORS,
     reconcile,
     schema_of,
 )
@@ -209,9 +209,12 @@ def file_verdict(max_bytes: int = MAX_FILE_BYTES) -> Column:
 
 
 def read_samples(spark: SparkSession, root: str, sensor: str, fmt: str = "parquet") -> DataFrame:
-    """Sample files of one sensor from all bundles (``<bundle>/<sensor>.<ext>``), without session ids."""
+    """Sample files of one sensor from all bundles (``<bundle>/<sensor>.<ext>``), without session ids.
+
+    A sensor without a layout of its own is read by ``read_any_samples``.
+    """
     if sensor not in ("ppg", "acc", "gyro"):
-        raise ValueError(f"no sample layout for {sensor!r}")
+        return read_any_samples(spark, root, sensor, fmt)
     schema = StructType([f for f in schema_of(sensor).fields if f.name != "session_id"])
     reader = spark.read.schema(schema)
     if fmt == "csv":
@@ -222,15 +225,60 @@ def read_samples(spark: SparkSession, root: str, sensor: str, fmt: str = "parque
     return raw.withColumn("bundle", bundle_of(F.input_file_name(), root))
 
 
+def read_any_samples(spark: SparkSession, root: str, sensor: str, fmt: str = "parquet") -> DataFrame:
+    """Samples of a sensor whose columns are not known, as ``bundle, sensor, timestamp_ns, fields``.
+
+    ``fields`` holds the filled columns beside ``timestamp_ns`` in the order of their names, so files of different
+    columns, or the same in another order, meet in one table and copies are equal. Files are Parquet, CSV with a
+    header in each file (plain numbers and words, no quoted line breaks) or JSON lines. A time that is no whole
+    number is null; a line that is no object, or a time alone, has no fields.
+    """
+    where = f"{root}/*/{sensor}.{fmt}"
+    empty = spark.createDataFrame([], f"bundle string, sensor string, timestamp_ns bigint, fields {FIELDS_DDL}")
+    if not _exists(spark, where):
+        return empty
+    bundle = bundle_of(F.input_file_name(), root).alias("bundle")
+    if fmt == "parquet":
+        raw = spark.read.option("mergeSchema", True).parquet(where)
+        cells = [F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("text")) for c in raw.columns]
+        pairs = raw.select(bundle, F.array(*cells).alias("cells"))
+    elif fmt == "json":
+        entries = F.map_entries(F.from_json("value", "map<string,string>"))
+        cells = F.transform(entries, lambda e: F.struct(e["key"].alias("name"), e["value"].alias("text")))
+        pairs = spark.read.text(where).where(F.trim("value") != "").select(bundle, cells.alias("cells"))
+    elif fmt == "csv":
+        lines = spark.read.text(where).select(
+            bundle, F.input_file_name().alias("_file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_at"), F.trim("value").alias("value")
+        ).where(F.col("value") != "")
+        # The first line of a file is in its first block, before the others of that block.
+        heads = lines.where(F.col("_from") == 0).groupBy("_file").agg(F.min_by(F.struct("value", "_at"), "_at").alias("_h"))
+        told = lines.join(heads, "_file").where((F.col("_from") > 0) | (F.col("_at") != F.col("_h._at")))
+        names, texts = F.split("_h.value", " *, *"), F.split("value", " *, *")
+        cells = F.zip_with(names, texts, lambda n, t: F.struct(n.alias("name"), t.alias("text")))
+        pairs = told.select("bundle", cells.alias("cells"))
+    else:
+        raise ValueError(f"no reader for {fmt!r}")
+    filled = F.filter("cells", lambda c: c["name"].isNotNull() & c["text"].isNotNull() & (c["text"] != ""))
+    time = F.get(F.filter(filled, lambda c: c["name"] == "timestamp_ns"), F.lit(0))["text"].try_cast("bigint")
+    rest = F.filter(filled, lambda c: c["name"] != "timestamp_ns")
+    fields = F.array_sort(F.transform(rest, lambda c: F.struct(c["name"].alias("name"), c["text"].try_cast("double").alias("value"), c["text"].alias("text"))))
+    return empty.unionByName(pairs.select("bundle", F.lit(sensor).alias("sensor"), time.alias("timestamp_ns"), F.coalesce(fields, F.array().cast(FIELDS_DDL)).alias("fields")))
+
+
+def field(name: str, fields: str = "fields") -> Column:
+    """The number of a named field of a sample; null where it has none, or no number."""
+    return F.get(F.filter(fields, lambda c: c["name"] == name), F.lit(0))["value"]
+
+
 def sample_counts(counted: dict[str, DataFrame], key: str = "session_uuid") -> DataFrame:
-    """Samples per recording and sensor as one map per recording; sensors are few and fixed."""
+    """Samples per recording and sensor as one map per recording; sensors are as many as tables given."""
     tagged = None
     for sensor, df in counted.items():
         one = df.groupBy(key).agg(F.count("*").alias("n")).withColumn("sensor", F.lit(sensor))
         tagged = one if tagged is None else tagged.unionByName(one)
     pairs = [
         F.struct(F.lit(s).alias("key"), F.max(F.when(F.col("sensor") == s, F.col("n"))).alias("value"))
-        for s in SENSORS
+        for s in counted
     ]
     present = F.filter(F.array(*pairs), lambda p: p["value"].isNotNull())
     return tagged.groupBy(key).agg(F.map_from_entries(present).alias("samples_per_sensor"))

@@ -1,6 +1,6 @@
-"""Streams with state of their own: freshness by timers, and pairing of two streams.
+"""Streams with state of their own: freshness by timers, pairing of two streams, verdicts on files.
 
-Both give changes as rows, append them to a log by batch, and keep a table that the log is folded into
+They give changes as rows, append them to a log by batch, and keep a table that the log is folded into
 (``sources.buckets``), so neither state nor output grows with what is silent.
 """
 
@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.types import StructType
 
+from wavecohort.functions.values import MAX_FILE_BYTES
 from wavecohort.operators.intervals import PAIR_WINDOW_S
 from wavecohort.sources import buckets
+from wavecohort.sources.bundles import file_verdict
 from wavecohort.streaming.streams import each_batch
 
 STALE_S = 48 * 3600.0
@@ -162,3 +164,105 @@ def fold_pairs(spark: SparkSession, root: str) -> None:
     """Fold the logged pairs into the buckets of their readings."""
     schema = StructType.fromDDL(PAIRED_DDL)
     buckets.fold(spark, root, schema, schema, ["reading_id"], _best)
+
+
+# ---- files: repeated arrivals and deadlines
+
+VERDICT_DDL = "upload string, name string, sha256 string, bytes bigint, verdict string, told_at double"
+
+
+def _file_processor(deadline_s: float, keep_s: float) -> StatefulProcessor:
+    class Files(StatefulProcessor):
+        """What is declared of a file, what came last, what was told; a timer for the deadline, then one to forget."""
+
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("file", "declared string, sha string, bytes bigint, fault string, told string, due bigint, passed boolean")
+
+        def _told(self, key, sha, size, verdict, times) -> Row:
+            return Row(upload=key[0], name=key[1], sha256=sha, bytes=size, verdict=verdict, told_at=times.getCurrentWatermarkInMs() / 1000)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+            declared, sha, size, fault, told, due, passed = self.state.get() or (None, None, None, None, None, None, False)
+            for r in sorted(rows, key=lambda r: (r.at, r.sha256 or "", r.declared or "")):
+                if due is None:
+                    due = int((r.at.timestamp() + deadline_s) * 1000)
+                    self.handle.registerTimer(due)
+                if r.sha256 is None:
+                    declared = r.declared
+                else:
+                    sha, size, fault = r.sha256, r.bytes, r.fault
+            verdict = told
+            if sha is not None:
+                verdict = fault or ("undeclared" if declared is None else "ok" if declared == sha else "mismatch")
+            self.state.update((declared, sha, size, fault, verdict, due, passed))
+            if verdict != told:
+                yield self._told(key, sha, size, verdict, timerValues)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+            declared, sha, size, fault, told, due, passed = self.state.get()
+            if passed:
+                self.state.clear()
+                return
+            forget = due + int(keep_s * 1000)
+            self.handle.registerTimer(forget)
+            self.state.update((declared, sha, size, fault, told if sha else "missing", forget, True))
+            if sha is None:
+                yield self._told(key, None, None, "missing", timerValues)
+
+        def close(self) -> None:
+            pass
+
+    return Files()
+
+
+def file_verdicts(
+    files: DataFrame,
+    declared: DataFrame,
+    deadline_s: float,
+    late: str = "1 hour",
+    keep_s: float = 7 * 86400.0,
+    max_bytes: int = MAX_FILE_BYTES,
+) -> DataFrame:
+    """Changes of the verdict on each file of an upload, told once however often it is sent.
+
+    ``files`` has upload, name, content and ``at`` (a timestamp), ``declared`` upload, name, sha256 and ``at``; both are
+    streams, in any order. The last content and the last declaration by ``at`` count, so a file may turn from
+    undeclared or mismatch to ok. A declared file that has not come ``deadline_s`` after its declaration by the
+    watermark is told ``missing`` once, and its verdict if it comes after all. A file's state is dropped
+    ``keep_s`` after its deadline; only hashes are held. Rows without a time are left out.
+    """
+    facts = files.where(F.col("at").isNotNull()).select(
+        "upload", "name", "at", F.octet_length("content").cast("bigint").alias("bytes"), F.sha2(F.col("content").cast("binary"), 256).alias("sha256"), F.lit(None).cast("string").alias("declared")
+    ).where(F.col("sha256").isNotNull())
+    verdict = file_verdict(max_bytes)
+    faulty = F.when(verdict.isin("illegal_name", "empty", "too_large"), verdict)
+    sent = facts.withColumn("fault", faulty)
+    told = declared.where(F.col("at").isNotNull() & F.col("sha256").isNotNull()).select(
+        "upload", "name", "at", F.lit(None).cast("bigint").alias("bytes"), F.lit(None).cast("string").alias("sha256"), F.col("sha256").alias("declared"), F.lit(None).cast("string").alias("fault")
+    )
+    both = sent.select(*told.columns).unionByName(told).withWatermark("at", late)
+    return both.groupBy("upload", "name").transformWithState(_file_processor(deadline_s, keep_s), VERDICT_DDL, "Update", "EventTime")
+
+
+def keep_verdicts(changes: DataFrame, root: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Log the verdicts below ``root``."""
+    return each_batch(changes, checkpoint, lambda batch, number: buckets.log_batch(batch, root, number), "update", trigger)
+
+
+def _last_told(old: DataFrame, new: DataFrame) -> DataFrame:
+    state = F.struct("sha256", "bytes", "verdict", "told_at", "batch")
+    return old.unionByName(new).groupBy("upload", "name").agg(F.max_by(state, F.struct("batch", "told_at")).alias("s")).select("upload", "name", "s.*")
+
+
+def current_verdicts(spark: SparkSession, root: str) -> DataFrame:
+    """The last verdict told of every file."""
+    logged = StructType.fromDDL(VERDICT_DDL)
+    table = buckets.read_buckets(spark, f"{root}/table", StructType.fromDDL(VERDICT_DDL + ", batch bigint"))
+    return _last_told(table, buckets.unfolded(spark, root, logged)).drop("batch")
+
+
+def fold_verdicts(spark: SparkSession, root: str) -> None:
+    """Fold the logged verdicts into the buckets of their files."""
+    kept = StructType.fromDDL(VERDICT_DDL + ", batch bigint")
+    buckets.fold(spark, root, kept, StructType.fromDDL(VERDICT_DDL), ["upload", "name"], _last_told)
