@@ -535,7 +535,7 @@ def k6_file_stream(spark, sf):
  UNION ALL SELECT upload, name, NULL, NULL, 'missing' FROM never WHERE seq + 200 <= (SELECT max(seq) FROM fl) - 10"""))
 def k6_file_verdicts(spark, sf):
     """Files and declarations as two streams; some files come again and again, some never."""
-    seen = staged(spark, sf).withColumn("at", F.timestamp_seconds("seq"))
+    seen = staged(spark, sf).withColumn("at", F.timestamp_seconds(F.col("seq") + NOW))
     never = seen.where("seq % 29 = 0").select("upload", F.format_string("seg-%d.rop", F.col("seq") + 100).alias("name"), F.lit("00").alias("sha256"), "at", "seq")
     said = seen.where("declared is not null").select("upload", "name", F.col("declared").alias("sha256"), "at", "seq").unionByName(never)
     third = seen.agg((F.max("seq") / 3).alias("third")).first().third

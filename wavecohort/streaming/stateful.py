@@ -184,6 +184,7 @@ def _file_processor(deadline_s: float, keep_s: float) -> StatefulProcessor:
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
             declared, sha, size, fault, told, due, passed = self.state.get() or (None, None, None, None, None, None, False)
+            before = told, sha
             for r in sorted(rows, key=lambda r: (r.at, r.sha256 or "", r.declared or "")):
                 if due is None:
                     due = int((r.at.timestamp() + deadline_s) * 1000)
@@ -193,10 +194,10 @@ def _file_processor(deadline_s: float, keep_s: float) -> StatefulProcessor:
                 else:
                     sha, size, fault = r.sha256, r.bytes, r.fault
             verdict = told
-            if sha is not None:
+            if sha is not None:  # without content nothing is told before the deadline
                 verdict = fault or ("undeclared" if declared is None else "ok" if declared == sha else "mismatch")
             self.state.update((declared, sha, size, fault, verdict, due, passed))
-            if verdict != told:
+            if (verdict, sha) != before:
                 yield self._told(key, sha, size, verdict, timerValues)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -224,7 +225,7 @@ def file_verdicts(
     keep_s: float = 7 * 86400.0,
     max_bytes: int = MAX_FILE_BYTES,
 ) -> DataFrame:
-    """Changes of the verdict on each file of an upload, told once however often it is sent.
+    """Changes of content or verdict of each file of an upload, told once however often it is sent.
 
     ``files`` has upload, name, content and ``at`` (a timestamp), ``declared`` upload, name, sha256 and ``at``; both are
     streams, in any order. The last content and the last declaration by ``at`` count, so a file may turn from
