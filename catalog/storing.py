@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog.collection import ALL_STATE, ATT, BLG, CLK, GAP, HELD, PLC, QLT, attributed, placed, rounded
 from catalog.collection import STORE_RULES_SQL, SUBJECT_RULES_SQL
-from catalog.signals import BAND, ENV, PEAK, PIDX
+from catalog.signals import BAND, ENV, IDX, MOVE, PEAK, PIDX
 from catalog.views import NOW, TZ, sql, store, table, view
 from wavecohort.operators import merge
 from wavecohort.plans import ingest
@@ -407,8 +407,38 @@ def p3_waveforms(spark, sf):
     )
 
 
-QUERIES["e14_waveform_blocks"] = p3_waveforms
-ORACLE["e14_waveform_blocks"] = ORACLE["p3_waveforms"]
+SEEN = "session_id % 3 <> 2"
+ELEMENTS = f""", head AS (SELECT session_id, {SEEN} AS found, CASE WHEN {SEEN} THEN round(min(timestamp_ns) / 1e9, 3) END AS start_time,
+   CASE WHEN {SEEN} THEN 'dev' || session_id % 4 END AS device_name FROM ppg GROUP BY 1 UNION ALL SELECT -1, FALSE, NULL, NULL),
+ pulse AS (WITH RECURSIVE {IDX.format(k='session_id', src=f'(SELECT * FROM ppg WHERE {SEEN} AND session_id <> 4)')[2:]}{BAND} {ENV.format(k='session_id', v='y', extra=', round_even(max(fs), 1) AS fs_hz, max(channel)::INT AS channel', cap=500, src='sig')}),
+ rate AS (WITH RECURSIVE {IDX.format(k='session_id', src=f'(SELECT * FROM ppg WHERE {SEEN} AND session_id <> 4)')[2:]}{BAND}{PEAK} SELECT session_id, i, t_s, bpm FROM vb
+   WHERE (m <= 500 OR r IN (SELECT (j * (m - 1)) // 499 FROM range(0, 500) q(j)))),
+ moved AS (WITH {IDX.format(k='sensor, session_id', src=f'(SELECT * FROM motion WHERE {SEEN} AND session_id <> 6)')[2:]}{MOVE} {ENV.format(k='sensor, session_id', v='v', extra='', cap=500, src='sm')}),
+ elements AS (SELECT session_id, 'ppg' AS block, bucket AS pos, t_s, lo, hi FROM pulse UNION ALL SELECT session_id, sensor, bucket, t_s, lo, hi FROM moved
+   UNION ALL SELECT session_id, 'hr', row_number() OVER (PARTITION BY session_id ORDER BY i) - 1, round(t_s, 3), round_even(bpm, 1), round_even(bpm, 1) FROM rate),
+ kinds AS (SELECT session_id, any_value(fs_hz) AS fs_hz, any_value(channel) AS channel FROM pulse GROUP BY 1)
+ SELECT h.*, fs_hz, channel, block, pos, round(t_s, 3) AS t_s, lo, hi FROM head h LEFT JOIN kinds USING (session_id) LEFT JOIN elements USING (session_id)"""
+
+
+@query(sql("ppg motion", ELEMENTS))
+def e14_waveform_blocks(spark, sf):
+    """Every element of every block: found, unknown (-1), outside the scope (every third), without pulse (4), without motion (6)."""
+    ppg, motion = view(spark, sf, "ppg"), view(spark, sf, "motion")
+    starts = ppg.groupBy(F.col("session_id").alias("id")).agg((F.min("timestamp_ns") / 1e9).alias("start_time"))
+    sessions = starts.withColumn("device_name", F.concat(F.lit("dev"), (F.col("id") % 4).cast("string")))
+    owners = starts.select("id", F.concat(F.lit("p"), (F.col("id") % 3).cast("string")).alias("subject_id"))
+    asked = starts.select(F.col("id").alias("session_id")).unionByName(starts.select(F.lit(-1).alias("session_id")))
+    out = durable(waveforms(asked, sessions, ppg.where("session_id <> 4"), motion.where("session_id <> 6"), owners, ["p0", "p1"], 500), "waveforms")
+    parts = [(b, f"{b}.t_s", *((f"{b}.bpm",) * 2 if b == "hr" else (f"{b}.lo", f"{b}.hi"))) for b in ("ppg", "acc", "gyro", "hr")]
+    elements = None
+    for block, *columns in parts:
+        zipped = F.arrays_zip(*[F.col(c).alias(n) for c, n in zip(columns, ("t", "l", "h"))])
+        one = out.select("session_id", F.lit(block).alias("block"), F.posexplode(zipped).alias("pos", "e")).select(
+            "session_id", "block", F.col("pos").cast("bigint").alias("pos"), F.col("e.t").alias("t_s"), F.col("e.l").alias("lo"), F.col("e.h").alias("hi")
+        )
+        elements = one if elements is None else elements.unionByName(one)
+    head = out.select("session_id", "found", "start_time", "device_name", "ppg.fs_hz", "ppg.channel")
+    return head.join(elements, "session_id", "left")
 
 
 @query(ORACLE["d19_ingest_receipt"])
