@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
 from pyspark.sql.functions import asc, desc
 
 from catalog.collection import ATT, GAP, HELD, PLC, attributed, placed, rounded
 from catalog.views import NOW, TZ, sql, view
-from wavecohort.operators import intervals, trends
+from wavecohort.operators import intervals, scope, trends
 from wavecohort.operators.ordered import top_per_group
+from wavecohort.plans.series import Series
+from wavecohort.session import intermediate
+from wavecohort.sources import days
 
 QUERIES = {}
 ORACLE = {}
@@ -78,6 +82,27 @@ def c4_band_average_by_subject(spark, sf):
     return _bands(spark, sf, ["subject_id"])
 
 
+@query(sql("sessions uploads readings grants", ATT + PLC + f""", sc AS (SELECT subject FROM grants WHERE viewer = 'EUROPE' AND trim(subject) <> ''),
+ att2 AS (SELECT * FROM att WHERE start_time >= {NOW} - 14 * 86400 AND subject_id IN (FROM sc)),
+ plc2 AS (SELECT * FROM plc WHERE wall_epoch >= {NOW} - 14 * 86400 AND subject_id IN (FROM sc))"""
+  + COV.replace("FROM att ", "FROM att2 ").replace("FROM plc ", "FROM plc2 ") + " SELECT * FROM cov"))
+def d11_scoped_days(spark, sf):
+    """Two weeks of one viewer's subjects, from tables in folders of day and subject part."""
+    paths = {n: intermediate(spark, n) for n in ("readings", "sessions")}
+    readings, owned = view(spark, sf, "readings"), attributed(spark, sf)
+    days.write_days(readings, paths["readings"], F.substring("taken_at", 1, 10), F.col("uploader_phone_id"), parts=4)
+    days.write_days(owned, paths["sessions"], days.day_of(F.col("start_time")), F.col("subject_id"), parts=4)
+    grants = intermediate(spark, "grants")
+    scope.resolve_grants(view(spark, sf, "grants"), "viewer", "subject").write.parquet(grants)
+    seen, since = scope.scope_of(spark.read.parquet(grants), "viewer", "EUROPE"), days.first_day(NOW, 14)
+    tables = {
+        "cuff_readings": days.read_days(spark, paths["readings"], readings.schema, "uploader_phone_id", since, seen, parts=4),
+        "sessions": days.read_days(spark, paths["sessions"], owned.schema, "subject_id", since, seen, parts=4).drop("subject_id"),
+        "uploads": view(spark, sf, "uploads"),
+    }
+    return Series(tables, NOW, TZ, 14, seen).coverage
+
+
 @query(sql("sessions uploads readings", ATT + PLC + COV + " SELECT * FROM cov"))
 def c6_coverage_merge(spark, sf):
     return coverage(spark, sf)

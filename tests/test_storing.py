@@ -1,5 +1,6 @@
 """Landed bundles, merges, versions and streams on files."""
 
+import datetime
 import hashlib
 import json
 import os
@@ -8,12 +9,12 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from wavecohort.operators import merge
+from wavecohort.operators import merge, scope
 from wavecohort.plans import ingest
 from wavecohort.plans.waveforms import waveforms
 from wavecohort.schemas import FILL_ONCE, reconcile, schema_of
 from wavecohort.session import drop_intermediates, durable, shared_dir, shuffle_partitions_for
-from wavecohort.sources import buckets, bundles, snapshots
+from wavecohort.sources import buckets, bundles, days, snapshots
 from wavecohort.streaming import streams
 
 
@@ -313,6 +314,58 @@ def test_csv_notes_hold_line_breaks_and_only_a_first_row_is_a_header(spark, tmp_
     ], key=str)
 
 
+def test_a_scoped_look_back_opens_its_folders_only(spark, tmp_path):
+    rows = spark.range(3000).select(
+        F.concat(F.lit("p"), (F.col("id") % 30).cast("string")).alias("who"), (F.lit(1.7e9) + F.col("id") * 1000).alias("t"), F.col("id").alias("n")
+    ).unionByName(spark.createDataFrame([(None, 1.7e9, -1), ("", 1.7e9, -2), ("p1", None, -3)], "who string, t double, n long"))
+    path, now = str(tmp_path / "d"), 1.7e9 + 3e6
+    days.write_days(rows, path, days.day_of(F.col("t")), F.col("who"), 8)
+    spark.createDataFrame([("v", ["p1", "p2"]), ("w", ["unknown"]), ("all", ["*"]), ("none", [" "])], "viewer string, s array<string>").write.parquet(str(tmp_path / "g"))
+    grants = scope.resolve_grants(spark.read.parquet(str(tmp_path / "g")), "viewer", "s")
+    read = lambda who, since=None: days.read_days(spark, path, rows.schema, "who", since, who, 8)
+    seen = lambda viewer: scope.scope_of(grants, "viewer", viewer)
+    since = days.first_day(now, 14)
+    everything = rows.collect()
+    first = now - 15 * 86400
+    held = lambda names, bound: sorted(r.n for r in everything if r.who in names and (not bound or (r.t is not None and days_of(r.t) >= since)))
+    days_of = lambda t: datetime.datetime.fromtimestamp(t, datetime.timezone.utc).strftime("%Y-%m-%d")
+    numbers = lambda df: sorted(r.n for r in df.collect())
+    assert days_of(first) == since and numbers(read(seen("v"), since)) == held({"p1", "p2"}, True) == numbers(read(["p1", "p2"], since))
+    assert numbers(read(seen("v"))) == held({"p1", "p2"}, False) and -3 in numbers(read(["p1"]))
+    assert numbers(read(seen("w"))) == [-2, -1] == numbers(read(["unknown"]))
+    assert read(seen("all")).count() == read(None).count() == 3003 and read(seen("none")).count() == read([]).count() == 0
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("\n")[0]
+    by_grants, by_list = plan(read(seen("v"), since)), plan(read(["p1", "p2"], since))
+    assert "dynamicpruning" in by_grants and f"(_day#" in by_grants and since in by_grants
+    assert "_part#" in by_list and "dynamicpruning" not in by_list
+    # The scan that ran opened the parts of two subjects and the days of the look-back.
+    parts = {r[0] for r in spark.createDataFrame([("p1",), ("p2",)], "s string").select(days.part_of(F.col("s"), 8)).collect()}
+    files = {f for f in rows_files(path) if "__HIVE" not in f and any(f"_part={p}/" in f for p in parts) and f.split("_day=")[1][:10] >= since}
+    ran = read(seen("v"), since)
+    ran.collect()
+    scan = scans(ran)[0]
+    assert scan.metrics().apply("numFiles").value() == len(files) < len(rows_files(path)) / 3
+
+
+def rows_files(path):
+    return {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+
+def scans(df):
+    """The file scans of a plan that has run."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("Scan parquet"):
+            found.append(node)
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif node.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(node.plan())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return [n for n in found if n.metrics().contains("numFiles") and "_day" in n.toString()]
+
+
 def test_sensors_without_a_table_land_count_and_deduplicate(spark, tmp_path):
     root = tmp_path / "landing"
     fine = lambda uuid: json.dumps({"session_uuid": uuid, "started_at": 1.0, "rop_files": []})
