@@ -139,8 +139,8 @@ def halo(df: DataFrame, index: str, size: Column, before: Column, after: Column,
     return cut.withColumn(core, F.col(piece) == F.col("_own")).drop("_own")
 
 
-#: Binary digits by which a rank is narrowed down in one step, and so at most 2**12 counts of a key in one window.
-FAN_BITS = 12
+#: Binary digits by which a rank is narrowed down in one step, and so at most 2**13 counts of a key in one window.
+FAN_BITS = 13
 
 
 def rank_select(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column], width: float, fan_bits: int = FAN_BITS) -> DataFrame:
@@ -159,9 +159,9 @@ def rank_select(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str,
         "counts",
     )
     top = counts.agg(F.max(F.greatest(F.col("_band"), -F.col("_band") - 1))).first()[0] or 0
-    steps = [n * fan_bits for n in range(1 + max(0, int(top).bit_length() + 1 - fan_bits) // fan_bits + 1)]
+    above = -(-max(0, int(top).bit_length() + 1 - fan_bits) // fan_bits)
     tables = [counts.groupBy(*keys, "_band").agg(F.sum("_c").alias("_c")).withColumnRenamed("_band", "_d")]
-    for _ in steps[1:]:
+    for _ in range(above):
         up = F.shiftright("_d", fan_bits).alias("_d")
         tables.append(tables[-1].groupBy(*keys, up).agg(F.sum("_c").alias("_c")))
     by_key = Window.partitionBy(*keys)
