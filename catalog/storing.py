@@ -16,6 +16,7 @@ from wavecohort.plans.waveforms import waveforms
 from wavecohort.schemas import READING_WIRE_DDL, schema_of
 from wavecohort.session import durable, intermediate, prepare
 from wavecohort.sources import bundles, snapshots
+from wavecohort.sources.samples import SampleTable
 from wavecohort.functions.values import allowed_name, allowed_size, reading_key
 from wavecohort.streaming import stateful, streams
 
@@ -390,11 +391,11 @@ WAVE = f"""{PIDX}{BAND}{PEAK}, ev2 AS ({ENV.format(k='session_id', v='y', extra=
  asked AS (SELECT DISTINCT session_id FROM ppg UNION ALL SELECT -1)"""
 
 
-@query(sql("ppg", WAVE + """ SELECT a.session_id, a.session_id >= 0 AS found, points, lo_sum, hi_sum, n_beats, mean_bpm, beats_kept,
-   a.session_id >= 0 AND a.session_id % 2 = 0 AS has_gyro FROM asked a LEFT JOIN wp USING (session_id) LEFT JOIN wb USING (session_id)"""))
-def p3_waveforms(spark, sf):
-    ppg, motion = view(spark, sf, "ppg"), view(spark, sf, "motion")
-    ids = ppg.select("session_id").distinct()
+WAVE_SUMS = sql("ppg", WAVE + """ SELECT a.session_id, a.session_id >= 0 AS found, points, lo_sum, hi_sum, n_beats, mean_bpm, beats_kept,
+   a.session_id >= 0 AND a.session_id % 2 = 0 AS has_gyro FROM asked a LEFT JOIN wp USING (session_id) LEFT JOIN wb USING (session_id)""")
+
+
+def _wave_sums(ids: DataFrame, ppg: DataFrame, motion: DataFrame) -> DataFrame:
     asked = ids.unionByName(ids.select(F.lit(-1).alias("session_id")).distinct())
     known = ids.select(F.col("session_id").alias("id"), F.lit(0.0).alias("start_time"), F.lit("dev").alias("device_name"))
     out = waveforms(asked, known, ppg, motion, cap=500)
@@ -407,6 +408,26 @@ def p3_waveforms(spark, sf):
     )
 
 
+@query(WAVE_SUMS)
+def p3_waveforms(spark, sf):
+    ppg = view(spark, sf, "ppg")
+    return _wave_sums(ppg.select("session_id").distinct(), ppg, view(spark, sf, "motion"))
+
+
+@query(WAVE_SUMS)
+def p3_waveforms_stored(spark, sf):
+    """The same from samples stored in order, sent in two batches that interleave."""
+    prepare(spark, sf)
+    tables = []
+    for name, keys in (("ppg", ["session_id"]), ("motion", ["sensor", "session_id"])):
+        rows = view(spark, sf, name)
+        stored = SampleTable(spark, folder(spark, name), rows.schema, keys, buckets=8, slice_ns=30 * 10**9)
+        for late in (0, 1):
+            stored.append(rows.where(F.floor(F.col("timestamp_ns") / F.lit(7 * 10**9)) % 2 == late))
+        tables.append(stored.read())
+    return _wave_sums(view(spark, sf, "ppg").select("session_id").distinct(), *tables)
+
+
 SEEN = "session_id % 3 <> 2"
 ELEMENTS = f""", head AS (SELECT session_id, {SEEN} AS found, CASE WHEN {SEEN} THEN round(min(timestamp_ns) / 1e9, 3) END AS start_time,
    CASE WHEN {SEEN} THEN 'dev' || session_id % 4 END AS device_name FROM ppg GROUP BY 1 UNION ALL SELECT -1, FALSE, NULL, NULL),

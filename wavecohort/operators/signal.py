@@ -50,10 +50,11 @@ def sample_index(samples: DataFrame, keys: Sequence[str], columns: Sequence[str]
     ``fs`` is one over the median positive step between neighbours, 1.0 where there is none.
     The first and last values of ``columns`` come along as ``_first_*`` and ``_last_*``.
     Everything that concerns a whole recording is computed on one row per range and joined
-    to the samples of that range.
+    to the samples of that range. Samples that come with ``_chunk`` and ``_pos``, as stored ones do
+    (``sources/samples.py``), are neither shuffled nor written again.
     """
     keys = list(keys)
-    placed = ordered_chunks(samples, keys, [ts], "samples")
+    placed = samples if CHUNK in samples.columns else ordered_chunks(samples, keys, [ts], "samples")
     per_chunk = placed.groupBy(*keys, CHUNK).agg(
         F.count("*").alias("_c"),
         F.min(POS).alias("_p0"),
@@ -94,7 +95,10 @@ def sample_index(samples: DataFrame, keys: Sequence[str], columns: Sequence[str]
 
 def sample_rates(samples: DataFrame, keys: Sequence[str], ts: str = "timestamp_ns") -> DataFrame:
     """The rate ``fs`` of every recording, from its times alone; 1.0 where no step is positive."""
-    times = ordered_chunks(samples.select(*keys, ts), keys, [ts], "times")
+    if CHUNK in samples.columns:
+        times = samples.select(*keys, ts, CHUNK, POS)
+    else:
+        times = ordered_chunks(samples.select(*keys, ts), keys, [ts], "times")
     steps = previous(times, keys, {"_before": F.col(ts)}).select(*keys, (F.col(ts) - F.col("_before")).alias("step"))
     rated = times.select(*keys).distinct().join(sample_rate(steps, keys), list(keys), "left")
     return rated.withColumn("fs", F.coalesce("fs", F.lit(1.0)))
