@@ -142,3 +142,24 @@ def test_shards(make, odd, tmp_path):
 def test_no_shards(make, tmp_path):
     assert tokens.materialise(make([]), BPE, str(tmp_path / "none")).count() == 0
     assert tokens.read_slots(str(tmp_path / "none"), 0, 5).shape == (0, 1024)
+
+
+def test_pieces_of_many_documents_are_those_of_each():
+    size = np.array([1, 7, 8, 9, 16, 17, 40, 1])
+    row, piece, start, length = packing.cut_pieces(size, 8)
+    got = [(r, p, s, n) for r, p, s, n in zip(row.tolist(), piece.tolist(), start.tolist(), length.tolist())]
+    want = []
+    for r, n in enumerate(size.tolist()):
+        at = 0
+        for p, m in enumerate(packing.cut_lengths(n, 8)):
+            want.append((r, p, at, m))
+            at += m
+    assert got == want
+
+
+def test_white_space_beside_spaces_after_words_are_known():
+    encoder = Encoder(BPE)
+    texts = ["a few plain words", "a  few plain\n words ", " few", "", "words \n plain", "\nfew words", "few  words a" + "x" * 70]
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == want

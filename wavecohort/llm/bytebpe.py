@@ -2,7 +2,8 @@
 
 No token spans a single space between two words, so a text is cut at such spaces and the ids
 of each piece are looked up; pieces not met before are encoded together, in one call of
-``tokenizers``. The table of pieces has a fixed bound and is emptied when it is full.
+``tokenizers``. The table of pieces has a fixed bound; when it is full, the older half goes. It serves
+all tasks of a worker; ids don't depend on what it holds.
 """
 
 from __future__ import annotations
@@ -10,10 +11,12 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Sequence
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
-PIECES = 1_000_000
+PIECES = 700_000
 LONGEST = 64
 
 #: White space beside a space: such texts are cut by ``_SAFE``, all others by ``str.split``.
@@ -42,29 +45,50 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u2") for x in found]
 
-    def _learn(self, new: list[str]) -> None:
-        ids = np.concatenate(self._plain(["".join([" " + p for p in new[i : i + 100]]) for i in range(0, len(new), 100)]))
-        ends = np.cumsum([1 + len(p.encode()) for p in new])
-        cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
-        raw, at = ids.tobytes(), 0
-        for piece, to in zip(new, (cuts * 2).tolist()):
-            self.known[piece] = raw[at:to]
-            at = to
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of pieces after a space; those that may be known later are kept."""
+        alone = [p for p in new if len(p) > LONGEST or _blank_end(p)]
+        found = {p: ids.tobytes() for p, ids in zip(alone, self._plain([" " + p for p in alone]))}
+        if new := [p for p in new if p not in found]:
+            ids = np.concatenate(self._plain([" " + " ".join(new[i : i + 100]) for i in range(0, len(new), 100)]))
+            ends = np.cumsum([1 + len(p.encode()) for p in new])
+            cuts = (2 * np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 2).tolist()
+            raw = ids.tobytes()
+            fresh = dict(zip(new, [raw[at:to] for at, to in zip([0, *cuts], cuts)]))
+            if len(self.known) + len(fresh) > self.pieces:
+                self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
+            if len(self.known) + len(fresh) <= self.pieces:
+                self.known.update(fresh)
+            found |= fresh
+        return found
+
+    def _look_up(self, parts: list[str]) -> tuple[list[str], list[bytes | None], list[int]]:
+        """The pieces, their ids as far as known, and which are not; the first one is left to others."""
+        ids: list[bytes | None] = list(map(self.known.get, parts))
+        return parts, ids, [i for i, x in enumerate(ids) if x is None and i]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        cut = [t.split(" ") if not _RUNS.search(t) else [p[i > 0 :] for i, p in enumerate(_SAFE.split(t))] for t in texts]
-        known = self.known
-        new = {p for parts in cut for p in parts[1:] if p not in known}
-        alone = [p for p in new if not p or len(p) > LONGEST or p[0].isspace() or p[-1].isspace()]
-        odd = {p: ids.tobytes() for p, ids in zip(alone, self._plain([" " + p for p in alone]))}
-        if new := list(new - odd.keys()):
-            if len(known) + len(new) > self.pieces:
-                # The pieces of these texts that are known are dropped with the others.
-                known.clear()
-                new = list({p for parts in cut for p in parts[1:]} - odd.keys())
-            self._learn(new)
-        heads = [ids.tobytes() for ids in self._plain([parts[0] for parts in cut])]
-        if odd:
-            return [h + b"".join([known[p] if p in known else odd[p] for p in parts[1:]]) for h, parts in zip(heads, cut)]
-        get = known.__getitem__
-        return [h + b"".join(map(get, parts[1:])) for h, parts in zip(heads, cut)]
+        rows = [self._look_up(t.split(" ")) for t in texts]
+        new = {parts[i] for parts, _, gaps in rows for i in gaps}
+        # A space beside white space shows as a piece that is empty or has white space at an end; none such is kept.
+        if any(map(_blank_end, new)) or any(len(parts) > 1 and parts[0] and _blank_end(parts[0]) for parts, _, _ in rows):
+            for n, t in enumerate(texts):
+                if _RUNS.search(t):
+                    rows[n] = self._look_up([p[i > 0 :] for i, p in enumerate(_SAFE.split(t))])
+            new = {parts[i] for parts, _, gaps in rows for i in gaps}
+        found = self._learn(list(new))
+        for (parts, ids, gaps), head in zip(rows, self._plain([parts[0] for parts, _, _ in rows])):
+            ids[0] = head.tobytes()
+            for i in gaps:
+                ids[i] = found[parts[i]]
+        return [b"".join(ids) for _, ids, _ in rows]
+
+
+def _blank_end(piece: str) -> bool:
+    return not piece or piece.strip() != piece
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder."""
+    return Encoder(path)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wavecohort.llm.blocks import batch
-from wavecohort.llm.bytebpe import Encoder
+from wavecohort.llm.bytebpe import encoder as shared_encoder
 from wavecohort.session import durable
 
 CAPACITY = 1024
@@ -88,30 +88,42 @@ def cut_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
     return [rest] * (rest > 0) + [capacity] * whole
 
 
+def cut_pieces(size: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, number, start and length of every piece of documents of ``size`` tokens, cut as ``cut_lengths`` does."""
+    many = -(-size // capacity)
+    row = np.repeat(np.arange(len(size)), many)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    head = size - (many - 1) * capacity
+    start = np.where(piece == 0, 0, head[row] + (piece - 1) * capacity)
+    return row, piece, start, np.where(piece == 0, head[row], capacity)
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece, with its rank ``r`` among the pieces of its length in the task ``part``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ranks = Encoder(path), np.zeros(capacity + 1, np.int64)
-        part = TaskContext.get().partitionId()
+        encoder, ranks = shared_encoder(path), np.zeros(capacity + 1, np.int64)
+        part, end = TaskContext.get().partitionId(), np.array([END], "<u2").tobytes()
         for b in batches:
             for i in range(0, b.num_rows, TEXTS):
                 some = b.slice(i, TEXTS)
-                rows: list[tuple] = []
-                for row, raw in enumerate(encoder.encode(some.column(1).fill_null("").to_pylist())):
-                    ids = np.append(np.frombuffer(raw, "<u2"), END).astype("<u4")
-                    at = 0
-                    for piece, n in enumerate(cut_lengths(len(ids), capacity)):
-                        rows.append((row, piece, at, n, zlib.crc32(ids[at : at + n]), ranks[n]))
-                        ranks[n] += 1
-                        at += n
-                row, piece, start, n, crc, r = (np.array(x, np.int64) for x in zip(*rows))
+                raw = [ids + end for ids in encoder.encode(some.column(1).fill_null("").to_pylist())]
+                size = np.array([len(x) // 2 for x in raw])
+                row, piece, start, length = cut_pieces(size, capacity)
+                at = (np.cumsum(size) - size)[row] + start
+                ids = memoryview(np.frombuffer(b"".join(raw), "<u2").astype("<u4").tobytes())
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip((at * 4).tolist(), ((at + length) * 4).tolist())]
+                order = np.argsort(length, kind="stable")
+                sort = length[order]
+                r = np.empty(len(row), np.int64)
+                r[order] = ranks[sort] + np.arange(len(row)) - np.searchsorted(sort, sort)
+                ranks += np.bincount(length, minlength=capacity + 1)
                 yield batch(
                     doc_id=some.column(0).take(pa.array(row)),
                     piece=piece.astype(np.int32),
                     start=start,
-                    length=n,
-                    ids_crc32=crc,
+                    length=length,
+                    ids_crc32=np.array(crc, np.int64),
                     part=np.full(len(r), part, np.int64),
                     r=r,
                 )

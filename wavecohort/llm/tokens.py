@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from wavecohort.llm.blocks import batch, mixed
-from wavecohort.llm.bytebpe import Encoder
+from wavecohort.llm.bytebpe import encoder as shared_encoder
 from wavecohort.llm.packing import TEXTS
 from wavecohort.session import durable, shared_dir
 
@@ -73,7 +73,7 @@ def sequences(
     width = -(-domain // shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pack = Encoder(path), zstandard.ZstdCompressor(level=1)
+        encoder, pack = shared_encoder(path), zstandard.ZstdCompressor(level=1)
         part, end = TaskContext.get().partitionId(), np.array([END], "<u2").tobytes()
         if part >= PARTS:
             raise ValueError("too many tasks")
