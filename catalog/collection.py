@@ -383,6 +383,17 @@ def d10_table_totals(spark, sf):
     return c.table_totals(store(spark, sf), attributed(spark, sf), ["p01", "p05"])
 
 
+@query(sql("sessions uploads held_samples", ATT + """, ids AS (SELECT id FROM att WHERE subject_id IN ('p01', 'p05'))
+ SELECT 'sessions' AS table_name, count(*) AS row_count FROM ids
+ UNION ALL SELECT sensor, count(*) FROM held_samples WHERE session_id IN (SELECT id FROM ids) GROUP BY 1"""))
+def d10_sample_totals(spark, sf):
+    """Samples that lie in recordings, of each sensor."""
+    held = view(spark, sf, "held_samples")
+    tables = store(spark, sf) | {s: held.where(F.col("sensor") == s).drop("sensor") for s in ("ppg", "acc", "gyro")}
+    found = c.table_totals(tables, attributed(spark, sf), ["p01", "p05"])
+    return found.where(F.col("table_name").isin("sessions", "ppg", "acc", "gyro"))
+
+
 @query(sql("uploads readings", """ SELECT 'last_ingest_at' AS what, strftime(make_timestamp(CAST(round(max(completed_at) * 1e6) AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%f+00:00') AS at FROM uploads
  UNION ALL SELECT 'last_cuff_sync_at', strftime(make_timestamp(CAST(round(max(uploaded_at) * 1e6) AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%f+00:00') FROM readings"""))
 def d17_last_activity(spark, sf):
@@ -599,6 +610,22 @@ def f6_ranked_warnings(spark, sf):
     return rules.ranked(found)
 
 
+YOUNG = f"opened_at >= {NOW} - 900"
+
+
+@query(sql("sessions uploads readings minutes", ALL_STATE.replace(str(NOW), str(LATER)) + CLK + f", young AS (SELECT * FROM uploads WHERE {YOUNG})"
+  + BLG.replace("FROM uploads", "FROM young") + QLT + f""" , w AS ({SUBJECT_RULES_SQL} UNION ALL {STORE_RULES_SQL}) SELECT * FROM w"""))
+def f6_ranked_warnings_later(spark, sf):
+    """A store not fed for 25 days, with uploads in flight only: the age, buffer and in-flight rules fire."""
+    found = rules.all_warnings(
+        state(spark, sf, LATER),
+        c.clock_provenance(view(spark, sf, "readings")),
+        c.upload_backlog(view(spark, sf, "uploads").where(YOUNG), NOW),
+        c.usable_minutes(view(spark, sf, "minutes")),
+    )
+    return rules.ranked(found)
+
+
 @query(sql("sessions uploads readings", ALL_STATE + " SELECT * REPLACE (round(nearest_miss_s, 6) AS nearest_miss_s) FROM stt ORDER BY subject_id"))
 def f7_subject_state_sorted(spark, sf):
     return rounded(state(spark, sf), 6, "nearest_miss_s").orderBy("subject_id")

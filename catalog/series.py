@@ -64,10 +64,10 @@ BAND = """, band AS (SELECT p.reading_id, avg(m.hr_ppg) AS hr_ppg, avg(m.sqi) AS
   ON {key} abs(m.ts - p.t) <= 90 GROUP BY 1)"""
 
 
-def _bands(spark, sf, keys):
+def _bands(spark, sf, keys, minutes="minutes"):
     who = placed(spark, sf).select("reading_id", "subject_id", "t")
     near = intervals.band_average(
-        who, view(spark, sf, "minutes"), keys, "reading_id", "t", "ts", ["hr_ppg", "sqi"]
+        who, view(spark, sf, minutes), keys, "reading_id", "t", "ts", ["hr_ppg", "sqi"]
     )
     return rounded(near.select("reading_id", "hr_ppg", "sqi"), 5, "hr_ppg", "sqi")
 
@@ -82,6 +82,15 @@ def c4_band_average_by_subject(spark, sf):
     return _bands(spark, sf, ["subject_id"])
 
 
+NEAR = ", minutes AS (SELECT * FROM minutes_near)"
+
+
+@query(sql("readings minutes_near", NEAR + PLC + BAND.format(key="m.subject_id = p.subject_id AND") + " SELECT reading_id, round(hr_ppg, 5) AS hr_ppg, round(sqi, 5) AS sqi FROM band"))
+def c4_band_average_near(spark, sf):
+    """By subject, with minutes around most readings."""
+    return _bands(spark, sf, ["subject_id"], "minutes_near")
+
+
 @query(sql("sessions uploads readings grants", ATT + PLC + f""", sc AS (SELECT subject FROM grants WHERE viewer = 'EUROPE' AND trim(subject) <> ''),
  att2 AS (SELECT * FROM att WHERE start_time >= {NOW} - 14 * 86400 AND subject_id IN (FROM sc)),
  plc2 AS (SELECT * FROM plc WHERE wall_epoch >= {NOW} - 14 * 86400 AND subject_id IN (FROM sc))"""
@@ -134,6 +143,13 @@ def p2_pair_points(spark, sf):
     return rounded(found, 6, "ts")
 
 
+@query(sql("sessions uploads readings minutes_near", NEAR + ATT + PLC + GAP + HELD + BY_SUBJECT + " SELECT * REPLACE (round(ts, 6) AS ts) FROM prs"))
+def p2_pair_points_near(spark, sf):
+    """Pairs whose readings have minutes around them."""
+    found = trends.pair_points(placed(spark, sf), attributed(spark, sf), view(spark, sf, "minutes_near"))
+    return rounded(found, 6, "ts")
+
+
 @query(sql("sessions uploads readings minutes", ATT + PLC + GAP + HELD + BY_REF + " SELECT * REPLACE (round(ts, 6) AS ts) FROM prs"))
 def p2_pair_points_all_minutes(spark, sf):
     found = trends.pair_points(

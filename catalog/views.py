@@ -96,6 +96,19 @@ VIEWS = {
                   coalesce(nullif(subject, ''), 'unknown') AS subject_id
            FROM ev WHERE event_type = 'click'""",
     ),
+    "minutes_near": (
+        ("ev",),
+        """SELECT epoch - 3600 + (k - 50) * CAST(3 AS DOUBLE) + n AS ts, 40 + value / 4 + n AS hr_ppg,
+                  CASE WHEN k = 13 THEN CAST('NaN' AS DOUBLE) ELSE k / CAST(100 AS DOUBLE) END AS sqi,
+                  coalesce(nullif(subject, ''), 'unknown') AS subject_id
+           FROM ev CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 20 UNION ALL SELECT 45) x WHERE event_type = 'purchase'""",
+    ),
+    "held_samples": (
+        ("ev",),
+        """SELECT event_id - 1 - k % 3 AS session_id, event_id AS timestamp_ns,
+                  CASE event_type WHEN 'click' THEN 'ppg' WHEN 'error' THEN 'acc' ELSE 'gyro' END AS sensor
+           FROM ev WHERE event_type <> 'view'""",
+    ),
     "notes": (
         ("ev",),
         """SELECT event_id - event_id % 5 AS session_id, epoch AS ts,
