@@ -135,3 +135,11 @@ def test_a_text_that_fills_a_language_is_drawn_once(sent, monkeypatch):
     rows = [(1, "always the same text", "en")] * 5000 + [(i, f"text {i}", "en") for i in range(300)] + [(2, "mot", "fr")] * 3
     langid.train(sent.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert drawn == [{"en": 250, "fr": 1}]
+
+
+def test_every_language_is_learned(sent, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(langid, "fit", lambda langs, slots, shares: drawn.append(Counter(langs)))
+    rows = [(n * 10 + i, f"text {i} of {n}", f"l{n}") for n in range(900) for i in range(1 + n % 4)]
+    langid.train(sent.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert drawn == [{f"l{n}": min(2, 1 + n % 4) for n in range(900)}]

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +16,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wavecohort.llm.blocks import LOWER, SPACE, Block, batch, blocks
 
-#: Bounds of the training sample: texts of one language, of all, and languages (the most frequent ones).
+#: Bounds of the training sample: texts of one language, and of all as long as there are two of each language.
 PER_LANGUAGE = 250
 TOTAL = 1500
-LANGUAGES = 200
 #: Hashed features of each gram length.
 SLOTS = 1 << 13
 UNKNOWN = "und"
@@ -189,17 +187,17 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", draw: str = "
     """Train on at most ``TOTAL`` texts (or two of each language, if that is more); None if there is nothing to learn from.
 
     Of each language those with the smallest hashes of ``draw`` and text are taken; copies that
-    agree in both count once. Rows without language and texts without letters are left out. Counts of
-    the most frequent ``LANGUAGES`` languages and the sample's features come to the driver.
+    agree in both count once. Rows without language and texts without letters are left out. Every language is learned;
+    one count for each and the sample's features come to the driver.
     """
     place = F.shiftrightunsigned(F.xxhash64(draw, text), 1)
     known = docs.where(F.col(lang).isNotNull() & lettered(text))
-    known = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), place.alias("place"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    known = known.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), place.alias("place"))
+    counts = known.groupBy("lang").count().collect()  # one row per language
     if not counts:
         return None
     cuts = _cuts(known, {r[0]: r[1] for r in counts}, max(2, min(PER_LANGUAGE, TOTAL // len(counts))))
-    sample = known.where(_below(cuts)).groupBy("lang", "place").agg(F.min("text").alias("text"))
+    sample = _below(known, cuts).groupBy("lang", "place").agg(F.min("text").alias("text"))
     kind = "lang string, place long, slot array<int>, share array<float>"
     rows = sample.mapInArrow(_features, kind).toArrow()
     langs = rows["lang"].to_pylist()
@@ -208,8 +206,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", draw: str = "
     return fit([langs[i] for i in order], take("slot"), take("share"))
 
 
-def _below(cuts: dict[str, int]) -> Column:
-    return reduce(lambda a, c: a | ((F.col("lang") == c[0]) & (F.col("place") <= c[1])), cuts.items(), F.lit(False))
+def _below(known: DataFrame, cuts: dict[str, int]) -> DataFrame:
+    """Rows up to the cut of their language."""
+    bounds = pa.table({"lang": pa.array(list(cuts), pa.string()), "cut": pa.array(list(cuts.values()), pa.int64())})
+    return known.join(known.sparkSession.createDataFrame(bounds), "lang").where("place <= cut").drop("cut")
 
 
 def _cuts(known: DataFrame, counts: dict[str, int], most: int) -> dict[str, int]:
@@ -221,7 +221,7 @@ def _cuts(known: DataFrame, counts: dict[str, int], most: int) -> dict[str, int]
     last, cuts, share = (1 << 63) - 1, {}, 4 * most + 64
     order = Window.partitionBy("lang").orderBy("place")
     while left := {k: n for k, n in counts.items() if k not in cuts}:
-        near = known.where(_below({k: last * min(share, n) // n for k, n in left.items()})).select("lang", "place")
+        near = _below(known, {k: last * min(share, n) // n for k, n in left.items()}).select("lang", "place")
         ranked = near.distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
         found = ranked.groupBy("lang").agg(F.max("place"), F.count("*")).collect()
         cuts |= {k: cut for k, cut, n in found if n == most}
