@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -252,3 +253,17 @@ def test_batches_that_cut_a_band_or_an_anchor(sent, make):
         assert {r.component_id for r in anchors.near_duplicates(make(near)).collect()} == {0}
     finally:
         sent.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_many_equal_rows_are_told_their_lines_once(make, doc_id):
+    seen = [f"line {n} with words of its own {n * 7919}" for n in range(20)]
+    text = "\n".join([*seen, "a last line that nobody else has"])
+    first = -5 if doc_id is None else 1
+    rows = [(doc_id, text)] * 300 + [(first, "\n".join(seen))]
+    out = lines.deduplicated(make(rows))
+    got = Counter((r.doc_id, r.text, r.n_removed) for r in out.collect())
+    if doc_id is None:  # rows without doc_id come first
+        assert got == {(None, text, 0): 1, (None, "", 21): 299, (first, "", 20): 1}
+    else:
+        assert got == {(7, "a last line that nobody else has", 20): 1, (7, "", 21): 299, (first, "\n".join(seen), 0): 1}

@@ -315,7 +315,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     several = several.select("id", "component").join(least, "component").select("id", F.col("kept").alias("first"))
     keep = durable(single.unionByName(several), "kept")
     gone = occurrences.join(keep, "id").where(place != F.col("first"))
-    gone = gone.groupBy("doc", "version").agg(F.collect_list("line").alias("gone"))
+    # Rows equal in id and text have the same lines; their numbers are told once for all.
+    gone = gone.select("doc", "version", "line").distinct().groupBy("doc", "version").agg(F.collect_list("line").alias("gone"))
 
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("rest")
     rows = docs.select(_key(doc_id).alias("doc"), F.xxhash64(text).alias("version"), F.col(text).alias("text"), rest)
