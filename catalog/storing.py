@@ -533,6 +533,20 @@ def k3_run_stream(spark, sf):
     return rounded(runs, 6, "first_ts", "last_ts")
 
 
+@query(sql("minutes", """, doubled AS (SELECT subject_id, ts FROM minutes UNION ALL SELECT 'hot', ts FROM minutes),
+  st AS (SELECT subject_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY subject_id ORDER BY ts) > 600 THEN 1 ELSE 0 END AS f FROM doubled),
+  rn AS (SELECT *, sum(f) OVER (PARTITION BY subject_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM st)
+  SELECT subject_id, round(min(ts), 6) AS first_ts, round(max(ts), 6) AS last_ts, count(*) AS points FROM rn GROUP BY subject_id, run"""))
+def k3_hot_subject_runs(spark, sf):
+    """One subject holds half of all rows; a last tick of another one lets the watermark pass every run."""
+    minutes = view(spark, sf, "minutes").select("subject_id", "ts")
+    rows = minutes.unionByName(minutes.withColumn("subject_id", F.lit("hot")))
+    tick = minutes.groupBy(F.lit("tick").alias("subject_id")).agg((F.max("ts") + 86400.0).alias("ts"))
+    stream = _by_time(spark, rows.unionByName(tick), "hot-minutes", "ts")
+    runs = _to_table(spark, stateful.sliced_runs(stream, ("subject_id",), 600))
+    return rounded(runs, 6, "first_ts", "last_ts")
+
+
 def _by_time(spark, rows: DataFrame, name: str, time: str) -> DataFrame:
     """A stream of three batches in time order, each a folder that is landed after the one before."""
     root, cuts = folder(spark, name), (NOW - 20 * 86400, NOW - 10 * 86400, float("inf"))

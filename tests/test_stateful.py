@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import random
 import time
 
 import pytest
@@ -145,3 +146,57 @@ def test_a_file_sent_twice_is_told_once_and_one_that_never_comes_is_missing_once
     assert run([("far.rop", "x", 9000)], [])[0]["d.rop"] == "missing"
     _, rows, last = run([("a.rop", "x", 9001)], [])
     assert [(r.name, r.verdict) for r in rows if r.batch == last and r.name == "a.rop"] == [("a.rop", "undeclared")]
+
+
+def run_slices(spark, tmp_path, rows, gap, width, late="30 seconds"):
+    """Runs after one more batch of rows; each call is a restart."""
+    arrive(spark, tmp_path / "in", rows, ROWS)
+    runs = stateful.sliced_runs(spark.readStream.schema(ROWS).parquet(str(tmp_path / "in")), ("subject_id",), gap, width, late)
+    running = runs.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out"))
+    running.awaitTermination()
+    assert running.exception() is None
+    state = {o["operatorName"]: o["numRowsTotal"] for o in running.lastProgress["stateOperators"]} if running.lastProgress["stateOperators"] else {}
+    out = spark.read.schema(runs.schema).parquet(str(tmp_path / "out")).collect()
+    return sorted(((r.subject_id, r.first_ts, r.last_ts, r.points) for r in out), key=str), state
+
+
+def looped_runs(rows, gap):
+    want, by = [], {}
+    for k, t in rows:
+        by.setdefault(k, []).append(t)
+    for k, times in by.items():
+        times.sort()
+        cuts = [0, *[i for i in range(1, len(times)) if times[i] - times[i - 1] > gap], len(times)]
+        want += [(k, times[a], times[b - 1], b - a) for a, b in zip(cuts, cuts[1:])]
+    return sorted(want, key=str)
+
+
+@pytest.mark.parametrize("width", [60, 7])
+def test_runs_of_one_hot_subject_equal_a_loop(spark, tmp_path, width):
+    draw, times, t = random.Random(width), [], 500.0
+    for _ in range(1500):
+        t += draw.choice([0, 1, 1, 5, 10, 10, 10.5, 40, 200])
+        times.append(t)
+    rows = [("hot", x) for x in times] + [("b", x) for x in times[::50]] + [(None, times[5])]
+    for part in range(3):
+        low, high = times[500 * part], times[500 * part + 500] if part < 2 else float("inf")
+        sent = [r for r in rows if (low <= r[1] or not part) and r[1] < high]
+        draw.shuffle(sent)
+        # The last batch brings a tick of another subject that lets the watermark pass all runs.
+        got, state = run_slices(spark, tmp_path, sent + ([("tick", t + 1000), ("b", None)] if part == 2 else []), 10, width)
+    assert got == looped_runs(rows, 10)
+    assert sum(state.values()) <= 2  # what is final is no longer held
+
+
+def test_a_run_is_stitched_at_borders_and_told_once_final(spark, tmp_path):
+    # Slices of 100 s. A step of exactly the gap over a border joins, one microsecond more does not; a run may
+    # cross several borders; what ends within its slice is told as soon as the watermark has passed the gap.
+    first = [("x", 95.0), ("x", 105.0), ("y", 195.0), ("y", 205.000001), ("in", 150.0), ("in", 151.0)] + [("long", float(s)) for s in range(90, 420, 10)]
+    got, _ = run_slices(spark, tmp_path, first + [("tick", 230.0)], 10, 100, "0 seconds")
+    assert ("in", 150.0, 151.0, 2) in got and not any(r[0] == "long" for r in got)
+    got, _ = run_slices(spark, tmp_path, [("tick", 260.0), ("tick", 2000.0)], 10, 100, "0 seconds")
+    want = looped_runs(first, 10)
+    assert [r for r in got if r[0] != "tick"] == want and ("x", 95.0, 105.0, 2) in want and len([r for r in want if r[0] == "y"]) == 2
+    # What comes after a run was told, far behind the watermark, is dropped and tells nothing twice.
+    again, _ = run_slices(spark, tmp_path, [("x", 100.0), ("tick", 3000.0)], 10, 100, "0 seconds")
+    assert [r for r in again if r[0] != "tick"] == want

@@ -267,3 +267,75 @@ def fold_verdicts(spark: SparkSession, root: str) -> None:
     """Fold the logged verdicts into the buckets of their files."""
     kept = StructType.fromDDL(VERDICT_DDL + ", batch bigint")
     buckets.fold(spark, root, kept, StructType.fromDDL(VERDICT_DDL), ["upload", "name"], _last_told)
+
+
+# ---- runs of hot subjects: slices first, then what meets at their borders
+
+def _stitcher(schema: StructType, gap_us: int, slice_us: int) -> StatefulProcessor:
+    keys = schema.names[:-3]
+
+    class Stitch(StatefulProcessor):
+        """The run of a subject that may still go on in the next slice, and a timer for when it cannot."""
+
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("run", "first bigint, last bigint, points bigint, first_ts double, last_ts double, due bigint")
+
+        def _run(self, key, run) -> Row:
+            return Row(**dict(zip(keys, key)), first_ts=run[3], last_ts=run[4], points=run[2])
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+            pieces = ((r.first, r.last, r.points, r.first_ts, r.last_ts) for r in rows)
+            if key[-1] is not None:  # inside its slice, nothing can join it
+                yield from (self._run(key, p) for p in pieces)
+                return
+            held = self.state.get()
+            run, due = (held[:5], held[5]) if held else (None, None)
+            for p in sorted(pieces):
+                if run is not None and p[0] - run[1] <= gap_us:
+                    run = (min(run[0], p[0]), max(run[1], p[1]), run[2] + p[2], min(run[3], p[3]), max(run[4], p[4]))
+                else:
+                    if run is not None:
+                        yield self._run(key, run)
+                    run = p
+            # What still joins begins within the gap and ends with its slice; then its own gap passes.
+            wanted = (run[1] + 2 * gap_us + slice_us) // 1000 + 2
+            if wanted != due:
+                if due is not None:
+                    self.handle.deleteTimer(due)
+                self.handle.registerTimer(wanted)
+            self.state.update((*run, wanted))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+            yield self._run(key, self.state.get())
+            self.state.clear()
+
+        def close(self) -> None:
+            pass
+
+    return Stitch()
+
+
+def sliced_runs(stream: DataFrame, keys: tuple[str, ...], gap_s: int, slice_s: int = 3600, late: str = "2 hours") -> DataFrame:
+    """``recording_runs`` for keys that may hold most of all rows: runs of each time slice, stitched at its borders.
+
+    ``stream`` has ``keys`` and ts. A first operator keeps the open runs of each (key, slice), so that a key is spread over its
+    slices. The second gets one row for each such run: those further than ``gap_s`` from both borders are final and
+    are dealt by slice too; the others, at most three a slice, meet by key, where one open run is held, not
+    the key's rows. A run that ends near a border is given once the watermark has passed its end by twice the gap and a slice,
+    any other once it has passed it by the gap. Runs still open when the stream ends are not given yet. Null keys
+    are one key; rows without a time are left out, and those more than ``late`` behind, times before 1970 among them.
+    """
+    gap_us, slice_us = gap_s * 10**6, slice_s * 10**6
+    timed = stream.select(*keys, F.col("ts").cast("double").alias("ts")).withColumn("at", F.timestamp_micros(F.round(F.col("ts") * 1e6).cast("bigint")))
+    micros = F.unix_micros("at")
+    sliced = timed.withWatermark("at", late).withColumn("slice", micros - F.pmod(micros, F.lit(slice_us)))
+    # One microsecond more keeps a step of exactly the gap inside the run.
+    pieces = sliced.groupBy(F.session_window("at", f"{gap_s} seconds 1 microsecond"), *keys, "slice").agg(
+        F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("points"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
+    first, last = F.unix_micros("first"), F.unix_micros("last")
+    inside = (first - F.col("slice") > gap_us) & (F.col("slice") + slice_us - last > gap_us)
+    pieces = pieces.select("session_window", *keys, F.when(inside, F.col("slice")).alias("inner"), first.alias("first"), last.alias("last"), "points", "first_ts", "last_ts")
+    schema = StructType([*stream.select(*keys).schema.fields, *StructType.fromDDL("first_ts double, last_ts double, points bigint").fields])
+    return pieces.groupBy(*keys, "inner").transformWithState(_stitcher(schema, gap_us, slice_us), schema, "Append", "EventTime")
