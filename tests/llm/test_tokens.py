@@ -139,6 +139,38 @@ def test_shards(make, odd, tmp_path):
     assert counts[:50256].sum() == 0 and (counts[:50256] == 0).all()
 
 
+@pytest.mark.parametrize("room", [500, 1 << 20])
+def test_slots_do_not_depend_on_the_split(make, odd, tmp_path, monkeypatch, room):
+    monkeypatch.setattr(tokens, "CHUNK", room)
+    rows = odd + list(enumerate(TEXTS, 100))
+    stream = [np.array([*x, tokens.END]) for _, x in sorted(zip([-1 if i is None else i for i, _ in rows], reference_ids([t or "" for _, t in rows])), key=lambda r: r[0])]
+    owner = np.repeat(sorted(-1 if i is None else i for i, _ in rows), [len(x) for x in stream])
+    stream = np.concatenate(stream)
+    n = -(-len(stream) // 64)
+    want = np.full((n, 64), tokens.END)
+    for q, slot in enumerate(tokens.slots(np.arange(n), n).tolist()):
+        some = stream[q * 64 : q * 64 + 64]
+        want[slot, : len(some)] = some
+    first = dict(zip(tokens.slots(np.arange(n), n).tolist(), owner[::64].tolist()))
+    draw = np.random.default_rng(6)
+    for parts in (2, 5, 9):
+        folder = str(tmp_path / f"in{parts}")
+        mixed = [rows[i] for i in draw.permutation(len(rows))] if parts > 2 else rows
+        got = tokens.materialise(make(mixed).repartition(parts), BPE, folder, stride=64, shard=20_000).collect()
+        assert (tokens.read_slots(folder, 0, n + 9) == want).all() and len(got) == n
+        assert {r.slot: -1 if r.first_doc_id is None else r.first_doc_id for r in got} == first
+        assert sum(r.filled for r in got) == len(stream) and sorted(r.filled for r in got)[1] == 64
+
+
+def test_rows_equal_in_id_or_without_one_spread_and_stay_whole(make, tmp_path):
+    rows = [(None, "the same text again")] * 300 + [(7, "the same text again")] * 300 + [(8, f"text {i}") for i in range(200)]
+    for parts in (3, 8):
+        folder = str(tmp_path / f"in{parts}")
+        got = tokens.materialise(make(rows).repartition(parts), BPE, folder, stride=16, shard=512).collect()
+        assert sum(r.filled for r in got) == sum(len(x) + 1 for x in reference_ids([t for _, t in rows]))
+    assert (tokens.read_slots(str(tmp_path / "in3"), 0, 9999) == tokens.read_slots(str(tmp_path / "in8"), 0, 9999)).all()
+
+
 def test_no_shards(make, tmp_path):
     assert tokens.materialise(make([]), BPE, str(tmp_path / "none")).count() == 0
     assert tokens.read_slots(str(tmp_path / "none"), 0, 5).shape == (0, 1024)
