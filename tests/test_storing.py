@@ -13,7 +13,7 @@ from wavecohort.operators import merge, scope
 from wavecohort.plans import ingest
 from wavecohort.plans.waveforms import waveforms
 from wavecohort.schemas import FILL_ONCE, reconcile, schema_of
-from wavecohort.session import drop_intermediates, durable, shared_dir, shuffle_partitions_for
+from wavecohort.session import drop_intermediates, durable, intermediate_table, shared_dir, shuffle_partitions_for
 from wavecohort.sources import buckets, bundles, days, snapshots
 from wavecohort.streaming import streams
 
@@ -273,8 +273,12 @@ def test_sizes_and_cleanup(spark):
     kept = durable(spark.range(3), "three")
     path = kept.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
     assert os.path.isdir(path)
+    table = intermediate_table(spark, "four")
+    spark.range(4).write.saveAsTable(table)
+    assert spark.table(table).count() == 4
+    drop_intermediates(spark)
+    assert not os.path.isdir(path) and not spark.catalog.tableExists(table)
     drop_intermediates(spark)
-    assert not os.path.isdir(path)
 
 
 def land_csv(root, name, manifest, rows, notes=None):

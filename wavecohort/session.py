@@ -36,6 +36,7 @@ RUNTIME_CONF = {
 PARTITION_BYTES = 64 * 1024 * 1024
 
 _written: dict[str, list[str]] = {}
+_tables: dict[str, list[str]] = {}
 
 
 def shuffle_partitions_for(input_bytes: int, at_least: int) -> int:
@@ -91,6 +92,13 @@ def intermediate(spark: SparkSession, name: str) -> str:
     return path
 
 
+def intermediate_table(spark: SparkSession, name: str) -> str:
+    """A new name of a table in the warehouse, which ``drop_intermediates`` drops."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(table)
+    return table
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of the written table.
 
@@ -105,7 +113,9 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_intermediates(spark: SparkSession) -> None:
-    """Delete the tables this application wrote with ``durable``, once its results are stored."""
+    """Delete the intermediate tables and folders of this application, once its results are stored."""
+    for table in _tables.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS `{table}`")
     for path in _written.pop(spark.sparkContext.applicationId, []):
         fs, at = _hadoop(spark, path)
         fs.delete(at, True)
