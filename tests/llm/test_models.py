@@ -143,3 +143,16 @@ def test_every_language_is_learned(sent, monkeypatch):
     rows = [(n * 10 + i, f"text {i} of {n}", f"l{n}") for n in range(900) for i in range(1 + n % 4)]
     langid.train(sent.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert drawn == [{f"l{n}": min(2, 1 + n % 4) for n in range(900)}]
+
+
+def test_counts_beyond_32_bits_are_kept(tmp_path):
+    import pyarrow as pa
+
+    keys, counts = np.array([3, 9], np.uint64), np.array([5 << 31, 7])
+    sent = pa.Table.from_batches([kneser._sent(np.zeros(2, np.int64), 1, keys, counts)] * 2)
+    got, sums = kneser._gathered(sent, np.uint64)
+    assert got.tolist() == [3, 9] and sums.tolist() == [5 << 32, 14]
+    words = kneser.Words(str(tmp_path), [10], 1)
+    kneser._keep_pairs(words)((pa.scalar(0),), sent)
+    model = kneser.Model(words, 1, [2], [1, 1, 1, 1, 0, 0, 0], [1, 1, 1, 1, 0, 1])
+    assert model._counted(keys, np.zeros(2, np.int64)).tolist() == [5 << 32, 14]

@@ -50,3 +50,27 @@ def test_tables_without_labels_keep_their_documents(sent, tmp_path):
     docs = sent.read.parquet(f"{folder}/documents.parquet")
     assert sorted(r.doc_id for r in corpus_pipeline.language(sent, docs, folder).collect()) == [1, 4]
     assert sorted(r.doc_id for r in corpus_pipeline.run(sent, folder).collect()) == [1, 4]
+
+
+def test_columns_of_the_input_keep_their_values(sent, tmp_path):
+    own = ["n_removed", "n_lines", "n_words", "lang_pred", "lang_score", "carried", "rest", "doc", "copy"]
+    same = "one line that comes again and again\nand another line below it"
+    rows = [(i, t, "en", "s", len(t or ""), *[f"{c} {i}" for c in own]) for i, t in
+            [(1, same), (2, same), (2, same), (None, "no id here but words"), (None, "no id here either, other words"), (3, None), (4, ""), (5, "w " * 3000)]]
+    folder, fields = str(tmp_path), FIELDS + "".join(f", {c} string" for c in own)
+    sent.createDataFrame(rows, fields).write.parquet(f"{folder}/documents.parquet")
+    docs = sent.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(sent, docs, folder)
+        assert out.columns == docs.columns
+        out.write.parquet(f"{folder}/{name}")
+        docs = sent.read.parquet(f"{folder}/{name}")
+        assert all(getattr(r, c) == f"{c} {r.doc_id}" for r in docs.collect() for c in own), name
+        assert docs.where("doc_id is null").count() == 2, name
+    assert corpus_pipeline.pack(sent, docs, folder).where("doc_id is null").count() == 2
+
+
+def test_an_empty_table(sent, tmp_path):
+    folder = str(tmp_path)
+    sent.createDataFrame([], FIELDS).write.parquet(f"{folder}/documents.parquet")
+    assert corpus_pipeline.run(sent, folder).count() == 0

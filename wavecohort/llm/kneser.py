@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from wavecohort.llm.blocks import Block, batch, blocks, mixed
-from wavecohort.session import shared_dir
+from wavecohort.session import durable, intermediate
 
 BLOCK = 1 << 23
 #: Tokens a task counts before it sends what it has.
@@ -83,15 +83,15 @@ def _sent(shard: np.ndarray, shards: int, keys: np.ndarray, *counts: np.ndarray)
     rows = [(keys[cut[s] : cut[s + 1]], *[c[cut[s] : cut[s + 1]] for c in counts]) for s in full]
     columns = {"shard": full.astype(np.int64), "keys": [_packed(r[0]) for r in rows]}
     for n in range(len(counts)):
-        columns[f"c{n}"] = [_packed(r[n + 1].astype(np.uint32)) for r in rows]
+        columns[f"c{n}"] = [_packed(r[n + 1].astype(np.int64)) for r in rows]
     return batch(**{k: v if k == "shard" else pa.array(v, pa.binary()) for k, v in columns.items()})
 
 
 def _gathered(table: pa.Table, kind: type) -> tuple[np.ndarray, ...]:
-    """All rows of one shard added up; 32-bit counts become 64-bit."""
+    """All rows of one shard added up."""
     keys = np.concatenate([_unpacked(x.as_py(), kind) for x in table.column("keys")])
     names = [n for n in table.column_names if n[0] == "c"]
-    return added(keys, *[np.concatenate([_unpacked(x.as_py(), np.uint32) for x in table.column(n)]).astype(np.int64) for n in names])
+    return added(keys, *[np.concatenate([_unpacked(x.as_py(), np.int64) for x in table.column(n)]) for n in names])
 
 
 def _store(where: str, name: str, x: np.ndarray) -> None:
@@ -255,7 +255,7 @@ def _keep_pairs(words: Words):
         shard = key[0].as_py()
         keys, counts = _gathered(table, np.uint64)
         _store(words.where, f"pairs-{shard}", keys)
-        _store(words.where, f"pair-counts-{shard}", counts.astype(np.uint32))
+        _store(words.where, f"pair-counts-{shard}", counts)
         previous, word = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         inner = previous < words.start
         one, two, more = [((counts == 1) & inner), ((counts == 2) & inner), ((counts > 2) & inner)]
@@ -310,7 +310,7 @@ class Model:
 
     @cached_property
     def pair_counts(self) -> list[np.ndarray]:
-        return self._pair("pair-counts", np.uint32)
+        return self._pair("pair-counts", np.int64)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("pair_") or k == "pair_sizes"}
@@ -377,12 +377,13 @@ def _path(folder: str) -> str:
 
 
 def train(texts: DataFrame, text: str = "text", folder: str | None = None) -> Model:
-    """Count the model of one column of texts into ``folder`` (a new one in the shared folder by default).
+    """Count the model of one column of texts into ``folder`` (by default a new one in the shared
+    folder, which ``drop_intermediates`` removes).
 
     A null text is empty and counts one end. To the driver come a few numbers for each shard.
     """
     spark = texts.sparkSession
-    where = _path(folder or f"{shared_dir(spark)}/bigrams-{uuid.uuid4().hex}")
+    where = _path(folder or intermediate(spark, "bigrams"))
     os.makedirs(where, exist_ok=True)
     texts = texts.select(F.col(text).alias("text"))
     n, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -398,9 +399,7 @@ def train(texts: DataFrame, text: str = "text", folder: str | None = None) -> Mo
     sent = texts.mapInArrow(_count_pairs(words, pair_shards), "shard long, keys binary, c0 binary")
     columns = "shard long, keys binary, c0 binary, c1 binary, c2 binary, c3 binary"
     told = sent.groupBy("shard").applyInArrow(_keep_pairs(words), f"{columns}, pair_shard long, facts array<long>")
-    told_path = f"{shared_dir(spark)}/tables/around-{uuid.uuid4().hex}"
-    told.write.parquet(told_path)
-    told = spark.read.schema(told.schema).parquet(told_path)
+    told = durable(told, "around")
     facts = told.groupBy("pair_shard").agg(F.first("facts").alias("facts")).collect()
     pair_sizes = {r.pair_shard: r.facts[7] for r in facts}
     pairs = np.sum([r.facts for r in facts], axis=0).tolist() if facts else [0] * 8

@@ -10,7 +10,8 @@ from wavecohort.session import prepare
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return ship(prepare(spark)).read.parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    return ship(prepare(spark, path)).read.parquet(path)
 
 
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:

@@ -10,7 +10,6 @@ Where stretches of one seed differ, and only there, single windows are compared.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wavecohort.llm.blocks import SPACE, Block, batch, blocks, gram_hashes, prefix, ranges, signed
-from wavecohort.session import durable
+from wavecohort.session import durable, intermediate_table
 
 WINDOW = 20
 SEED = 5
@@ -153,7 +152,7 @@ def _bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     """``df`` written once, dealt by ``key``, so that several joins on it don't move it again."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"{name}_{uuid.uuid4().hex}"
+    table = intermediate_table(spark, name)
     writer = df.repartition(parts, key).write.bucketBy(parts, key).option("compression", "zstd")
     writer.saveAsTable(table)
     return spark.table(table)
