@@ -27,13 +27,38 @@ def reference_ids(texts):
     return [x.ids for x in known.encode_batch(texts, add_special_tokens=False)]
 
 
-@pytest.mark.parametrize("room", [3, 1000])
-def test_byte_bpe(room):
-    encoder = Encoder(BPE, pieces=room)
+@pytest.mark.parametrize("fast", [True, False])
+def test_byte_bpe(fast):
+    encoder = Encoder(BPE, fast=fast)
+    assert (encoder.by_rank is not None) == fast
     for some in (TEXTS, TEXTS[::-1], TEXTS[5:9]):
         assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(some)] == reference_ids(some)
 
 
+def test_every_code_point_has_the_ids_of_the_library():
+    encoder = Encoder(BPE)
+    points = [c for c in range(0x32000) if not 0xD800 <= c <= 0xDFFF] + list(range(0xE0000, 0xE0200))
+    for i in range(0, len(points), 10_000):
+        some = [f"a{c}b1{c}2!{c}! {c} {c}{c} \n{c}  a '{c}s" for c in map(chr, points[i : i + 10_000])]
+        assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(some)] == reference_ids(some)
+
+
+@pytest.mark.parametrize("text", ["x" * 200_000, " " * 2_000_000 + "a", "a" + "\n" * 300_000, "!" * 200_000, "漢字" * 50_000, " \t" * 40_000 + "x"])
+def test_long_runs_have_the_ids_of_the_library(text):
+    assert np.frombuffer(Encoder(BPE).encode([text])[0], "<u2").tolist() == reference_ids([text])[0]
+
+
+def test_files_that_ranks_could_read_otherwise_are_left_to_the_library(tmp_path):
+    import json
+
+    with open(BPE, encoding="utf-8") as f:
+        spec = json.load(f)
+    merges = spec["model"]["merges"]
+    merges[0], merges[9] = merges[9], merges[0]
+    (tmp_path / "other.json").write_text(json.dumps(spec), encoding="utf-8")
+    assert Encoder(str(tmp_path / "other.json")).by_rank is None
+
+
 @pytest.mark.parametrize("room", [3, 1000])
 def test_sentencepiece(room):
     import sentencepiece
@@ -192,6 +217,6 @@ def test_pieces_of_many_documents_are_those_of_each():
 def test_white_space_beside_spaces_after_words_are_known():
     encoder = Encoder(BPE)
     texts = ["a few plain words", "a  few plain\n words ", " few", "", "words \n plain", "\nfew words", "few  words a" + "x" * 70]
-    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    want = reference_ids(texts)
     for _ in range(2):
         assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == want

@@ -1,91 +1,83 @@
 """Token ids of a public byte-level BPE for many texts in one Python worker.
 
-No token spans a single space between two words, so a text is cut at such spaces and the ids
-of each piece are looked up; pieces not met before are encoded together, in one call of
-``tokenizers``. The table of pieces has a fixed bound; when it is full, the older half goes. It serves
-all tasks of a worker; ids don't depend on what it holds.
+Where a file's merges are in the order of their ids, as in the public ones, merging by rank gives the
+same ids as merging by rule, in about half the time; tests compare both on every code point. Other
+files, and texts with a very long run of white space, go to ``tokenizers`` itself.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Sequence
-from functools import lru_cache
-from itertools import islice
+from functools import cached_property, lru_cache
 
 import numpy as np
 
-PIECES = 700_000
-LONGEST = 64
-
-#: White space beside a space: such texts are cut by ``_SAFE``, all others by ``str.split``.
-_RUNS = re.compile(r"\s |[ ]\s")
-_SAFE = re.compile(r"(?<=\S)(?= \S)")
+#: How byte-level BPE cuts a text before it merges: a fixed value.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The pattern walks back over a run of white space; one longer than this is left to ``tokenizers``.
+LONG_BLANK = 100_000
+_BLANK = re.compile(r"\s{%d}" % LONG_BLANK)
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The character that stands for each byte: itself where it shows, else the next one from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or (b >= 161 and b != 173)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
+
+
+def ranks(spec: dict) -> dict[bytes, int] | None:
+    """Ids of all byte strings of a tokenizer's file, or none if merging by them could give other ids."""
+    model, cut = spec["model"], spec["pre_tokenizer"] or {}
+    usual = {"dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "ignore_merges": False}
+    if model["type"] != "BPE" or any(model.get(k) not in (v, "", None) for k, v in usual.items()) or spec["normalizer"]:
+        return None
+    if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return None
+    vocabulary, letters = model["vocab"], byte_alphabet()
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = [vocabulary[m] for m in merged]
+    special = {a["content"] for a in spec["added_tokens"]}
+    if any(a >= b for a, b in zip(ids, ids[1:])) or set(vocabulary) - special != set(letters) | set(merged):
+        return None
+    if ids and max(vocabulary[x] for x in letters) > ids[0]:
+        return None
+    return {bytes(letters[c] for c in token): n for token, n in vocabulary.items() if token not in special}
 
 
 class Encoder:
-    """Texts to little-endian 16-bit ids."""
+    """Texts to little-endian 16-bit ids; special strings are ordinary text."""
+
+    def __init__(self, path: str, fast: bool = True):
+        import tiktoken
 
-    def __init__(self, path: str, pieces: int = PIECES):
+        self.path, self.by_rank = path, None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if max(spec["model"]["vocab"].values()) >= 1 << 16:
+            raise ValueError("the vocabulary does not fit into 16 bits")
+        if fast and (known := ranks(spec)):
+            self.by_rank = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=known, special_tokens={})
+
+    @cached_property
+    def tokenizer(self):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task on each core already
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("the vocabulary does not fit into 16 bits")
-        self.pieces = pieces
-        self.known: dict[str, bytes] = {}
-        self.lengths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        for token, number in self.tokenizer.get_vocab().items():
-            self.lengths[number] = len(token)  # one character of the vocabulary stands for one byte
-
-    def _plain(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u2") for x in found]
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of pieces after a space; those that may be known later are kept."""
-        alone = [p for p in new if len(p) > LONGEST or _blank_end(p)]
-        found = {p: ids.tobytes() for p, ids in zip(alone, self._plain([" " + p for p in alone]))}
-        if new := [p for p in new if p not in found]:
-            ids = np.concatenate(self._plain([" " + " ".join(new[i : i + 100]) for i in range(0, len(new), 100)]))
-            ends = np.cumsum([1 + len(p.encode()) for p in new])
-            cuts = (2 * np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 2).tolist()
-            raw = ids.tobytes()
-            fresh = dict(zip(new, [raw[at:to] for at, to in zip([0, *cuts], cuts)]))
-            if len(self.known) + len(fresh) > self.pieces:
-                self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
-            if len(self.known) + len(fresh) <= self.pieces:
-                self.known.update(fresh)
-            found |= fresh
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
         return found
 
-    def _look_up(self, parts: list[str]) -> tuple[list[str], list[bytes | None], list[int]]:
-        """The pieces, their ids as far as known, and which are not; the first one is left to others."""
-        ids: list[bytes | None] = list(map(self.known.get, parts))
-        return parts, ids, [i for i, x in enumerate(ids) if x is None and i]
+    def _ids(self, text: str) -> list[int]:
+        if self.by_rank is None or (len(text) >= LONG_BLANK and _BLANK.search(text)):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.by_rank.encode_ordinary(text)
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        rows = [self._look_up(t.split(" ")) for t in texts]
-        new = {parts[i] for parts, _, gaps in rows for i in gaps}
-        # A space beside white space shows as a piece that is empty or has white space at an end; none such is kept.
-        if any(map(_blank_end, new)) or any(len(parts) > 1 and parts[0] and _blank_end(parts[0]) for parts, _, _ in rows):
-            for n, t in enumerate(texts):
-                if _RUNS.search(t):
-                    rows[n] = self._look_up([p[i > 0 :] for i, p in enumerate(_SAFE.split(t))])
-            new = {parts[i] for parts, _, gaps in rows for i in gaps}
-        found = self._learn(list(new))
-        for (parts, ids, gaps), head in zip(rows, self._plain([parts[0] for parts, _, _ in rows])):
-            ids[0] = head.tobytes()
-            for i in gaps:
-                ids[i] = found[parts[i]]
-        return [b"".join(ids) for _, ids, _ in rows]
-
-
-def _blank_end(piece: str) -> bool:
-    return not piece or piece.strip() != piece
+        return [np.array(self._ids(t), "<u2").tobytes() for t in texts]
 
 
 @lru_cache(maxsize=1)
