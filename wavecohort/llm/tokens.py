@@ -173,7 +173,7 @@ def dealt(stored: DataFrame, where: str, n: int, width: int, stride: int = STRID
     """``shard, slot, at, length, owner, ids``: what a chunk sends to a shard; ``owner`` is the document at place 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         for b in batches:
             for row in range(b.num_rows):
                 size = b.column("sizes")[row].values.to_numpy()
@@ -226,7 +226,7 @@ def materialise(
     """Write all documents as shards; one row per sequence: ``slot, shard, byte, first_doc_id, filled, crc32``.
 
     ``folder`` has to be a path that all executors mount; by default a new one in the shared
-    folder. A shard is written under another name and renamed when whole, so a task that runs again replaces
+    folder, which ``drop_intermediates`` removes. A shard is written under another name and renamed when whole, so a task that runs again replaces
     it by the same bytes; another split of the same rows gives the same shards. ``first_doc_id`` owns the first token; the last
     sequence is filled up with end tokens, ``filled`` counts the others. Null and empty texts are their end token; rows without doc_id
     or that repeat one are written like others; an empty table gives no shard. Other columns are ignored.
