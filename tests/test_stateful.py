@@ -115,6 +115,23 @@ def test_equals_all_pairs(spark, tmp_path, seed):
     assert {k: v for k, v in got.items() if v[0] is not None} == want
 
 
+def test_a_crowded_subject_is_told_once_per_reading_not_per_pair(spark, tmp_path):
+    arrive(spark, tmp_path / "recordings", [(n, "p", 1000.0 + n, 3000.0 - n) for n in range(300)], RECORDINGS)
+    arrive(spark, tmp_path / "readings", [(f"r{n}", "p", 1400.0 + n) for n in range(400)], READINGS)
+    got, _ = run_pairs(spark, tmp_path)
+    assert set(got.values()) == {(0, 0.0)} and len(got) == 400
+    assert buckets.unfolded(spark, str(tmp_path / "out"), stateful.StructType.fromDDL(stateful.PAIRED_DDL)).count() == 400
+
+
+def test_the_sweep_equals_all_pairs_with_ties():
+    draw = random.Random(3)
+    for _ in range(200):
+        times = [float(draw.randrange(60)) for _ in range(draw.randrange(12))]
+        spans = [(n, s, s + draw.choice([0, 0, 1, 5, 30])) for n in range(draw.randrange(9)) for s in [float(draw.randrange(60))]]
+        want = [min(((max(s - t, t - e, 0.0), n) for n, s, e in spans if s - 4 <= t <= e + 4), default=None) for t in times]
+        assert stateful._sweep(4.0)(times, spans) == want
+
+
 def test_a_file_sent_twice_is_told_once_and_one_that_never_comes_is_missing_once(spark, tmp_path):
     root = str(tmp_path / "out")
     sha = {c: hashlib.sha256(c.encode()).hexdigest() for c in "xyz"}

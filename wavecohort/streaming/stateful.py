@@ -6,7 +6,8 @@ They give changes as rows, append them to a log by batch, and keep a table that
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -103,6 +104,115 @@ def fold_freshness(spark: SparkSession, root: str) -> None:
     buckets.fold(spark, root, _fresh_schema(), _fresh_schema(False), ["subject_id"], _latest)
 
 
+def _sweep(tolerance: float) -> Callable[[list[float], list[tuple]], list[tuple | None]]:
+    """A function without names of this module, so that Python workers need no copy of it."""
+
+    def nearest(times: list[float], spans: list[tuple]) -> list[tuple | None]:
+        """For each time the (gap, id) of the smallest gap, then the smallest id, or None if none is within ``tolerance``.
+
+        Spans are (id, start, end). Each takes the places inside it that no smaller id has taken; places that none
+        holds look at the last end before and the first start after. No pair is enumerated.
+        """
+        order = sorted(range(len(times)), key=times.__getitem__)
+        t = [times[i] for i in order]
+        found: list[tuple | None] = [None] * len(t)
+        free = list(range(len(t) + 1))  # the next place that is not taken, with shortcuts
+
+        def place(i: int) -> int:
+            while free[i] != i:
+                free[i] = i = free[free[i]]
+            return i
+
+        ends, starts = {}, {}
+        for x, s, e in sorted(spans):
+            ends.setdefault(e, x)
+            starts.setdefault(s, x)
+            i, last = place(bisect_left(t, s)), bisect_right(t, e)
+            while i < last:
+                found[i], free[i] = (0.0, x), i + 1
+                i = place(i)
+        low, high = sorted(ends), sorted(starts)
+        for i, at in enumerate(t):
+            if found[i] is None:
+                before, after = bisect_left(low, at) - 1, bisect_right(high, at)
+                near = [(at - low[before], ends[low[before]])] if before >= 0 and at <= low[before] + tolerance else []
+                if after < len(high) and at >= high[after] - tolerance:
+                    near.append((high[after] - at, starts[high[after]]))
+                found[i] = min(near, default=None)
+        back: list[tuple | None] = [None] * len(t)
+        for i, f in zip(order, found):
+            back[i] = f
+        return back
+
+    return nearest
+
+
+def _pairer(schema: StructType, tolerance: float, slot_s: float) -> StatefulProcessor:
+    reading, _, _, session, _ = (f.dataType.simpleString() for f in schema)
+    wait, nearest = int(tolerance) + 1, _sweep(tolerance)
+
+    class Pair(StatefulProcessor):
+        """Readings and recordings of a subject in one time slot, and a timer for the first that nothing can still meet."""
+
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.points = handle.getListState("points", f"reading_id {reading}, t double, session_id {session}, gap double")
+            self.spans = handle.getListState("spans", f"session_id {session}, s double, e double")
+
+        def _row(self, key, p) -> Row:
+            return Row(reading_id=p[0], subject_id=key[0], t=p[1], session_id=p[2], gap=p[3])
+
+        def _due(self, key, points) -> int:
+            """The timer of the first reading without a recording, or of the slot's end."""
+            return int((min([p[1] for p in points if p[2] is None] + [(key[1] + 1) * slot_s]) + wait) * 1000) + 1
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+            came, spans = [], []
+            for r in rows:
+                if r.session_id is None:
+                    came.append((r.reading_id, r.t, None, None))
+                else:
+                    spans.append((r.session_id, r.s, r.e))
+            old = [tuple(p) for p in self.points.get()]
+            known = [tuple(x) for x in self.spans.get()] if came or not old else []
+            points = []
+            for some, against in ((old, spans), (came, known + spans)):
+                for p, near in zip(some, nearest([p[1] for p in some], against) if against else [None] * len(some)):
+                    if near is not None and (p[2] is None or near < (p[3], p[2])):
+                        p = (p[0], p[1], near[1], near[0])
+                        yield self._row(key, p)
+                    points.append(p)
+            if points != old:
+                self.points.put(points)
+            if spans:
+                self.spans.appendList(spans)
+            due, wanted = self._due(key, old) if old or known else None, self._due(key, points)
+            if wanted != due:
+                if due is not None:
+                    self.handle.deleteTimer(due)
+                self.handle.registerTimer(wanted)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+            now, points = timerValues.getCurrentWatermarkInMs(), [tuple(p) for p in self.points.get()]
+            gone = lambda t: int((t + wait) * 1000) + 1 <= now
+            yield from (self._row(key, p) for p in points if p[2] is None and gone(p[1]))
+            if gone((key[1] + 1) * slot_s):
+                self.points.clear()
+                self.spans.clear()
+                return
+            left = [p for p in points if not gone(p[1])]
+            if left:
+                self.points.put(left)
+            else:
+                self.points.clear()
+            self.handle.registerTimer(self._due(key, left))
+
+        def close(self) -> None:
+            pass
+
+    return Pair()
+
+
 def pair_streams(
     readings: DataFrame,
     recordings: DataFrame,
@@ -110,35 +220,33 @@ def pair_streams(
     late: str = "2 hours",
     piece_s: float = 6 * 3600.0,
 ) -> DataFrame:
-    """Readings joined with all recordings of their subject that hold them within ``tolerance`` seconds.
+    """Readings with the recording of their subject that holds them within ``tolerance`` seconds at the smallest gap, then id.
 
     Both sides are streams: ``readings`` has reading_id, subject_id and t, ``recordings`` id, subject_id, start_time and
-    end_time. Either may come first. A reading that no recording holds is given with a null session_id once the
+    end_time. Either may come first; a reading is told again when a better recording comes, and ``best_pairs`` picks the
+    last. A reading that no recording holds is given with a null session_id once the
     watermark has passed all recordings it could still meet. Rows more than ``late`` behind are
     dropped, so state holds what lies within ``late``, ``tolerance`` and ``piece_s`` of the watermark, for ever long
-    recordings too: they enter as pieces of ``piece_s``. Several rows of a reading are its several recordings, or
-    pieces; ``best_pairs`` picks one. An open end means length zero. Rows without a time or a start are left out.
+    recordings too: they enter as one piece for each time slot of ``piece_s`` they reach into. Work is dealt by subject and
+    slot, and a sweep over a slot finds the recordings, so that cost follows rows, not pairs. An open or NaN end means
+    length zero. Rows without an id of the recording, a time or a start are left out.
     """
     stamp = lambda c: F.timestamp_micros(F.round(c * 1e6).cast("bigint"))
-    points = readings.where(F.col("t").isNotNull()).select("reading_id", "subject_id", "t", stamp(F.col("t")).alias("at")).withWatermark("at", late)
-    ends = F.greatest(F.coalesce("end_time", "start_time"), F.col("start_time"))
-    spans = recordings.where(F.col("start_time").isNotNull()).select(
-        F.col("id").alias("session_id"), F.col("subject_id").alias("owner"), F.col("start_time").alias("s"), ends.alias("e")
-    )
-    count = F.floor((F.col("e") - F.col("s")) / piece_s)
-    pieces = spans.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), count)).alias("k"))
-    begin = F.col("s") + F.col("k") * piece_s
-    pieces = pieces.select("session_id", "owner", "s", "e", begin.alias("p"), F.least("e", begin + piece_s).alias("q"), stamp(begin).alias("since")).withWatermark("since", late)
-    wide = int(tolerance) + 1  # seconds that bound the state; the exact test is on the numbers
-    near = (
-        (F.col("subject_id") == F.col("owner"))
-        & (F.col("at") >= F.col("since") - F.expr(f"interval {wide} seconds"))
-        & (F.col("at") <= F.col("since") + F.expr(f"interval {wide + int(piece_s) + 1} seconds"))
-        & (F.col("t") >= F.col("p") - tolerance)
-        & (F.col("t") <= F.col("q") + tolerance)
+    slot = lambda c: F.floor(c / piece_s).cast("bigint")
+    points = readings.where(F.col("t").isNotNull()).select(
+        "reading_id", "subject_id", "t", stamp(F.col("t")).alias("at"), slot(F.col("t")).alias("slot")
+    ).withWatermark("at", late)
+    ends = F.greatest(F.coalesce(F.nanvl(F.col("end_time").cast("double"), "start_time"), "start_time"), F.col("start_time"))
+    spans = recordings.where(F.col("start_time").isNotNull() & F.col("id").isNotNull() & F.col("subject_id").isNotNull()).select(
+        F.col("id").alias("session_id"), "subject_id", F.col("start_time").alias("s"), ends.alias("e")
     )
-    gap = F.when(F.col("session_id").isNotNull(), F.greatest(F.col("s") - F.col("t"), F.col("t") - F.col("e"), F.lit(0.0)))
-    return points.join(pieces, near, "left_outer").select("reading_id", "subject_id", "t", "session_id", gap.alias("gap"))
+    slots = F.sequence(slot(F.col("s") - tolerance), slot(F.col("e") + tolerance))
+    pieces = spans.select("*", F.explode(slots).alias("slot"))
+    pieces = pieces.withColumn("at", stamp(F.greatest("s", F.col("slot") * piece_s))).withWatermark("at", late)
+    schema = StructType([*readings.select("reading_id", "subject_id", "t").schema.fields, *recordings.select(F.col("id").alias("session_id")).schema.fields, *StructType.fromDDL("gap double").fields])
+    schema = StructType.fromDDL(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema))
+    both = points.unionByName(pieces, allowMissingColumns=True)
+    return both.groupBy("subject_id", "slot").transformWithState(_pairer(schema, tolerance, piece_s), schema, "Append", "EventTime")
 
 
 def keep_pairs(pairs: DataFrame, root: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
