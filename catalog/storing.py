@@ -14,7 +14,7 @@ from wavecohort.plans.series import Series
 from wavecohort.plans.status import CollectionStatus
 from wavecohort.plans.waveforms import waveforms
 from wavecohort.schemas import READING_WIRE_DDL, schema_of
-from wavecohort.session import durable, intermediate, prepare
+from wavecohort.session import data_files, durable, input_partitions, intermediate, prepare
 from wavecohort.sources import bundles, snapshots
 from wavecohort.sources.samples import SampleTable
 from wavecohort.functions.values import allowed_name, allowed_size, reading_key
@@ -478,13 +478,27 @@ def p4_ingest_readings(spark, sf):
 
 # ---- streams: the input is the events table, read as a file stream
 
+def land_batches(spark, parts: list[DataFrame], root: str, files: int) -> DataFrame:
+    """A stream whose batches are the given rows, landed one after the other as exactly ``files`` files each.
+
+    A batch is a number of files, so a part too small to fill them gets empty ones.
+    """
+    schema = parts[0].schema
+    for done, part in enumerate(parts):
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.mode("append").parquet(root)
+        for _ in range((done + 1) * files - data_files(spark, root)):
+            spark.createDataFrame([], schema).coalesce(1).write.mode("append").parquet(root)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(root)
+
+
 def _stream(spark, sf, name: str, change, batches: int = 1) -> DataFrame:
-    """A stream over a view, landed as files first so that a file stream can pick them up, one for each batch."""
+    """A stream over a view, landed as files first so that a file stream can pick them up, so many for each batch."""
     root = folder(spark, name)
     rows = change(view(spark, sf, name))
     if batches > 1:
-        rows.repartition(batches).write.parquet(root)
-        return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(root)
+        files = input_partitions(spark, sf)
+        rows.repartition(batches * files).write.parquet(root)
+        return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(root)
     rows.write.parquet(root)
     return spark.readStream.schema(rows.schema).parquet(root)
 
@@ -542,26 +556,24 @@ def k3_hot_subject_runs(spark, sf):
     minutes = view(spark, sf, "minutes").select("subject_id", "ts")
     rows = minutes.unionByName(minutes.withColumn("subject_id", F.lit("hot")))
     tick = minutes.groupBy(F.lit("tick").alias("subject_id")).agg((F.max("ts") + 86400.0).alias("ts"))
-    stream = _by_time(spark, rows.unionByName(tick), "hot-minutes", "ts")
+    stream = _by_time(spark, sf, rows.unionByName(tick), "hot-minutes", "ts")
     runs = _to_table(spark, stateful.sliced_runs(stream, ("subject_id",), 600))
     return rounded(runs, 6, "first_ts", "last_ts")
 
 
-def _by_time(spark, rows: DataFrame, name: str, time: str) -> DataFrame:
-    """A stream of three batches in time order, each a folder that is landed after the one before."""
-    root, cuts = folder(spark, name), (NOW - 20 * 86400, NOW - 10 * 86400, float("inf"))
-    rows, low = durable(rows, name), float("-inf")
-    for high in cuts:
-        rows.where((F.col(time) >= low) & (F.col(time) < high)).coalesce(1).write.mode("append").parquet(root)
-        low = high
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(root)
+def _by_time(spark, sf, rows: DataFrame, name: str, time: str) -> DataFrame:
+    """A stream of three batches in time order, each landed after the one before."""
+    cuts = (float("-inf"), NOW - 20 * 86400, NOW - 10 * 86400, float("inf"))
+    rows = durable(rows, name)
+    parts = [rows.where((F.col(time) >= low) & (F.col(time) < high)) for low, high in zip(cuts, cuts[1:])]
+    return land_batches(spark, parts, folder(spark, name), input_partitions(spark, sf))
 
 
 @query(sql("sessions uploads", ATT + """ , wm AS (SELECT floor(max(start_time) * 1000) / 1000 - 3600 AS w FROM att)
   SELECT subject_id, max(start_time) AS last_ts, count(*) AS rows, any_value(w) - max(start_time) > 7200 AS stale FROM att, wm GROUP BY 1"""))
 def k4_freshness_stream(spark, sf):
     rows = attributed(spark, sf).select("subject_id", F.col("start_time").alias("ts"))
-    changes = stateful.freshness(_by_time(spark, rows, "activity", "ts"), 7200, "1 hour")
+    changes = stateful.freshness(_by_time(spark, sf, rows, "activity", "ts"), 7200, "1 hour")
     root = folder(spark, "freshness")
     _finish(stateful.keep_freshness(changes, root, folder(spark, "state")))
     stateful.fold_freshness(spark, root)
@@ -570,8 +582,8 @@ def k4_freshness_stream(spark, sf):
 
 @query(sql("sessions uploads readings", ATT + PLC + GAP + HELD + " SELECT reading_id, session_id, round(gap, 6) AS gap FROM held"))
 def k5_pairing_stream(spark, sf):
-    readings = _by_time(spark, placed(spark, sf).select("reading_id", "subject_id", "t"), "points", "t")
-    recordings = _by_time(spark, attributed(spark, sf).select("id", "subject_id", "start_time", "end_time"), "spans", "start_time")
+    readings = _by_time(spark, sf, placed(spark, sf).select("reading_id", "subject_id", "t"), "points", "t")
+    recordings = _by_time(spark, sf, attributed(spark, sf).select("id", "subject_id", "start_time", "end_time"), "spans", "start_time")
     root = folder(spark, "pairing")
     _finish(stateful.keep_pairs(stateful.pair_streams(readings, recordings, late="1 day"), root, folder(spark, "state")))
     stateful.fold_pairs(spark, root)
@@ -606,11 +618,9 @@ def k6_file_verdicts(spark, sf):
     third = seen.agg((F.max("seq") / 3).alias("third")).first().third
 
     def batches(rows: DataFrame, name: str) -> DataFrame:
-        root, rows = folder(spark, name), durable(rows, name)
-        for n in range(3):
-            part = rows.where((F.col("seq") >= n * third) & ((F.col("seq") < (n + 1) * third) | F.lit(n == 2)))
-            part.drop("seq").coalesce(1).write.mode("append").parquet(root)
-        return spark.readStream.schema(rows.drop("seq").schema).option("maxFilesPerTrigger", 1).parquet(root)
+        rows = durable(rows, name)
+        parts = [rows.where((F.col("seq") >= n * third) & ((F.col("seq") < (n + 1) * third) | F.lit(n == 2))).drop("seq") for n in range(3)]
+        return land_batches(spark, parts, folder(spark, name), input_partitions(spark, sf))
 
     files = batches(seen.select("upload", "name", "content", "at", "seq"), "sent")
     changes = stateful.file_verdicts(files, batches(said, "said"), 200, "10 seconds")

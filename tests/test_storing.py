@@ -1,6 +1,7 @@
 """Landed bundles, merges, versions and streams on files."""
 
 import datetime
+import glob
 import hashlib
 import json
 import os
@@ -9,6 +10,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import storing
+from wavecohort import session
 from wavecohort.operators import merge, scope
 from wavecohort.plans import ingest
 from wavecohort.plans.waveforms import waveforms
@@ -444,3 +447,23 @@ def test_a_look_back_reaches_the_files(spark, tmp_path):
     stored_rows = spark.read.schema(schema_of("cuff_readings")).parquet(str(tmp_path / "r"))
     plan = reading_points(place_readings(stored_rows, "Europe/Stockholm"), 1.77e9, 30)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(taken_at," in plan
+
+
+def test_a_batch_of_a_stream_is_landed_as_a_fixed_number_of_files(spark, tmp_path):
+    parts = [spark.range(1000).coalesce(2), spark.range(5000, 5002), spark.range(0)]
+    stream, seen = storing.land_batches(spark, parts, str(tmp_path / "in"), 4), []
+    streams.each_batch(stream, str(tmp_path / "state"), lambda b, n: seen.append(sorted(r.id for r in b.collect()))).awaitTermination()
+    assert seen == [list(range(1000)), [5000, 5001], []]
+    assert max(spark.read.parquet(f).count() for f in glob.glob(f"{tmp_path}/in/*.parquet")) <= 300
+
+
+@pytest.mark.parametrize("name, landed", [("k6_file_stream", ["files"]), ("k6_file_verdicts", ["sent", "said"])])
+def test_files_are_landed_by_many_tasks(spark, tmp_path, monkeypatch, name, landed):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(session, "PARTITION_BYTES", session._size(spark, str(tmp_path)) // 4)
+    monkeypatch.setattr(storing, "folder", lambda spark, name: str(tmp_path / name))
+    assert storing.QUERIES[name](spark, str(tmp_path)).count() > 400
+    for folder in landed:
+        sizes = [spark.read.parquet(f).count() for f in glob.glob(f"{tmp_path}/{folder}/*.parquet")]
+        assert len(sizes) >= 12 and max(sizes) <= 100
