@@ -267,3 +267,19 @@ def test_many_equal_rows_are_told_their_lines_once(make, doc_id):
         assert got == {(None, text, 0): 1, (None, "", 21): 299, (first, "", 20): 1}
     else:
         assert got == {(7, "a last line that nobody else has", 20): 1, (7, "", 21): 299, (first, "\n".join(seen), 0): 1}
+
+
+def test_bands_of_the_very_same_lines_are_compared_once(spark, monkeypatch):
+    words = " ".join(f"word{n}" for n in range(60))
+    docs = spark.createDataFrame([(1, words), (2, words + "!"), (3, words + "?"), (4, "something else that is alone")], "doc_id long, text string")
+    kept, write = {}, lines.durable
+
+    def durable(df, name):
+        kept[name] = write(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(lines, "durable", durable)
+    out = {r.doc_id: r.n_removed for r in lines.deduplicated(docs).collect()}
+    assert out == {1: 0, 2: 1, 3: 1, 4: 0}
+    # Eight bands hold these three lines or two of them; of equal sets one is left.
+    assert kept["buckets"].count() <= 4 and kept["bands"].count() >= 6

@@ -172,7 +172,8 @@ class Band:
     def __init__(self) -> None:
         self.ids: list[int] = []
         self.place: dict[int, int] = {}
-        self.sets: list[set[str]] = []
+        self.strings: list[str] = []
+        self.sets: dict[int, set[str]] = {}
         self.sketches = np.empty((0, SKETCH), np.uint16)
         self.group = np.empty(0, np.int64)
 
@@ -180,10 +181,16 @@ class Band:
         first = len(self.ids)
         self.place |= {x: first + n for n, x in enumerate(ids)}
         self.ids += ids
-        self.sets += [shingle_set(x) for x in strings]
+        self.strings += strings
         self.sketches = np.concatenate((self.sketches, sketches))
         self.group = np.concatenate((self.group, np.arange(first, first + len(ids))))
 
+    def shingles(self, place: int) -> set[str]:
+        """Those of a held line, cut when it is first compared."""
+        if place not in self.sets:
+            self.sets[place] = shingle_set(self.strings[place])
+        return self.sets[place]
+
     def links(self, ids: list[int], strings: list[str], sketches: np.ndarray) -> list[tuple[int, int]]:
         """Links of these lines with held ones that connect what was not connected."""
         found: list[tuple[int, int]] = []
@@ -196,12 +203,12 @@ class Band:
                     near = near[self.group[near] != self.group[mine]]
                 if not len(near):
                     continue
-                own = self.sets[mine] if mine is not None else shingle_set(strings[i + v])
+                own = self.shingles(mine) if mine is not None else shingle_set(strings[i + v])
                 near = near[np.argsort(-agree[near, v], kind="stable")]
                 group = self.group[mine] if mine is not None else None
                 while len(near):
                     h, near = int(near[0]), near[1:]
-                    other = self.sets[h]
+                    other = self.shingles(h)
                     common = len(own & other)
                     if common >= SIMILAR * (len(own) + len(other) - common):
                         found.append((self.ids[h], ids[i + v]))
@@ -284,8 +291,10 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     keys = keyed.select("text").mapInArrow(_bands, "key long, id long")
     repeated = durable(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "bands")
     members = durable(keys.join(repeated, "key").distinct(), "members")
-    buckets = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = durable(buckets, "buckets")
+    # Near copies share several bands; bands of the very same lines give the same links and are compared once.
+    lines = F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), *lines).where("n > 1")
+    buckets = durable(buckets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
     members = durable(members.join(buckets, "key"), "candidates")
 
     occurrences = keyed.mapInArrow(_occurrences, "id long, doc long, version long, line long")
