@@ -283,3 +283,31 @@ def test_bands_of_the_very_same_lines_are_compared_once(spark, monkeypatch):
     assert out == {1: 0, 2: 1, 3: 1, 4: 0}
     # Eight bands hold these three lines or two of them; of equal sets one is left.
     assert kept["buckets"].count() <= 4 and kept["bands"].count() >= 6
+
+
+def test_texts_are_read_once_for_bands_and_places(spark, monkeypatch):
+    rows = line_corpus(7)
+    docs, plans, write = spark.createDataFrame(rows, "doc_id long, text string"), {}, lines.durable
+
+    def durable(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(lines, "durable", durable)
+    out = {r.doc_id: r.text for r in lines.deduplicated(docs).collect()}
+    assert out == {rows[n][0]: t for n, t in expected_lines(rows).items()}
+    # Only lines that have to be compared are read from the texts again.
+    assert sum("LogicalRDD" in plan for plan in plans.values()) == 2
+
+
+def test_each_two_lines_of_a_band_are_compared_once(monkeypatch):
+    pairs, alike = [], lines._alike
+    monkeypatch.setattr(lines, "_alike", lambda a, b: pairs.append(frozenset((a.tobytes(), b.tobytes()))) or alike(a, b))
+    monkeypatch.setattr(lines, "AGREE", 0)
+    texts = [f"{n} is no line like any of the others {n * 7919 ** 5}" * 3 for n in range(6)]
+    found = lines.Lines(texts)
+    band, sets, sketches = lines.Band(), found.sets(), found.sketches()
+    assert [x.tolist() for x in sets] == [sorted(set(found.shingles()[0][s:e].tolist())) for s, e in zip(*found.shingles()[1:])]
+    assert not band.hold([0, 1], sets[:2], sketches[:2]) and not band.hold([2, 3], sets[2:4], sketches[2:4])
+    assert not band.links([4, 5], sets[4:], sketches[4:])
+    assert len(pairs) == len(set(pairs)) == 6 + 2 * 4
