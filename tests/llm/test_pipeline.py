@@ -52,6 +52,23 @@ def test_tables_without_labels_keep_their_documents(sent, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.run(sent, folder).collect()) == [1, 4]
 
 
+def test_language_identified_from_the_text_reaches_the_pieces(sent, tmp_path):
+    draw = random.Random(5)
+    words = {"en": "the house and with that which would have been there", "fr": "maison avec celle qui sont dans les nous pour être"}
+    said = lambda lang: " ".join(draw.choice(words[lang].split()) for _ in range(40))
+    true = {i: ("en", "fr")[i % 2] for i in range(44)}
+    label = true | {40: None, 41: None, 42: "fr", 43: None}  # no label, or that of another language
+    rows = [(i, said(true[i]), label[i], "s", 1) for i in true] + [(90, None, "en", "s", 0), (91, "12", None, "s", 2)]
+    folder = str(tmp_path)
+    sent.createDataFrame(rows, FIELDS).write.parquet(f"{folder}/documents.parquet")
+    docs = sent.read.parquet(f"{folder}/documents.parquet")
+    out = corpus_pipeline.language(sent, docs, folder)
+    assert out.dtypes == docs.dtypes and {r.doc_id: r.lang for r in out.collect()} == true
+    assert {(r.doc_id, r.text, r.n_chars) for r in out.collect()} == {(i, t, n) for i, t, _, _, n in rows if i in true}
+    pieces = corpus_pipeline.run(sent, folder).collect()
+    assert pieces and all(r.lang == true[r.doc_id] for r in pieces) and {"en", "fr"} == {r.lang for r in pieces}
+
+
 def test_columns_of_the_input_keep_their_values(sent, tmp_path):
     own = ["n_removed", "n_lines", "n_words", "lang_pred", "lang_score", "carried", "rest", "doc", "copy"]
     same = "one line that comes again and again\nand another line below it"

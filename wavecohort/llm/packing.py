@@ -98,8 +98,10 @@ def cut_pieces(size: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return row, piece, start, np.where(piece == 0, head[row], capacity)
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece, with its rank ``r`` among the pieces of its length in the task ``part``."""
+def pieces(
+    docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per piece, with its rank ``r`` among the pieces of its length in the task ``part``, and columns ``also`` of its document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, ranks = shared_encoder(path), np.zeros(capacity + 1, np.int64)
@@ -126,22 +128,29 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "
                     ids_crc32=np.array(crc, np.int64),
                     part=np.full(len(r), part, np.int64),
                     r=r,
+                    **{c: some.column(i).take(pa.array(row)) for i, c in enumerate(also, 2)},
                 )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part long, r long"
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part long, r long" + _fields(docs, also)
+    return docs.select(doc_id, text, *also).mapInArrow(run, schema)
 
 
-def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _fields(docs: DataFrame, names: tuple[str, ...]) -> str:
+    return "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in names)
+
+
+def packed(
+    docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()
+) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``: every piece of every row, packed.
 
     ``path`` is the tokenizer's file. A null or empty text has its end token alone; rows that repeat a
     doc_id, or have none, are packed like others. Equal lengths are interchangeable, ties
     between them fall by task and row. Only one count for each length up to the capacity comes
-    to the driver. An empty table gives an empty one; other columns are ignored.
+    to the driver. An empty table gives an empty one; columns ``also`` of the document follow, others are ignored.
     """
-    rows = durable(pieces(docs, path, capacity, doc_id, text), "pieces")
+    rows = durable(pieces(docs, path, capacity, doc_id, text, also), "pieces")
     counts = durable(rows.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     total = np.zeros(capacity + 1, np.int64)
     for n, times in counts.groupBy("length").agg(F.sum("n")).collect():  # at most ``capacity`` rows
@@ -159,8 +168,9 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "
             rank = b.column("before").to_numpy() + b.column("r").to_numpy()
             run = np.searchsorted(runs, b.column("length").to_numpy() * room + rank, side="right") - 1
             kept = {n: b.column(n) for n in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            yield batch(**kept, sequence_id=sequence[run] + rank - first[run], offset=offset[run])
+            more = {n: b.column(n) for n in also}
+            yield batch(**kept, sequence_id=sequence[run] + rank - first[run], offset=offset[run], **more)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + _fields(rows, also)
     return rows.join(start, ["part", "length"]).mapInArrow(place, schema)
